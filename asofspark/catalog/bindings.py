@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from asofspark.operators import observe as obs
+from asofspark.session import checkpointed
+
 # lineitem joined to orders, customer and supplier, as a play-level fact table
 PLAY_COLUMNS = {
     "season": "CAST(year(o_orderdate) AS INT)",
@@ -114,11 +117,18 @@ PLAYS_SQL = f"""plays AS (
     JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey) p0)"""
 
 
-def games(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
-    """Games dimension: a compact aggregate of the plays of two different teams."""
-    p = source if source is not None else plays(spark, sf_dir)
-    sums = (
-        p.filter("home_team <> away_team")
+def play_sums(spark: SparkSession, sf_dir: str, metrics: list[obs.Metric]) -> DataFrame:
+    """One pass over the plays for both the games and the observations, written once."""
+    extra = [F.sum("quantity").alias("quantity"), F.first("home_team").alias("home_team"), F.first("away_team").alias("away_team")]
+    return checkpointed(
+        obs.fact_sums(plays(spark, sf_dir), metrics, keep=obs.PLAYED, only=obs.REGULAR, extra=extra)
+    )
+
+
+def games(sums: DataFrame) -> DataFrame:
+    """Games dimension from the compact play sums of two different teams."""
+    totals = (
+        sums.filter("home_team <> away_team")
         .groupBy("game_id", "season", "week", "home_team", "away_team")
         .agg(
             F.sum(F.when(F.col("posteam") == F.col("home_team"), F.col("quantity"))).alias("home_sum"),
@@ -126,7 +136,7 @@ def games(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) ->
             F.sum("quantity").cast("bigint").alias("total_sum"),
         )
     )
-    return sums.select("game_id", "season", "week", "home_team", "away_team", *exprs(GAME_COLUMNS)).withColumn(
+    return totals.select("game_id", "season", "week", "home_team", "away_team", *exprs(GAME_COLUMNS)).withColumn(
         "kickoff_dt", F.col("kickoff_dt").cast("timestamp_ntz")
     )
 
@@ -194,7 +204,7 @@ quotes AS (
     ts AS retrieved_at_utc,
     CASE WHEN (event_id + book) % 23 <> 0 THEN ts - to_minutes({QUOTE_AGE_MINUTES}) END AS source_updated_at_utc
   FROM q0 JOIN (VALUES ('spreads', 1, 'HOME'), ('spreads', 2, 'AWAY'), ('totals', 1, 'OVER'), ('totals', 2, 'UNDER'))
-    s(market, side, selection) ON s.market = q0.market)"""
+    s(mk, side, selection) ON s.mk = q0.market)"""
 
 IMPLIED = "(CASE WHEN {p} < 0 THEN -{p} / (100e0 - {p}) WHEN {p} > 0 THEN 100e0 / (100e0 + {p}) END)"
 

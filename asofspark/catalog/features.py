@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, plays, r6, rounded
+from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, play_sums, plays, r6, rounded
 from asofspark.operators import observe as obs
 from asofspark.operators import schedule as sched
 from asofspark.operators import temporal as tmp
@@ -49,13 +49,17 @@ def advanced_observations(spark, sf_dir):
     return rounded(obs.advanced_observations(plays(spark, sf_dir)))
 
 
-def team_games(spark, sf_dir):
-    """Two rows per completed regular game with that game's own observations."""
-    p = plays(spark, sf_dir)
-    rows = sched.entity_rows(
-        games(spark, sf_dir, p).filter("game_type = 'REG'"), ["game_id", "season", "week", "kickoff_dt"]
-    )
-    return rows.join(obs.base_observations(p), ["game_id", "season", "week", "team_id"], "left")
+def games_and_observations(spark, sf_dir, metrics=obs.BASE_METRICS):
+    """(games, observations) from a single pass over the plays."""
+    sums = play_sums(spark, sf_dir, metrics)
+    return games(sums), obs.entity_means(sums, metrics)
+
+
+def team_games(spark, sf_dir, metrics=obs.BASE_METRICS):
+    """Two rows per regular game with that game's own observations, written once."""
+    dim, observed = games_and_observations(spark, sf_dir, metrics)
+    rows = sched.entity_rows(dim.filter("game_type = 'REG'"), ["game_id", "season", "week", "kickoff_dt"])
+    return rows.join(observed, ["game_id", "season", "week", "team_id"], "left")
 
 
 TEAM_GAMES_SQL = f"""{PLAYS_SQL},
@@ -95,7 +99,7 @@ def decayed_features(spark, sf_dir):
         "season",
         "games_available",
         *[
-            F.round(tmp.decayed_mean([F.col(tmp.lag_name(k, m)) for k in range(1, 5)], 2.0), 6).alias(m)
+            F.round(tmp.decayed_mean([F.col(tmp.lag_name(k, m)) for k in range(1, 5)], tmp.decay_weights(2.0)), 6).alias(m)
             for m in BASE
         ],
     )

@@ -33,6 +33,8 @@ def both_sides(name: str, where: str, value: str, def_name: str | None = None) -
 
 _PASS = "qb_dropback = 1"
 _RUSH = "rush_attempt = 1 AND coalesce(qb_kneel, 0) <> 1"
+PLAYED = f"({_PASS}) OR ({_RUSH})"
+REGULAR = "season_type = 'REG' AND posteam IS NOT NULL AND defteam IS NOT NULL AND epa IS NOT NULL"
 _NEUTRAL = "wp > 0.05 AND wp < 0.95"
 
 BASE_METRICS = [
@@ -104,66 +106,92 @@ def regular_facts(facts: DataFrame, actor: str = "posteam", target: str = "defte
     return kept
 
 
-def observe(
+def _measures(metrics: list[Metric]) -> list[tuple[str, str]]:
+    """The distinct (predicate, value) pairs; both sides of a rate share one."""
+    return list(dict.fromkeys((m.where, m.value) for m in metrics))
+
+
+def fact_sums(
     facts: DataFrame,
     metrics: list[Metric],
     keys: tuple[str, ...] = ("game_id", "season", "week"),
     actor: str = "posteam",
     target: str = "defteam",
-    entity: str = "team_id",
     keep: str | None = None,
+    only: str | None = None,
+    extra: list[Column] | None = None,
 ) -> DataFrame:
-    """All metrics of both sides from one scan and two small shuffles.
+    """Sums and counts per (keys, actor, target): the one pass over the facts.
 
-    Sums and counts are first combined per (keys, actor, target); only that
-    compact table is seen from both sides and combined again per entity. The
-    first step folds map-side, so a hot pair of entities costs one row per
-    task. ``keep`` restricts the result to entities having at least one fact,
-    on either side, for which the SQL predicate holds.
+    Folds map-side, so a hot pair of entities costs one row per task. ``only``
+    restricts the measures (not the rows) to facts where it holds; ``extra``
+    adds further aggregates to the same pass.
     """
-    measures = list(dict.fromkeys((m.where, m.value) for m in metrics))
-    sums = {mv: f"_s{i}" for i, mv in enumerate(measures)}
-    counts = {mv: f"_c{i}" for i, mv in enumerate(measures)}
-    base = facts.select(
-        *keys,
-        actor,
-        target,
-        *[F.when(F.expr(w), F.expr(v)).cast("double").alias(f"_m{i}") for i, (w, v) in enumerate(measures)],
-        F.expr(keep or "true").alias("_keep"),
-    )
-    paired = base.groupBy(*keys, actor, target).agg(
-        *[F.sum(f"_m{i}").alias(f"_s{i}") for i in range(len(measures))],
-        *[F.count(f"_m{i}").alias(f"_c{i}") for i in range(len(measures))],
-        F.count_if("_keep").alias("_keep"),
-    )
+    only = only or "true"
+    measures = _measures(metrics)
+    aggs = []
+    for i, (where, value) in enumerate(measures):
+        x = F.when(F.expr(f"({only}) AND ({where})"), F.expr(value)).cast("double")
+        aggs += [F.sum(x).alias(f"_s{i}"), F.count(x).alias(f"_c{i}")]
+    kept = F.count_if(F.expr(f"({only}) AND ({keep or 'true'})")).alias("_keep")
+    return facts.groupBy(*keys, actor, target).agg(*aggs, kept, *(extra or []))
+
+
+def entity_means(
+    sums: DataFrame,
+    metrics: list[Metric],
+    keys: tuple[str, ...] = ("game_id", "season", "week"),
+    actor: str = "posteam",
+    target: str = "defteam",
+    entity: str = "team_id",
+) -> DataFrame:
+    """Means per entity, each row of the compact sums seen from both its sides."""
+    index = {mv: i for i, mv in enumerate(_measures(metrics))}
     sides = F.explode(
         F.array(
             F.struct(F.lit("off").alias("side"), F.col(actor).alias("id")),
             F.struct(F.lit("def").alias("side"), F.col(target).alias("id")),
         )
     )
-    seen = paired.withColumn("_e", sides)
 
     def mean(m: Metric) -> Column:
-        mv = (m.where, m.value)
+        i = index[(m.where, m.value)]
         mine = F.col("_e.side") == m.side
-        return F.try_divide(
-            F.sum(F.when(mine, F.col(sums[mv]))), F.sum(F.when(mine, F.col(counts[mv])))
-        ).alias(m.name)
+        return F.try_divide(F.sum(F.when(mine, F.col(f"_s{i}"))), F.sum(F.when(mine, F.col(f"_c{i}")))).alias(m.name)
 
-    out = seen.groupBy(*keys, F.col("_e.id").alias(entity)).agg(
-        *[mean(m) for m in metrics], F.sum("_keep").alias("_keep")
+    out = (
+        sums.withColumn("_e", sides)
+        .groupBy(*keys, F.col("_e.id").alias(entity))
+        .agg(*[mean(m) for m in metrics], F.sum("_keep").alias("_keep"))
     )
     return out.filter(F.col("_keep") > 0).drop("_keep")
 
 
+def observe(
+    facts: DataFrame,
+    metrics: list[Metric],
+    keys: tuple[str, ...] = ("game_id", "season", "week"),
+    actor: str = "posteam",
+    target: str = "defteam",
+    entity: str = "team_id",
+    keep: str | None = None,
+) -> DataFrame:
+    """All metrics of both sides from one scan and two small shuffles.
+
+    ``keep`` restricts the result to entities having at least one fact, on
+    either side, for which the SQL predicate holds.
+    """
+    sums = fact_sums(facts, metrics, keys, actor, target, keep)
+    return entity_means(sums, metrics, keys, actor, target, entity)
+
+
 def base_observations(facts: DataFrame, **kw) -> DataFrame:
-    return observe(regular_facts(facts), BASE_METRICS, keep=f"({_PASS}) OR ({_RUSH})", **kw)
+    return observe(regular_facts(facts), BASE_METRICS, keep=PLAYED, **kw)
 
 
 def extended_observations(facts: DataFrame, **kw) -> DataFrame:
     """Base metrics plus pressure and neutral-script rates, on the base rows."""
-    return observe(regular_facts(facts), BASE_METRICS + PRESSURE_METRICS, keep=f"({_PASS}) OR ({_RUSH})", **kw)
+    return observe(regular_facts(facts), BASE_METRICS + PRESSURE_METRICS, keep=PLAYED, **kw)
 
 
 def advanced_observations(facts: DataFrame, **kw) -> DataFrame:

@@ -44,13 +44,25 @@ def build_lags(
     return rows.withColumns(lags).withColumn("games_available", available)
 
 
-def decayed_mean(values: list[Column], half_life: float | str | Column, first_offset: int = 0) -> Column:
-    """Σ w·x / Σ w over the non-null values, w = 2^(-offset / half-life)."""
-    h = F.lit(float(half_life)) if isinstance(half_life, (int, float)) else col(half_life)
-    weights = [F.pow(F.lit(2.0), -F.lit(float(first_offset + i)) / h) for i in range(len(values))]
+def decay_weights(half_life: float, n: int = LAG_COUNT) -> list[Column]:
+    """Literal weights 2^(-offset / half-life) for offsets 0..n-1."""
+    return [F.lit(2.0 ** (-k / half_life)) for k in range(n)]
+
+
+def half_life_rows(df: DataFrame, half_lives: list[float], n: int = LAG_COUNT) -> DataFrame:
+    """Every row under every half-life, with its weights as columns ``_w0``.."""
+    choices = [
+        F.struct(F.lit(float(h)).alias("half_life"), *[w.alias(f"_w{k}") for k, w in enumerate(decay_weights(h, n))])
+        for h in half_lives
+    ]
+    return df.select("*", F.inline(F.array(*choices)))
+
+
+def decayed_mean(values: list[Column], weights: list[Column]) -> Column:
+    """Σ w·x / Σ w over the non-null values; null when all are missing."""
     num = reduce(add, [F.coalesce(v, F.lit(0.0)) * w for v, w in zip(values, weights)])
     den = reduce(add, [F.when(v.isNotNull(), w).otherwise(0.0) for v, w in zip(values, weights)])
-    return F.when(den > 0, num / den)
+    return F.try_divide(num, den)
 
 
 def configurations(df: DataFrame, half_lives=HALF_LIFE_GRID, strengths=PRIOR_STRENGTH_GRID) -> DataFrame:
@@ -74,6 +86,8 @@ def season_priors(
     ts: str = "kickoff_dt",
     row_id: str = "game_id",
     n: int = LAG_COUNT,
+    league: list[str] | None = None,
+    league_from: dict[str, Column] | None = None,
 ) -> DataFrame:
     """End-of-season strength per entity and its league average, for the next season.
 
@@ -85,8 +99,9 @@ def season_priors(
         lags.filter(F.col(metrics[0]).isNotNull())
         .select(entity, season, *metrics, (F.row_number().over(recent) - 1).alias("_k"))
         .filter(F.col("_k") < n)
-        .withColumn("half_life", F.explode(F.array(*[F.lit(float(h)) for h in half_lives])))
-        .withColumn("_w", F.pow(F.lit(2.0), -F.col("_k") / F.col("half_life")))
+    )
+    tail = half_life_rows(tail, half_lives, n).withColumn(
+        "_w", F.array(*[F.col(f"_w{k}") for k in range(n)])[F.col("_k")]
     )
     team = tail.groupBy(entity, season, "half_life").agg(
         *[
@@ -96,21 +111,18 @@ def season_priors(
             for m in metrics
         ]
     )
-    league = team.groupBy(season, "half_life").agg(
-        *[F.avg(f"team_prior_{m}").alias(f"league_prior_{m}") for m in metrics]
-    )
-    return team.join(league, [season, "half_life"]).withColumn(season, F.col(season) + 1)
+    team = team.withColumns(league_from or {})
+    group = [*(league or [season]), "half_life"]
+    average = team.groupBy(*group).agg(*[F.avg(f"team_prior_{m}").alias(f"league_prior_{m}") for m in metrics])
+    return team.join(average, group).withColumn(season, F.col(season) + 1)
 
 
 def blend(current: Column, team_prior: Column, league_prior: Column, strength: Column, available: Column, n: int = LAG_COUNT) -> Column:
     """Season-to-date value shrunk to the prior by the number of games seen."""
     prior = strength * team_prior + (F.lit(1.0) - strength) * league_prior
     share = F.least(available, F.lit(n)).cast("double") / n
-    return (
-        F.when(current.isNull(), prior)
-        .when(prior.isNull(), current)
-        .otherwise(share * current + (F.lit(1.0) - share) * prior)
-    )
+    mixed = share * current + (F.lit(1.0) - share) * prior  # null when either part is
+    return F.coalesce(mixed, current, prior)
 
 
 def materialize(
@@ -130,10 +142,17 @@ def materialize(
     one plan covers the grid. Each metric column holds its blended value.
     """
     priors = season_priors(lags, metrics, list(half_lives), entity, season, ts, row_id, n)
-    rows = configurations(lags, half_lives, strengths).join(priors, [entity, season, "half_life"], "left")
+    weights = [F.col(f"_w{k}") for k in range(n)]
+    current = {
+        f"_cur_{m}": decayed_mean([F.col(lag_name(k, m)) for k in range(1, n + 1)], weights) for m in metrics
+    }
+    # the decayed mean depends on the half-life alone: take it before the strengths fan out
+    rows = half_life_rows(lags, half_lives, n).withColumns(current).drop(*[f"_w{k}" for k in range(n)])
+    strength = F.explode(F.array(*[F.lit(float(s)) for s in strengths]))
+    fanned = rows.join(priors, [entity, season, "half_life"], "left").withColumn("prior_strength", strength)
     blended = {
         m: blend(
-            decayed_mean([F.col(lag_name(k, m)) for k in range(1, n + 1)], "half_life"),
+            F.col(f"_cur_{m}"),
             F.col(f"team_prior_{m}"),
             F.col(f"league_prior_{m}"),
             F.col("prior_strength"),
@@ -142,8 +161,8 @@ def materialize(
         )
         for m in metrics
     }
-    drop = [f"{p}_prior_{m}" for m in metrics for p in ("team", "league")]
-    return rows.withColumns(blended).drop(*drop)
+    drop = [c for m in metrics for c in (f"team_prior_{m}", f"league_prior_{m}", f"_cur_{m}")]
+    return fanned.withColumns(blended).drop(*drop)
 
 
 def opponent_adjusted(
@@ -197,10 +216,14 @@ def opponent_adjusted(
     keyed = observed.withColumn("_who", F.struct(entity, "half_life", "prior_strength"))
     relagged = build_lags(keyed, adjusted, "_who", season, ts, row_id)
     priors = season_priors(
-        relagged.drop("half_life"), adjusted, list(half_lives), "_who", season, ts, row_id
+        relagged.drop("half_life"), adjusted, list(half_lives), "_who", season, ts, row_id,
+        league=[season, "prior_strength"], league_from={"prior_strength": F.col("_who.prior_strength")},
     )
     own_half_life = F.col("_who.half_life") == F.col("half_life")
-    joined = relagged.join(priors.filter(own_half_life), ["_who", season, "half_life"], "left")
+    matched = priors.filter(own_half_life).drop("prior_strength")
+    joined = relagged.join(matched, ["_who", season, "half_life"], "left")
+    weights = F.array(*[F.pow(F.lit(2.0), F.lit(-float(k)) / F.col("half_life")) for k in range(LAG_COUNT)])
+    joined = joined.withColumn("_w", weights)
     return joined.select(
         row_id,
         entity,
@@ -208,7 +231,10 @@ def opponent_adjusted(
         "prior_strength",
         *[
             blend(
-                decayed_mean([F.col(lag_name(k, m)) for k in range(1, LAG_COUNT + 1)], "half_life"),
+                decayed_mean(
+                    [F.col(lag_name(k, m)) for k in range(1, LAG_COUNT + 1)],
+                    [F.col("_w")[k] for k in range(LAG_COUNT)],
+                ),
                 F.col(f"team_prior_{m}"),
                 F.col(f"league_prior_{m}"),
                 F.col("prior_strength"),
