@@ -272,7 +272,9 @@ consensus AS (SELECT cg.*, coalesce(dis.books, '') AS dislocated_books,
 
 
 def anchor_contracts(spark, sf_dir):
-    return rounded(mk.anchor_contract(priced_quotes(spark, sf_dir)))
+    c = mk.anchor_contract(priced_quotes(spark, sf_dir))
+    prices = ("anchor_orientation_price", "anchor_other_price")
+    return rounded(c.withColumns({p: F.col(p).cast("double") for p in prices}))
 
 
 _ANCHOR = "bookmaker_key = 'pinnacle'"
@@ -382,7 +384,7 @@ ORACLES = {
       retail_books_count, status, dislocated_books, source_updated_at_utc FROM consensus""",
     "anchor_contracts": f"""WITH {PRICED_SQL}, {ANCHOR_CTE.format(keys='snapshot_id, provider_event_id, market', source='priced', age='30')}
       SELECT snapshot_id, provider_event_id, market, snapshot_retrieved_at_utc, contract_valid, reason,
-      {r6('CASE WHEN priced THEN l1 END')} AS anchor_line, CASE WHEN priced THEN p1 END AS anchor_orientation_price, CASE WHEN priced THEN p2 END AS anchor_other_price,
+      {r6('CASE WHEN priced THEN l1 END')} AS anchor_line, CAST(CASE WHEN priced THEN p1 END AS DOUBLE) AS anchor_orientation_price, CAST(CASE WHEN priced THEN p2 END AS DOUBLE) AS anchor_other_price,
       {r6('CASE WHEN priced THEN f1 END')} AS anchor_orientation_no_vig_probability, {r6('CASE WHEN priced THEN o1 END')} AS anchor_overround,
       CASE WHEN priced AND nou = 0 THEN newest END AS anchor_updated_at_utc FROM anchor""",
     "complete_contracts": f"""WITH {PRICED_SQL}, c AS (SELECT snapshot_id, provider_event_id, bookmaker_key, market, canonical_line, count(*) AS n,
