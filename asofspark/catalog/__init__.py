@@ -1,8 +1,8 @@
 """All registered queries and their SQL twins."""
 
-from asofspark.catalog import features, prices, sequences
+from asofspark.catalog import features, models, prices, sequences
 
-_MODULES = (features, prices, sequences)
+_MODULES = (features, prices, sequences, models)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

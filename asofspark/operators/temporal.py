@@ -17,6 +17,10 @@ from asofspark.fixed_values import HALF_LIFE_GRID, LAG_COUNT, PRIOR_STRENGTH_GRI
 from asofspark.functions.scalars import col
 
 
+def _listed(c: str | list[str]) -> list[str]:
+    return [c] if isinstance(c, str) else list(c)
+
+
 def lag_name(k: int, metric: str) -> str:
     return f"lag{k}_{metric}"
 
@@ -24,7 +28,7 @@ def lag_name(k: int, metric: str) -> str:
 def build_lags(
     rows: DataFrame,
     metrics: list[str],
-    entity: str = "team_id",
+    entity: str | list[str] = "team_id",
     season: str = "season",
     ts: str = "kickoff_dt",
     row_id: str = "game_id",
@@ -34,7 +38,7 @@ def build_lags(
 
     ``games_available`` counts the non-null lags of the first metric.
     """
-    w = Window.partitionBy(entity, season).orderBy(ts, row_id)
+    w = Window.partitionBy(*_listed(entity), season).orderBy(ts, row_id)
     lags = {
         lag_name(k, c): F.lag(c, k).over(w)
         for k in range(1, n + 1)
@@ -80,30 +84,37 @@ def configurations(df: DataFrame, half_lives=HALF_LIFE_GRID, strengths=PRIOR_STR
 def season_priors(
     lags: DataFrame,
     metrics: list[str],
-    half_lives: list[float],
+    half_lives: list[float] | None,
     entity: str = "team_id",
     season: str = "season",
     ts: str = "kickoff_dt",
     row_id: str = "game_id",
     n: int = LAG_COUNT,
-    league: list[str] | None = None,
-    league_from: dict[str, Column] | None = None,
+    within: list[str] | None = None,
 ) -> DataFrame:
     """End-of-season strength per entity and its league average, for the next season.
 
     Built from the last n rows whose first metric is observed, offset 0
     included. The league prior averages the entity priors of the season.
+    With ``half_lives`` None the rows already carry a ``half_life`` column, and
+    ``within`` names the configuration columns that keep their histories apart.
     """
-    recent = Window.partitionBy(entity, season).orderBy(F.col(ts).desc(), F.col(row_id).desc())
+    within = within or []
+    recent = Window.partitionBy(entity, *within, season).orderBy(F.col(ts).desc(), F.col(row_id).desc())
     tail = (
         lags.filter(F.col(metrics[0]).isNotNull())
-        .select(entity, season, *metrics, (F.row_number().over(recent) - 1).alias("_k"))
+        .select(entity, *within, season, *metrics, (F.row_number().over(recent) - 1).alias("_k"))
         .filter(F.col("_k") < n)
     )
-    tail = half_life_rows(tail, half_lives, n).withColumn(
-        "_w", F.array(*[F.col(f"_w{k}") for k in range(n)])[F.col("_k")]
-    )
-    team = tail.groupBy(entity, season, "half_life").agg(
+    if half_lives is None:
+        tail = tail.withColumn("_w", F.pow(F.lit(2.0), -F.col("_k") / F.col("half_life")))
+        group = [season, *within]
+    else:
+        tail = half_life_rows(tail, half_lives, n).withColumn(
+            "_w", F.array(*[F.col(f"_w{k}") for k in range(n)])[F.col("_k")]
+        )
+        group = [season, *within, "half_life"]
+    team = tail.groupBy(entity, *group).agg(
         *[
             F.try_divide(F.sum(F.col(m) * F.col("_w")), F.sum(F.when(F.col(m).isNotNull(), F.col("_w")))).alias(
                 f"team_prior_{m}"
@@ -111,8 +122,6 @@ def season_priors(
             for m in metrics
         ]
     )
-    team = team.withColumns(league_from or {})
-    group = [*(league or [season]), "half_life"]
     average = team.groupBy(*group).agg(*[F.avg(f"team_prior_{m}").alias(f"league_prior_{m}") for m in metrics])
     return team.join(average, group).withColumn(season, F.col(season) + 1)
 
@@ -212,18 +221,12 @@ def opponent_adjusted(
             )
         ],
     )
-    # each configuration is its own history: make it part of the entity
-    keyed = observed.withColumn("_who", F.struct(entity, "half_life", "prior_strength"))
-    relagged = build_lags(keyed, adjusted, "_who", season, ts, row_id)
-    priors = season_priors(
-        relagged.drop("half_life"), adjusted, list(half_lives), "_who", season, ts, row_id,
-        league=[season, "prior_strength"], league_from={"prior_strength": F.col("_who.prior_strength")},
-    )
-    own_half_life = F.col("_who.half_life") == F.col("half_life")
-    matched = priors.filter(own_half_life).drop("prior_strength")
-    joined = relagged.join(matched, ["_who", season, "half_life"], "left")
+    # each configuration is its own history
+    config = ["half_life", "prior_strength"]
+    relagged = build_lags(observed, adjusted, [entity, *config], season, ts, row_id)
+    priors = season_priors(relagged, adjusted, None, entity, season, ts, row_id, within=config)
     weights = F.array(*[F.pow(F.lit(2.0), F.lit(-float(k)) / F.col("half_life")) for k in range(LAG_COUNT)])
-    joined = joined.withColumn("_w", weights)
+    joined = relagged.join(priors, [entity, *config, season], "left").withColumn("_w", weights)
     return joined.select(
         row_id,
         entity,
