@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from asofspark.catalog import features as ft
 from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, play_sums, plays, r6, rounded, table
 from asofspark.operators import asof, personnel, scan
+from asofspark.operators import market as mk
 from asofspark.operators import observe as obs
 from asofspark.operators import schedule as sched
 from asofspark.operators import temporal as tmp
@@ -90,6 +91,18 @@ def category_counts(spark, sf_dir):
     return obs.category_counts(rows)
 
 
+def line_movement(spark, sf_dir):
+    """Change of each contract's value against its previous snapshot."""
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.col("value").alias("line"))
+    return rounded(mk.line_movement(e, ["event_type"], "ts", "line", "event_id"))
+
+
+def split_lags(spark, sf_dir):
+    """Lags of raw events per type, each type split over time."""
+    e = table(spark, sf_dir, "events").select("event_type", F.year("ts").alias("season"), "ts", "event_id", "value")
+    return tmp.build_lags(e, ["value"], "event_type", "season", "ts", "event_id", split=True)
+
+
 def latest_view(spark, sf_dir):
     """Latest view at or before each purchase of the same user."""
     ev = table(spark, sf_dir, "events")
@@ -235,6 +248,8 @@ QUERIES = {
     "game_sequence": game_sequence,
     "member_continuity": member_continuity,
     "category_counts": category_counts,
+    "line_movement": line_movement,
+    "split_lags": split_lags,
     "latest_view_asof": latest_view,
     "interval_matches": matched_events,
     "opponent_adjusted": opponent_adjusted,
@@ -271,6 +286,12 @@ ORACLES = {
         count(*) FILTER (st IN ('Out', 'Doubtful') AND p IN ('DE', 'DT', 'LB')) AS defensive_front_out_doubtful,
         count(*) FILTER (st IN ('Out', 'Doubtful') AND p IN ('CB', 'S')) AS secondary_out_doubtful,
         count(*) FILTER (st = 'Questionable') AS questionable_players FROM s GROUP BY 1, 2, 3""",
+    "line_movement": """SELECT event_type, ts, event_id, value AS line, lag(value) OVER w AS previous_line, round(value - lag(value) OVER w, 6) + 0e0 AS line_movement
+      FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+    "split_lags": "SELECT event_type, CAST(year(ts) AS INT) AS season, ts, event_id, value, "
+    + ", ".join(f"lag(ts, {k}) OVER w AS lag{k}_ts, lag(value, {k}) OVER w AS lag{k}_value" for k in range(1, 5))
+    + ", " + " + ".join(f"CASE WHEN lag(value, {k}) OVER w IS NOT NULL THEN 1 ELSE 0 END" for k in range(1, 5)) + """ AS games_available
+      FROM events WINDOW w AS (PARTITION BY event_type, year(ts) ORDER BY ts, event_id)""",
     "latest_view_asof": """SELECT l.event_id, l.user_id, l.ts, r.ts AS view_ts, r.event_id AS view_id, r.value AS view_value
       FROM (SELECT * FROM events WHERE event_type = 'purchase') l
       ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') r ON r.user_id = l.user_id AND r.ts <= l.ts""",

@@ -70,7 +70,10 @@ def stream_latest_in_window(spark, sf_dir):
 
 def stream_line_movement(spark, sf_dir):
     ev = _events(spark, sf_dir).select("user_id", "event_type", "ts", F.col("value").alias("line"))
-    out = _naive(_drained(spark, st.line_movement_stream(ev, ["user_id", "event_type"], "ts", "line")), "ts")
+    place = _place(spark)
+    body = st.line_movement_batches(f"{place}/out", f"{place}/state", ["user_id", "event_type"], "ts", "line")
+    st.drain_batches(ev, body, f"{place}/ck")
+    out = _naive(spark.read.parquet(f"{place}/out").drop("batch"), "ts")
     return out.withColumn("line_movement", F.round("line_movement", 6))
 
 

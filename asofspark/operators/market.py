@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.fixed_values import (
@@ -21,6 +21,7 @@ from asofspark.fixed_values import (
 )
 from asofspark.functions import prices as px
 from asofspark.functions.scalars import col, first_reason, minutes_between
+from asofspark.operators.scan import lags
 
 
 @dataclass(frozen=True)
@@ -311,9 +312,11 @@ def canonical_closes(
     return best.select(*keys, "_r.*")
 
 
-def line_movement(quotes: DataFrame, keys: list[str], ts: str, line: str) -> DataFrame:
-    """Change of the line against the previous snapshot of the same contract."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    return quotes.withColumn("previous_line", F.lag(line).over(w)).withColumn(
-        "line_movement", F.col(line) - F.col("previous_line")
-    )
+def line_movement(quotes: DataFrame, keys: list[str], ts: str, line: str, tie: str | None = None) -> DataFrame:
+    """Change of the line against the previous snapshot of the same contract.
+
+    A contract with very many snapshots is split over time.
+    """
+    order = [F.col(ts), *([F.col(tie)] if tie else [])]
+    moved = lags(quotes, keys, order, [line], 1, lambda k, c: "previous_line")
+    return moved.withColumn("line_movement", F.col(line) - F.col("previous_line"))

@@ -40,6 +40,9 @@ def decayed_rates(
     seq = Window.partitionBy(member).orderBy(ts, game)
     upto = seq.rowsBetween(Window.unboundedPreceding, 0)
     numbered = games.withColumn("_i", F.row_number().over(seq))
+    # the running sums hold 2^(i/h), which must stay a finite double
+    too_long = F.raise_error(F.lit("history too long for this half-life")).cast("int")
+    numbered = numbered.withColumn("_i", F.when(F.col("_i") > 1000 * float(half_life), too_long).otherwise(F.col("_i")))
     grow = F.pow(F.lit(2.0), F.col("_i") / F.lit(float(half_life)))
     history = numbered.select(
         member,

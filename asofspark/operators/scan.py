@@ -128,3 +128,38 @@ def carry_forward(
     handed = tails.select(RANGE, *keys, F.last("_tail", ignorenulls=True).over(before).alias("_handed"))
     joined = scanned.join(handed, [RANGE, *keys])
     return joined.select(*df.columns, F.coalesce("_local", "_handed").alias(name))
+
+
+def lags(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    columns: list[str],
+    n: int = 1,
+    name=lambda k, c: f"lag{k}_{c}",
+) -> DataFrame:
+    """Lags 1..n of ``columns`` per key, with a hot key split over its order.
+
+    Each range lags its own rows; the last n rows of the ranges before it (at
+    least one row each, so n ranges are enough) supply its first rows.
+    """
+    rows = _ranged(df, keys, order)
+    inside = Window.partitionBy(RANGE, *keys).orderBy(*order)
+    backward = Window.partitionBy(RANGE, *keys).orderBy(*[o.desc() for o in order])
+    numbered = rows.withColumns(
+        {"_rn": F.row_number().over(inside), **{f"_in{k}_{c}": F.lag(c, k).over(inside) for k in range(1, n + 1) for c in columns}}
+    )
+    last = rows.withColumn("_back", F.row_number().over(backward)).filter(F.col("_back") <= n)
+    tail = last.groupBy(RANGE, *keys).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("_at"), *columns))).alias("_tail")
+    )
+    near = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(-n, -1)
+    handed = tail.select(RANGE, *keys, F.flatten(F.collect_list("_tail").over(near)).alias("_handed"))
+    joined = numbered.join(handed, [RANGE, *keys])
+
+    def lagged(k: int, c: str) -> Column:
+        # counted from the end of what came before this range
+        from_end = F.col("_rn") - k - 1
+        return F.when(F.col("_rn") > k, F.col(f"_in{k}_{c}")).otherwise(F.try_element_at("_handed", from_end.cast("int"))[c])
+
+    return joined.select(*df.columns, *[lagged(k, c).alias(name(k, c)) for k in range(1, n + 1) for c in columns])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asofspark.fixed_values import HALF_LIFE_GRID, LAG_COUNT, PRIOR_STRENGTH_GRID
-from asofspark.functions.scalars import col
+from asofspark.operators import scan
 
 
 def _listed(c: str | list[str]) -> list[str]:
@@ -25,6 +25,10 @@ def lag_name(k: int, metric: str) -> str:
     return f"lag{k}_{metric}"
 
 
+def _available(metric: str, n: int) -> Column:
+    return reduce(add, [F.col(lag_name(k, metric)).isNotNull().cast("int") for k in range(1, n + 1)])
+
+
 def build_lags(
     rows: DataFrame,
     metrics: list[str],
@@ -33,19 +37,25 @@ def build_lags(
     ts: str = "kickoff_dt",
     row_id: str = "game_id",
     n: int = LAG_COUNT,
+    split: bool = False,
 ) -> DataFrame:
     """Explicit lags 1..n of every metric and of the time, within entity-season.
 
-    ``games_available`` counts the non-null lags of the first metric.
+    ``games_available`` counts the non-null lags of the first metric. One row
+    per period keeps an entity-season small; ``split`` is for inputs where one
+    entity-season may hold a large share of all rows, and spreads it by time.
     """
+    if split:
+        keys = [*_listed(entity), season]
+        lagged = scan.lags(rows, keys, [F.col(ts), F.col(row_id)], [ts, *metrics], n, lag_name)
+        return lagged.withColumn("games_available", _available(metrics[0], n))
     w = Window.partitionBy(*_listed(entity), season).orderBy(ts, row_id)
     lags = {
         lag_name(k, c): F.lag(c, k).over(w)
         for k in range(1, n + 1)
         for c in [ts, *metrics]
     }
-    available = reduce(add, [F.col(lag_name(k, metrics[0])).isNotNull().cast("int") for k in range(1, n + 1)])
-    return rows.withColumns(lags).withColumn("games_available", available)
+    return rows.withColumns(lags).withColumn("games_available", _available(metrics[0], n))
 
 
 def decay_weights(half_life: float, n: int = LAG_COUNT) -> list[Column]:

@@ -11,6 +11,7 @@ from asofspark.functions.scalars import first_reason, stable_id
 from asofspark.operators import distribution as ds
 from asofspark.operators import evaluate as ev
 from asofspark.operators import market as mk
+from asofspark.session import checkpointed
 
 
 def settle(
@@ -111,6 +112,7 @@ def settle(
         return out.withColumns({c: null for c in (
             "closing_contract_win_probability", "closing_contract_push_probability", "closing_contract_loss_probability",
             "decision_price_clv", "closing_contract_ev")})
+    out = checkpointed(out)  # read by the pricing and by the final join
     priced = ds.closing_anchored(
         model,
         out.filter("clv_status = 'AVAILABLE'").select(

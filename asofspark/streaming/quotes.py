@@ -8,16 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from asofspark.fixed_values import CLOSE_WINDOW_EARLIEST, CLOSE_WINDOW_LATEST, FRESHNESS_MINUTES
 from asofspark.functions.scalars import local_week_start
 from asofspark.operators import market as mk
 from asofspark.operators.ledger import Ledger
+from asofspark.session import checkpointed
 from asofspark.sources.readers import BOARD
 
 
@@ -75,45 +74,29 @@ def latest_in_window(
     return best.select(*keys, "_r.*")
 
 
-def line_movement_stream(quotes: DataFrame, keys: list[str], ts: str, line: str, delay: str = "1 hour", idle_ms: int = 14 * 24 * 3600 * 1000) -> DataFrame:
-    """Change of the line against the contract's previous snapshot.
+def line_movement_batches(out: str, state: str, keys: list[str], ts: str, line: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: change of the line against the contract's previous snapshot.
 
-    The state of a contract is its last time and line; it is dropped when the
-    watermark passes ``idle_ms`` after the last quote. Rows of a key inside a
-    trigger are sorted first; a key's rows arrive in Arrow batches.
+    The state is one row per contract (last time and line), written per batch
+    id, so a repeated batch reads the same state and rewrites the same files.
+    Inside a batch the batch operator splits a hot contract over time; no
+    contract's rows are gathered in one task.
     """
-    fields = [quotes.schema[k] for k in keys]
-    out = T.StructType(
-        [*fields, T.StructField(ts, quotes.schema[ts].dataType), T.StructField(line, T.DoubleType()),
-         T.StructField("previous_line", T.DoubleType()), T.StructField("line_movement", T.DoubleType())]
-    )
-    state = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("line", T.DoubleType())])
-
-    def step(key, batches, group: GroupState):
-        if group.hasTimedOut:
-            group.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values([ts, line])
-        last = group.get if group.exists else None
-        previous = pdf[line].shift(1)
-        if last is not None:
-            previous.iloc[0] = last[1]
-        result = pd.DataFrame({k: [v] * len(pdf) for k, v in zip(keys, key)})
-        result[ts] = pdf[ts].to_numpy()
-        result[line] = pdf[line].to_numpy()
-        result["previous_line"] = previous.to_numpy()
-        result["line_movement"] = result[line] - result["previous_line"]
-        newest = pdf[ts].max()
-        group.update((newest.to_pydatetime(), float(pdf[line].iloc[-1])))
-        group.setTimeoutTimestamp(int(max(newest.timestamp() * 1000, group.getCurrentWatermarkMs())) + idle_ms)
-        yield result
-
-    return (
-        quotes.select(*keys, ts, F.col(line).cast("double").alias(line))
-        .withWatermark(ts, delay)
-        .groupBy(*keys)
-        .applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*keys, ts, line).withColumn("_new", F.lit(True))
+        known = rows
+        if batch_id > 0:
+            held = spark.read.schema(rows.drop("_new").schema).parquet(f"{state}/{batch_id - 1}")
+            known = rows.unionByName(held.withColumn("_new", F.lit(False)))
+        known = checkpointed(known)
+        moved = mk.line_movement(known, keys, ts, line).filter("_new").drop("_new")
+        moved.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = known.groupBy(*keys).agg(F.max_by(F.struct(ts, line), F.struct(ts, line)).alias("_r")).select(*keys, "_r.*")
+        last.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+
+    return run
 
 
 def per_batch(transform: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -141,7 +124,3 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", fm
 
 def drain_batches(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     stream.writeStream.foreachBatch(body).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def week_bucket(ts: str | Column, zone: str) -> Column:
-    return local_week_start(ts, zone)
