@@ -184,6 +184,28 @@ def materialize(
     return fanned.withColumns(blended).drop(*drop)
 
 
+def opponent_gap(
+    own: DataFrame,
+    pregame: DataFrame,
+    pairs: dict[str, tuple[str, str]],
+    keys: list[str],
+    entity: str = "team_id",
+    opponent: str = "opponent_team_id",
+) -> DataFrame:
+    """Observed value minus what the opponent's pregame strength would give."""
+    other = pregame.select(
+        *keys,
+        F.col(entity).alias(opponent),
+        *[F.col(m).alias(f"_opp_{m}") for m in dict.fromkeys(m for pair in pairs.values() for m in pair)],
+    )
+    gaps = {}
+    for name, (off, deff) in pairs.items():
+        gaps[f"off_opp_adj_{name}"] = F.col(off) - F.col(f"_opp_{deff}")
+        gaps[f"def_opp_adj_{name}"] = F.col(deff) - F.col(f"_opp_{off}")
+    joined = own.join(other, [*keys, opponent], "left").withColumns(gaps)
+    return joined.drop(*[f"_opp_{m}" for pair in pairs.values() for m in pair])
+
+
 def opponent_adjusted(
     lags: DataFrame,
     pregame: DataFrame,
@@ -203,33 +225,11 @@ def opponent_adjusted(
     adjusted metrics per (row_id, entity, half_life, prior_strength).
     """
     adjusted = [f"{side}_opp_adj_{name}" for name in pairs for side in ("off", "def")]
-    other = pregame.select(
-        row_id,
-        F.col(entity).alias(opponent),
-        "half_life",
-        "prior_strength",
-        *[F.col(m).alias(f"_opp_{m}") for pair in pairs.values() for m in pair],
-    )
-    own = configurations(
-        lags.select(row_id, entity, opponent, season, ts, *dict.fromkeys(m for pair in pairs.values() for m in pair)),
-        half_lives,
-        strengths,
-    )
-    observed = own.join(other, [row_id, opponent, "half_life", "prior_strength"], "left").select(
-        row_id,
-        entity,
-        season,
-        ts,
-        "half_life",
-        "prior_strength",
-        *[
-            expr
-            for name, (off, deff) in pairs.items()
-            for expr in (
-                (F.col(off) - F.col(f"_opp_{deff}")).alias(f"off_opp_adj_{name}"),
-                (F.col(deff) - F.col(f"_opp_{off}")).alias(f"def_opp_adj_{name}"),
-            )
-        ],
+    metrics = list(dict.fromkeys(m for pair in pairs.values() for m in pair))
+    own = configurations(lags.select(row_id, entity, opponent, season, ts, *metrics), half_lives, strengths)
+    keys = [row_id, "half_life", "prior_strength"]
+    observed = opponent_gap(own, pregame, pairs, keys, entity, opponent).select(
+        row_id, entity, season, ts, "half_life", "prior_strength", *adjusted
     )
     # each configuration is its own history
     config = ["half_life", "prior_strength"]
