@@ -21,23 +21,23 @@ from asofspark.fixed_values import BOOTSTRAP_SAMPLES, BOOTSTRAP_SEED
 _CHUNK = 512
 
 
-def _uniform(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """Hash of (row, replicate) to (0, 1)."""
+def _hash_words(ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Four 16-bit words per (row, group of four replicates)."""
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64)[:, None] ^ (reps.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        x = ids.astype(np.uint64)[:, None] ^ (groups.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return x.view(np.uint16)
 
 
-def _poisson_cdf(mean: float) -> np.ndarray:
-    terms = [np.exp(-mean)]
-    k = 1
+def _poisson_table(mean: float) -> np.ndarray:
+    """Poisson quantiles at the 65,536 midpoints of a 16-bit word."""
+    terms, k = [np.exp(-mean)], 1
     while sum(terms) < 1 - 1e-15 and k < 400:
         terms.append(terms[-1] * mean / k)
         k += 1
-    return np.cumsum(terms)
+    return np.searchsorted(np.cumsum(terms), (np.arange(65536) + 0.5) / 65536, side="right").astype(float)
 
 
 def replicate_sums(
@@ -61,23 +61,26 @@ def replicate_sums(
     index = {b: i for i, b in enumerate(blocks)}
     names = list(values)
     reps = np.arange(samples)
+    groups = np.arange(-(-samples // 4))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((samples, len(names) + 1))
-        cdfs = {m: _poisson_cdf(float(m)) for m in np.unique(draws) if m > 0}
+        tables = {m: _poisson_table(float(m)) for m in np.unique(draws) if m > 0}
         for pdf in batches:
-            where = pdf["_b"].map(index).to_numpy() if index else np.zeros(len(pdf), dtype=int)
+            where = pdf["_b"].map(index).to_numpy() if index else None
             x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
             ids = pdf["_h"].to_numpy()
             for start in range(0, len(pdf), _CHUNK):
                 part = slice(start, start + _CHUNK)
-                u = _uniform(ids[part], reps)
-                times = draws[:, where[part]].T
-                weight = np.zeros(u.shape)
-                for m, cdf in cdfs.items():
-                    hit = times == m
-                    if hit.any():
-                        weight[hit] = np.searchsorted(cdf, u[hit], side="right")
+                words = _hash_words(ids[part], groups)[:, :samples]
+                if where is None:
+                    weight = tables[1][words]
+                else:
+                    times = draws[:, where[part]].T
+                    weight = np.zeros(words.shape)
+                    for m, quantiles in tables.items():
+                        hit = times == m
+                        weight[hit] = quantiles[words[hit]]
                 total += weight.T @ x[part]
         out = pd.DataFrame(total, columns=["weight", *names])
         out.insert(0, "replicate", reps)
