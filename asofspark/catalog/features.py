@@ -93,15 +93,10 @@ def _decay_sql(metric: str, h: str) -> str:
 def decayed_features(spark, sf_dir):
     """Half-life weighted mean of the last four games, strictly before each game."""
     lags = tmp.build_lags(team_games(spark, sf_dir), BASE)
-    return lags.select(
-        "game_id",
-        "team_id",
-        "season",
-        "games_available",
-        *[
-            F.round(tmp.decayed_mean([F.col(tmp.lag_name(k, m)) for k in range(1, 5)], tmp.decay_weights(2.0)), 6).alias(m)
-            for m in BASE
-        ],
+    weights = tmp.decay_weights(2.0)
+    means = {m: tmp.decayed_mean([F.col(tmp.lag_name(k, m)) for k in range(1, 5)], weights) for m in BASE}
+    return rounded(
+        lags.select("game_id", "team_id", "season", "games_available", *[c.alias(m) for m, c in means.items()])
     )
 
 

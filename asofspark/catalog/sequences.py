@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofspark.catalog import features as ft
@@ -218,8 +217,8 @@ FROM s2 a LEFT JOIN s2 b ON b.team_id = a.team_id AND b.player_id = a.player_id
 def ranked_entities(spark, sf_dir):
     """Deterministic multi-key ranking of nations, from a compact aggregate."""
     t = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("bal"))
-    w = Window.orderBy(F.col("n").desc(), F.col("bal").desc(), "s_nationkey")
-    return rounded(t.withColumn("rank", F.row_number().over(w)))
+    order = [F.col("n").desc(), F.col("bal").desc(), F.col("s_nationkey")]
+    return rounded(scan.row_numbers(t, order, "rank"))
 
 
 def best_contract_per_exposure(spark, sf_dir):
@@ -307,7 +306,7 @@ ORACLES = {
       FROM (SELECT *, l_discount - l_tax AS edge, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END AS outcome FROM lineitem) y) x GROUP BY 1""",
     "decayed_rates": _RATE_SQL,
     "last_four_share": _SHARE_SQL,
-    "ranked_entities": f"""SELECT s_nationkey, n, {r6('bal')} AS bal, CAST(row_number() OVER (ORDER BY n DESC, bal DESC, s_nationkey) AS INT) AS rank
+    "ranked_entities": f"""SELECT s_nationkey, n, {r6('bal')} AS bal, row_number() OVER (ORDER BY n DESC, bal DESC, s_nationkey) AS rank
       FROM (SELECT s_nationkey, count(*) AS n, sum(s_acctbal) AS bal FROM supplier GROUP BY 1) x""",
     "best_per_exposure": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id DESC) AS rn FROM events) x
       WHERE rn = 1 ORDER BY value DESC, event_id LIMIT 5""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofspark.operators.scan import carry_forward
+from asofspark.operators.scan import carry_forward, running_totals
 
 
 def unique_key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,6 +104,30 @@ def latest_before(df: DataFrame, keys: list[str], ts: str, cutoff: Column, paylo
     return picked.select(*keys, "_r.*")
 
 
+def _only_within(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left_ts: str, right_id: str, right_ts: str, micros: int) -> DataFrame:
+    """Left rows with exactly one right row within the tolerance, and that row.
+
+    Right rows are numbered in time order; a left row's window holds the
+    numbers between two running counts, so its single match is found by
+    number. No pairs are formed, however many rows share a key.
+    """
+    def at(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    points = right.select(*on, at(right_ts).alias("_v"), F.lit(1).alias("_tag"), F.lit(1).cast("bigint").alias("_cnt"), F.col(right_id).alias("_rid"))
+    edges = F.inline(F.array(
+        F.struct((at(left_ts) - micros).alias("_v"), F.lit(0).alias("_tag")), F.struct((at(left_ts) + micros).alias("_v"), F.lit(2).alias("_tag"))
+    ))
+    probes = left.select(*on, F.col(left_id).alias("_lid"), edges).withColumn("_cnt", F.lit(0).cast("bigint"))
+    ranked = running_totals(points.unionByName(probes, allowMissingColumns=True), [F.col("_v"), F.col("_tag")], {"_n": F.col("_cnt")}, on)
+    windows = ranked.filter(F.col("_tag") != 1).groupBy(*on, "_lid").agg(
+        F.max(F.when(F.col("_tag") == 2, F.col("_n"))).alias("_n"), F.max(F.when(F.col("_tag") == 0, F.col("_n"))).alias("_before")
+    )
+    single = windows.filter(F.col("_n") - F.col("_before") == 1)
+    numbered = ranked.filter(F.col("_tag") == 1).select(*on, "_n", "_rid")
+    return single.join(numbered, [*on, "_n"]).select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id))
+
+
 def interval_match(
     events: DataFrame,
     schedule: DataFrame,
@@ -114,22 +138,8 @@ def interval_match(
     schedule_id: str,
     tolerance_seconds: int,
 ) -> DataFrame:
-    """Pairs within a time tolerance that are one-to-one in both directions.
-
-    Time is cut into buckets of the tolerance; an event looks into three of
-    them, so a hot pair of keys is spread over its buckets.
-    """
+    """Pairs within an inclusive time tolerance that are one-to-one in both directions."""
     micros = tolerance_seconds * 1_000_000
-
-    def bucket(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(micros))
-
-    probes = events.withColumn("_b", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: bucket(event_ts) + i)))
-    slots = schedule.withColumn("_b", bucket(schedule_ts))
-    near = probes.join(slots, [*on, "_b"]).filter(
-        F.abs(F.timestamp_diff("MICROSECOND", F.col(event_ts), F.col(schedule_ts))) <= micros
-    )
-    pairs = near.select(event_id, schedule_id)
-    by_event = pairs.groupBy(event_id).agg(F.count(F.lit(1)).alias("_n"), F.max(schedule_id).alias(schedule_id)).filter("_n = 1")
-    by_slot = pairs.groupBy(schedule_id).agg(F.count(F.lit(1)).alias("_m")).filter("_m = 1")
-    return by_event.join(by_slot, schedule_id, "left_semi").select(event_id, schedule_id)
+    forward = _only_within(events, schedule, on, event_id, event_ts, schedule_id, schedule_ts, micros)
+    backward = _only_within(schedule, events, on, schedule_id, schedule_ts, event_id, event_ts, micros)
+    return forward.join(backward, [event_id, schedule_id], "left_semi").select(event_id, schedule_id)

@@ -92,7 +92,9 @@ def classify(batch: DataFrame, existing: DataFrame, keys: tuple[str, ...], trans
     one = hashed.groupBy(*keys).agg(
         F.min_by(F.struct(*rest), "_hash").alias("_r"), F.min("_hash").alias("_hash"), F.max("_hash").alias("_hash_max")
     )
-    old = existing.select(*keys, content_hash(existing, tuple(transient)).alias("_old"))
+    # only ledger rows whose key recurs are hashed; a small batch is broadcast here by size
+    recurring = existing.join(one.select(*keys), list(keys), "left_semi").select(*existing.columns)
+    old = recurring.select(*keys, content_hash(existing, tuple(transient)).alias("_old"))
     joined = one.join(old, list(keys), "left")
     status = (
         F.when(F.col("_hash") != F.col("_hash_max"), F.lit("CONFLICT"))

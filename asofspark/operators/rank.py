@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.fixed_values import MIN_EDGE
@@ -149,17 +149,11 @@ def against_average(latest: DataFrame, metrics: list[str], entity: str = "team_i
     )
 
 
-def neutral_ratings(projected: DataFrame, value: str, entity: str = "team_id", distributed: bool = False) -> DataFrame:
-    """Centred rating and deterministic rank of every entity.
-
-    ``distributed`` ranks by a range-partitioned scan, for very many entities.
-    """
+def neutral_ratings(projected: DataFrame, value: str, entity: str = "team_id") -> DataFrame:
+    """Centred rating and deterministic rank of every entity, without a one-task sort."""
     mean = projected.agg(F.avg(value).alias("m"))
     centred = projected.withColumn("rating", F.col(value) - mean.scalar())
-    order = [F.col("rating").desc(), F.col(entity)]
-    if distributed:
-        return row_numbers(centred, order, "rank")
-    return centred.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return row_numbers(centred, [F.col("rating").desc(), F.col(entity)], "rank")
 
 
 def diagnostics_overlay(team_rows: DataFrame, fields: list[str], key: str = "game_id") -> DataFrame:
