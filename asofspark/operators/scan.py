@@ -20,10 +20,10 @@ def _ranged(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Range-partition and record the range of each row.
 
     The rows are written out once, so a lost executor cannot lead to other
-    range bounds in one of the two reads that follow.
+    range bounds in one of the two reads that follow. No partition count is
+    given: adjacent small ranges may be merged at run time, in order.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     return checkpointed(ranged.withColumn(RANGE, F.spark_partition_id()))
 
 
