@@ -80,6 +80,21 @@ UNION ALL SELECT 'row_count_difference', 'orders', abs((SELECT count(*) FROM ord
 UNION ALL SELECT 'declared_mismatch', 'customer', count(*) FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) <> 10) a"""
 
 
+def hash_and_order_checks(spark, sf_dir):
+    """Stored row hashes recomputed, and times that must follow each other."""
+    o = table(spark, sf_dir, "orders")
+    stored = o.withColumn("content_hash", sc.content_hash(o))
+    changed = stored.withColumn("o_totalprice", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    shipped = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return ck.all_checks(
+        ck.hash_mismatch(changed, "orders"),
+        ck.check_bundle(shipped, "lineitem", {
+            "ordered_after_shipping": ck.out_of_order("o_orderdate", "l_shipdate"),
+            "outside_window": ck.window_violation("l_shipdate", "o_orderdate", 0.0, 60.0 * 24 * 365),
+        }),
+    )
+
+
 def readiness_audit(spark, sf_dir):
     return ck.blocking_reasons(table_checks(spark, sf_dir)).select("status", F.array_join("blocking_reasons", ",").alias("reasons"))
 
@@ -470,6 +485,7 @@ def nested_probabilities(spark, sf_dir):
 
 QUERIES = {
     "table_checks": table_checks,
+    "hash_and_order_checks": hash_and_order_checks,
     "readiness_audit": readiness_audit,
     "leakage_checks": leakage_checks,
     "column_profile": column_profile,
@@ -510,6 +526,9 @@ _DRV = {"l_quantity": (0.013, 25.3), "l_discount": (-7.1, 0.051), "l_tax": (9.7,
 _ANY = "home_score IS NULL OR away_score IS NULL OR home_spread_odds = 0"
 ORACLES = {
     "table_checks": _CHECKS_SQL,
+    "hash_and_order_checks": """SELECT 'content_hash_mismatch' AS check_id, 'orders' AS "table", count(*) FILTER (o_orderpriority = '1-URGENT') AS violations FROM orders
+      UNION ALL SELECT 'ordered_after_shipping', 'lineitem', count(*) FILTER (o_orderdate > l_shipdate) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+      UNION ALL SELECT 'outside_window', 'lineitem', count(*) FILTER (NOT date_diff('microsecond', o_orderdate, l_shipdate) / 60000000e0 BETWEEN 0 AND 525600) FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "readiness_audit": f"""SELECT 'DATA QUALITY FAILURE' AS status, string_agg("table" || ':' || check_id, ',' ORDER BY "table" || ':' || check_id) AS reasons FROM ({_CHECKS_SQL}) x WHERE violations > 0""",
     "leakage_checks": _LEAK_SQL,
     "column_profile": """WITH j AS (SELECT d.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars FROM labels l RIGHT JOIN documents d USING (doc_id))

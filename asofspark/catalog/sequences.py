@@ -214,6 +214,69 @@ SELECT a.m * 10000 + a.team_id * 100 + a.player_id AS request_id,
 FROM s2 a LEFT JOIN s2 b ON b.team_id = a.team_id AND b.player_id = a.player_id AND b.i BETWEEN a.i - 4 AND a.i - 1 GROUP BY 1"""
 
 
+def replacement_shock(spark, sf_dir):
+    """Shock of every purchase as a request of its user's team."""
+    e = table(spark, sf_dir, "events").withColumns(
+        {"week": F.floor(F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int"), "season": F.lit(2024), "team_id": F.col("user_id")}
+    )
+    first, second = F.col("user_id") * 10 + F.col("event_id") % 2, F.col("user_id") * 10 + 2 + F.col("event_id") % 2
+
+    def of(kind):
+        return e.filter(F.col("event_type") == kind)
+
+    requests = of("purchase").select(F.col("event_id").alias("request_id"), "team_id", "season", "week", F.col("ts").alias("cutoff"))
+    depth = of("view").select(
+        "team_id", F.col("ts").alias("dt"), F.lit("QB").alias("position"),
+        F.inline(F.array(
+            F.struct(F.lit(1).alias("pos_rank"), first.alias("player_id")),
+            F.struct(F.when(F.col("event_id") % 7 == 0, 3).otherwise(2).alias("pos_rank"), second.alias("player_id")),
+        )),
+    )
+    statuses = of("error").select(
+        "team_id", "season", "week", first.alias("player_id"), F.lit("QB").alias("position"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("Questionable")).otherwise(F.lit("Out")).alias("status"),
+    )
+    players = e.select("user_id").distinct().select(F.explode(F.array(*[F.col("user_id") * 10 + i for i in range(4)])).alias("player_id"))
+    players = players.filter("player_id % 13 <> 0").withColumn("share_player_id", F.concat(F.lit("S"), F.col("player_id").cast("string")))
+    team_games = of("signup").select("team_id", F.col("event_id").alias("game_id"), F.col("ts").alias("kickoff_utc"))
+    k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    shares = of("signup").select("team_id", "event_id", "user_id", k).filter("(event_id + k) % 17 <> 0").select(
+        "team_id", F.concat(F.lit("S"), (F.col("user_id") * 10 + F.col("k")).cast("string")).alias("share_player_id"), F.col("event_id").alias("game_id"),
+        ((F.col("event_id") + F.col("k")) % 10 / 10).alias("share"),
+    )
+    facts = of("click").select((F.col("user_id") * 10 + F.col("event_id") % 4).alias("player_id"), F.col("event_id").alias("game_id"), F.col("ts").alias("kickoff_utc"), F.col("value").alias("epa"))
+    out = personnel.replacement_shock(requests, depth, statuses, players, team_games, shares, facts, 4.0, 5.0)
+    return rounded(out.select("request_id", "starter_player_id", "backup_player_id", "lost_share", "starter_rate", "backup_rate", "eligibility_status", "shock").withColumns(
+        {c: F.col(c).cast("double") for c in ("starter_player_id", "backup_player_id")}
+    ))
+
+
+_SHOCK_SQL = f"""WITH e AS (SELECT *, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01 00:00:00', date_trunc('day', ts)) / 7e0) AS INT) AS week FROM events),
+r AS (SELECT event_id AS request_id, user_id, week, ts AS cutoff FROM e WHERE event_type = 'purchase'),
+d AS (SELECT r.*, v.ts AS dt, v.event_id AS v, r.user_id * 10 + v.event_id % 2 AS id1, r.user_id * 10 + 2 + v.event_id % 2 AS id2b, v.event_id % 7 <> 0 AS two
+  FROM r ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') v ON v.user_id = r.user_id AND v.ts <= r.cutoff),
+st AS (SELECT user_id, week, user_id * 10 + event_id % 2 AS pid, event_id % 3 <> 0 AS isout FROM e WHERE event_type = 'error'),
+cov AS (SELECT DISTINCT user_id, week FROM st),
+ec AS (SELECT user_id, week, pid, count(*) AS n FROM st WHERE isout GROUP BY 1, 2, 3),
+sg AS (SELECT d.request_id, d.id1, s.event_id AS g, row_number() OVER (PARTITION BY d.request_id ORDER BY s.ts DESC, s.event_id DESC) AS rn FROM d JOIN e s ON s.event_type = 'signup' AND s.user_id = d.user_id AND s.ts < d.cutoff),
+ls AS (SELECT request_id, avg(((g + id1 % 10) % 10) / 10e0) AS lost FROM sg WHERE rn <= 4 AND (g + id1 % 10) % 17 <> 0 AND id1 % 13 <> 0 GROUP BY 1 HAVING count(*) = 4),
+ck AS (SELECT user_id * 10 + event_id % 4 AS pid, ts, event_id, value FROM e WHERE event_type = 'click'),
+cum AS (SELECT ts, sum(value) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) / count(*) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS mu FROM ck),
+asked AS (SELECT request_id, cutoff, id1 AS pid, 1 AS role FROM d UNION ALL SELECT request_id, cutoff, CASE WHEN two THEN id2b END, 2 FROM d),
+h AS (SELECT a.request_id, a.role, c.value, row_number() OVER (PARTITION BY a.request_id, a.role ORDER BY c.ts DESC, c.event_id DESC) - 1 AS k FROM asked a JOIN ck c ON c.pid = a.pid AND c.ts < a.cutoff),
+w AS (SELECT request_id, role, sum(value * pow(2e0, -k / 4e0)) AS wx, sum(pow(2e0, -k / 4e0)) AS wn FROM h GROUP BY 1, 2),
+mu AS (SELECT DISTINCT r.request_id, c.mu FROM r ASOF LEFT JOIN cum c ON c.ts < r.cutoff),
+rt AS (SELECT request_id, max(CASE WHEN role = 1 THEN (wx + 5 * mu) / (wn + 5) END) AS sr, max(CASE WHEN role = 2 THEN (wx + 5 * mu) / (wn + 5) END) AS br FROM w JOIN mu USING (request_id) GROUP BY 1),
+f AS (SELECT d.request_id, id1, CASE WHEN two THEN id2b END AS id2, lost, sr, br, CASE WHEN dt IS NULL THEN 'INELIGIBLE_MISSING_DEPTH' WHEN NOT two THEN 'INELIGIBLE_AMBIGUOUS_DEPTH'
+    WHEN cov.user_id IS NULL THEN 'INELIGIBLE_MISSING_INJURY_COVERAGE' WHEN ec.n IS NULL THEN 'NO_QUALIFYING_EVENT' WHEN ec.n <> 1 THEN 'INELIGIBLE_AMBIGUOUS_INJURY'
+    WHEN id1 % 13 = 0 THEN 'INELIGIBLE_MISSING_STARTER_CROSSWALK' WHEN lost IS NULL THEN 'INELIGIBLE_MISSING_STARTER_VOLUME' WHEN sr IS NULL THEN 'INELIGIBLE_MISSING_STARTER_RATE'
+    WHEN br IS NULL THEN 'INELIGIBLE_MISSING_BACKUP_RATE' ELSE 'ELIGIBLE_RESEARCH_ONLY' END AS status
+  FROM d LEFT JOIN cov ON cov.user_id = d.user_id AND cov.week = d.week LEFT JOIN ec ON ec.user_id = d.user_id AND ec.week = d.week AND ec.pid = d.id1
+  LEFT JOIN ls USING (request_id) LEFT JOIN rt USING (request_id))
+SELECT request_id, {r6('CAST(id1 AS DOUBLE)')} AS starter_player_id, {r6('CAST(id2 AS DOUBLE)')} AS backup_player_id, {r6('lost')} AS lost_share, {r6('sr')} AS starter_rate, {r6('br')} AS backup_rate, status AS eligibility_status,
+  {r6("CASE WHEN status = 'ELIGIBLE_RESEARCH_ONLY' THEN lost * (br - sr) WHEN status = 'NO_QUALIFYING_EVENT' THEN 0 END")} AS shock FROM f"""
+
+
 def ranked_entities(spark, sf_dir):
     """Deterministic multi-key ranking of nations, from a compact aggregate."""
     t = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("s_acctbal").alias("bal"))
@@ -256,6 +319,7 @@ QUERIES = {
     "equal_count_bins": equal_bins,
     "decayed_rates": decayed_rates,
     "last_four_share": last_four_share,
+    "replacement_shock": replacement_shock,
     "ranked_entities": ranked_entities,
     "best_per_exposure": best_contract_per_exposure,
     "cheapest_configuration": cheapest_configuration,
@@ -306,6 +370,7 @@ ORACLES = {
       FROM (SELECT *, l_discount - l_tax AS edge, CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END AS outcome FROM lineitem) y) x GROUP BY 1""",
     "decayed_rates": _RATE_SQL,
     "last_four_share": _SHARE_SQL,
+    "replacement_shock": _SHOCK_SQL,
     "ranked_entities": f"""SELECT s_nationkey, n, {r6('bal')} AS bal, row_number() OVER (ORDER BY n DESC, bal DESC, s_nationkey) AS rank
       FROM (SELECT s_nationkey, count(*) AS n, sum(s_acctbal) AS bal FROM supplier GROUP BY 1) x""",
     "best_per_exposure": """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id DESC) AS rn FROM events) x
