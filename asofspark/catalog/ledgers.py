@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from asofspark.catalog import features as ft
 from asofspark.catalog import models as md
 from asofspark.catalog import prices as pr
-from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, implied_sql, play_sums, r6, rounded, table
+from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, play_sums, r6, rounded, table
 from asofspark.fixed_values import ELIGIBLE_CLOSE_STATUS
 from asofspark.functions import scalars as sc
 from asofspark.operators import asof
@@ -19,7 +19,6 @@ from asofspark.operators import market as mk
 from asofspark.operators import matchup as mu
 from asofspark.operators import observe as obs
 from asofspark.operators import rank as rk
-from asofspark.operators import regression as rg
 from asofspark.operators import temporal as tmp
 from asofspark.plans import predict as pd_
 from asofspark.plans import selection as sel
@@ -464,7 +463,7 @@ def diagnostics_overlay(spark, sf_dir):
 
 def joint_selection(spark, sf_dir):
     """Configuration, feature set and penalty by log-loss; the market alone as rival."""
-    rows = checkpointed(mu.by_market(md.matrix(spark, sf_dir, [2.0], [0.5])).filter("season >= 1998"))
+    rows = checkpointed(mu.by_market(md.matrix(spark, sf_dir, [2.0], [0.5])))
     names = list(md.base_features())
     families = {"passing": [n for n in names if n.startswith("pass")], "context": ["rest_difference"], "rushing": [n for n in names if n.startswith("rush")]}
     sets = sel.feature_set_grid(families, ["passing", "context"], ["rushing"])
