@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,16 +25,26 @@ def local_session(cpus: int | str = 8, name: str = "asofspark") -> SparkSession:
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is made only where the setting is missing, as in tests.
+    Where the setting is missing, a single-machine session (tests) gets a
+    temporary folder of its own; a cluster session is refused, since its
+    executors could not read a folder of the driver.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="asofspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="asofspark-")
+    return _own_dirs[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
