@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe
+from asofspark.llm import bpe, simhash
 from asofspark.llm.common import table
 
 
@@ -17,8 +17,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), byte_codec(spark))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {}
