@@ -16,17 +16,20 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from asofspark.llm.common import column_of, text_of
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 """Pre-tokens a worker remembers before it starts its table anew."""
+CACHE_CHARS = 48
+"""Longer pre-tokens are not remembered."""
+SLICE_CHARS = 2_000_000
 
 
 def byte_characters() -> list[str]:
@@ -108,57 +111,73 @@ class _Ids(dict):
         known = self.whole.get(data)
         ids = [known] if known is not None else self.encode(data.decode("latin-1").translate(self.chars))
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[pre_token] = packed
+        if len(pre_token) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[pre_token] = packed
         return packed
 
 
 class Codec:
-    """Encoder and decoder columns of one vocabulary."""
+    """Encoder and decoder of one vocabulary."""
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str):
         tokens = read_ranks(ranks_path)
         self._sent = spark.sparkContext.broadcast((sentencepiece_model(tokens), tokens))
         self._pattern = unicode_pattern(pattern)
 
-    def encode(self, text: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers in one binary; null text gives no ids."""
-        sent, pattern = self._sent, self._pattern
+    def encoder(self) -> Callable[[str | None], bytes]:
+        """Text to ids as little-endian unsigned 32-bit integers; for use inside a task."""
+        import regex
 
-        @pandas_udf("binary")
-        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import regex
+        cut, look = regex.compile(self._pattern).findall, _Ids(*self._sent.value).__getitem__
+        return lambda text: b"".join(map(look, cut(text))) if text else b""
 
-            cut, packed = regex.compile(pattern).findall, _Ids(*sent.value)
-            look = packed.__getitem__
-            for texts in batches:
-                yield pd.Series([b"".join(map(look, cut(t))) if t else b"" for t in texts], dtype=object)
+    def decoder(self) -> Callable[[bytes | None], bytes]:
+        """Packed ids to the bytes they stand for; for use inside a task."""
+        import numpy as np
 
-        return ids(text)
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes that packed ids stand for; null gives no bytes."""
-        sent = self._sent
-
-        @pandas_udf("binary")
-        def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import numpy as np
-
-            look = sent.value[1].__getitem__
-            for packed in batches:
-                yield pd.Series([b"".join(map(look, np.frombuffer(p, "<u4").tolist())) if p else b"" for p in packed], dtype=object)
-
-        return back(ids)
+        look = self._sent.value[1].__getitem__
+        return lambda ids: b"".join(map(look, np.frombuffer(ids, "<u4").tolist())) if ids else b""
 
 
 def encode_documents(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the packed ids of every whole text and the bytes they decode to.
 
     Null and empty texts have no ids. Every row is kept, equal rows too; an
-    existing column named ``ids`` or ``decoded`` is replaced.
+    existing column named ``ids`` or ``decoded`` is replaced. Batches leave the
+    worker in slices of about ``SLICE_CHARS`` characters, so its memory does not
+    follow the batch size.
     """
-    return docs.withColumn(ids, codec.encode(text_of(docs, text))).withColumn(decoded, codec.decode(F.col(ids)))
+    base = docs.drop(ids, decoded)
+    at = base.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, decode = codec.encoder(), codec.decoder()
+        for batch in batches:
+            for part in slices(batch, at):
+                packed = [encode(t) for t in part.column(at).to_pylist()]
+                back = [decode(p) for p in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(packed, pa.binary()), pa.array(back, pa.binary())], names=[*part.schema.names, ids, decoded]
+                )
+
+    schema = StructType([*base.schema.fields, StructField(ids, BinaryType()), StructField(decoded, BinaryType())])
+    return base.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``SLICE_CHARS`` of text, one row at least."""
+    import pyarrow.compute as pc
+
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        total += n
+        if total >= SLICE_CHARS:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def token_digests(docs: DataFrame, codec: Codec) -> DataFrame:
