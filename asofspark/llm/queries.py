@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, simhash
+from asofspark.llm import bpe, shards, simhash
 from asofspark.llm.common import table
 
 
@@ -17,13 +19,55 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), byte_codec(spark))
 
 
+SHARDS = 24
+
+
+def op4_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"), SHARDS, uuid.uuid4().hex)
+
+
+# bytes of a text, folded with the 256 remainders of the checksum's polynomial
+_CRC32_SQL = """list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]))"""
+
+OP4_SQL = f"""
+WITH RECURSIVE bits(k, v, i) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(v ORDER BY k) AS crc_table FROM bits WHERE i = 8),
+records AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+    CAST(xor({_CRC32_SQL}, 4294967295) AS BIGINT) AS text_crc32,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS INT) AS vslot
+  FROM documents, crc),
+usage AS (SELECT vslot, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM records GROUP BY vslot),
+queue AS (SELECT vslot, bytes, row_number() OVER (ORDER BY bytes DESC, vslot) AS i FROM usage),
+greedy(i, vslot, shard, loads) AS (
+  SELECT 0::BIGINT, NULL::INT, NULL::INT, list_transform(range({SHARDS}), lambda x: 0::BIGINT)
+  UNION ALL
+  SELECT q.i, q.vslot, CAST(list_position(loads, list_min(loads)) - 1 AS INT),
+    list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + q.bytes ELSE x END)
+  FROM greedy g JOIN queue q ON q.i = g.i + 1),
+starts AS (
+  SELECT vslot, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY vslot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM greedy JOIN usage USING (vslot))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  CAST(start + row_number() OVER (PARTITION BY vslot ORDER BY doc_id, text_crc32, size) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INT) AS grown_shard
+FROM records JOIN starts USING (vslot)"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_slot_shards": op4_slot_shards,
     "op6_simhash": op6_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_slot_shards": OP4_SQL,
+}
