@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, shards, simhash
+from asofspark.llm import bpe, shards, simhash, urlrules
 from asofspark.llm.common import table
 
 
@@ -58,6 +58,34 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM records JOIN starts USING (vslot)"""
 
 
+# fixed values: the rules of the contract
+URL_RULES = [
+    urlrules.Rule("allow", "com", "/"),
+    urlrules.Rule("block", "example.com", "/en/"),
+    urlrules.Rule("allow", "www.example.com", "/en/"),
+    urlrules.Rule("block", "net", "/es/"),
+    urlrules.Rule("block", "net", "/fr/"),
+]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP5_SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+urls AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, rhost, rpath) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+fits AS (
+  SELECT page_id, rhost || rpath AS rule, verdict FROM urls, rules
+  WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN best USING (page_id)"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,9 +93,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_slot_shards": op4_slot_shards,
+    "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op4_slot_shards": OP4_SQL,
+    "op5_url_rules": OP5_SQL,
 }
