@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, shards, simhash, urlrules
+from asofspark.llm import bpe, quality, shards, simhash, urlrules
 from asofspark.llm.common import table
 
 
@@ -90,11 +90,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_slot_shards": op4_slot_shards,
     "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
+    "op7_line_quality": op7_line_quality,
 }
 
 ORACLES: dict[str, str] = {
