@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, quality, shards, simhash, urlrules
+from asofspark.llm import bpe, decontaminate, quality, shards, simhash, urlrules
 from asofspark.llm.common import table
 
 
@@ -94,15 +94,43 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hit_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS_SQL} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS span, list_slice(ws, i, i + 12) AS w
+  FROM b, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) u(i) WHERE len(ws) > 0),
+dw AS (
+  SELECT uid, i, s.span, list_slice(ws, i, i + s.span - 1) AS w
+  FROM d, (SELECT DISTINCT span FROM iw) s, unnest(range(1, len(ws) - s.span + 2)) u(i)),
+m AS (SELECT uid, i, dw.span, item_id FROM dw JOIN iw ON dw.span = iw.span AND dw.w = iw.w),
+hits AS (SELECT uid, count(DISTINCT p) AS n_hit FROM m, unnest(range(i, i + span)) u(p) GROUP BY uid),
+ids AS (
+  SELECT uid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT uid, CAST(item_id AS VARCHAR) AS id FROM m WHERE item_id IS NOT NULL) GROUP BY uid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits USING (uid) LEFT JOIN ids USING (uid)"""
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_slot_shards": op4_slot_shards,
     "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
     "op7_line_quality": op7_line_quality,
+    "op9_prefix_decontamination": op9_prefix_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op4_slot_shards": OP4_SQL,
     "op5_url_rules": OP5_SQL,
+    "op9_prefix_decontamination": OP9_SQL,
 }

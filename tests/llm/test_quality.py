@@ -47,7 +47,7 @@ def test_lines_are_judged_first(spark):
         (2, "\n".join([sentence(1), *(" | ".join(f"{w}{i}" for w in NAV.split(" | ")) for i in range(5))])),
         (3, (sentence(3) + " " + sentence(4)).upper()),
         (4, sentence(5) + " " + sentence(6) + " Please see our Privacy Policy."),
-        (5, sentence(7) + "\n" + sentence(8) + "\n\n" + sentence(9) + "\n" + sentence(10) + "\n" + sentence(11) + "\n" + sentence(7)),
+        (5, sentence(7) + "\n" + sentence(8) + "\n\n" + sentence(9) + "\n" + sentence(10) + "\n" + sentence(11) + "\n" + sentence(12) + "\n" + sentence(13) + "\n" + sentence(7)),
     ]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].kept and "|" not in got[1].kept_text and got[1].kept_text.startswith(sentence(1))
