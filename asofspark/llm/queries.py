@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, decontaminate, quality, shards, simhash, urlrules
+from asofspark.llm import bpe, decontaminate, quality, shards, simhash, toxicity, urlrules
 from asofspark.llm.common import table
 
 
@@ -94,6 +94,10 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
     "op7_line_quality": op7_line_quality,
+    "op8_ftrl_toxicity": op8_ftrl_toxicity,
     "op9_prefix_decontamination": op9_prefix_decontamination,
 }
 
