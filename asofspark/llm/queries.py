@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, decontaminate, quality, shards, simhash, toxicity, urlrules
+from asofspark.llm import bpe, decontaminate, linededup, quality, shards, simhash, toxicity, urlrules
 from asofspark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), byte_codec(spark))
 
 
+def op3_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 SHARDS = 24
 
 
@@ -126,6 +130,7 @@ FROM d LEFT JOIN hits USING (uid) LEFT JOIN ids USING (uid)"""
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_winnowing": op3_line_winnowing,
     "op4_slot_shards": op4_slot_shards,
     "op5_url_rules": op5_url_rules,
     "op6_simhash": op6_simhash,
