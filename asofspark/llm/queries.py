@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, decontaminate, linededup, quality, shards, simhash, toxicity, urlrules
+from asofspark.llm import bpe, decontaminate, linededup, quality, runindex, shards, simhash, toxicity, urlrules
 from asofspark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def byte_codec(spark: SparkSession) -> bpe.Codec:
     return bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.report(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), byte_codec(spark))
 
@@ -129,6 +133,7 @@ FROM d LEFT JOIN hits USING (uid) LEFT JOIN ids USING (uid)"""
 
 
 QUERIES = {
+    "op1_run_index": op1_run_index,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_winnowing": op3_line_winnowing,
     "op4_slot_shards": op4_slot_shards,
