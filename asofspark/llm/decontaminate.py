@@ -80,7 +80,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tu
         "candidates",
         lambda c: (c["start"] + c["span"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["span"]), " ") == c["window"]),
     )
-    found = whole.select("key", exact.alias("found")).filter(F.size("found") > 0)
+    found = whole.select("key", exact.alias("found"))
     spans = F.sort_array(F.transform("found", lambda c: F.struct(c["start"].alias("a"), (c["start"] + c["span"]).alias("b"))))
     hit = F.aggregate(
         spans,
@@ -91,7 +91,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tu
         lambda acc: acc["total"],
     )
     seen = F.array_distinct(F.transform("found", lambda c: c["window"]))
-    return checkpointed(found.select("key", hit.alias("n_hit"), seen.alias("windows"))), items.select("item", "window")
+    # filtered once written: a filter before would be pushed below the word arrays and compute them per candidate
+    out = checkpointed(found.select("key", hit.alias("n_hit"), seen.alias("windows")))
+    return out.filter("n_hit > 0"), items.select("item", "window")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
