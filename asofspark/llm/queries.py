@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from asofspark.llm import bpe, decontaminate, linededup, quality, runindex, shards, simhash, toxicity, urlrules
+from asofspark.llm import bpe, decontaminate, htmltree, linededup, quality, runindex, shards, simhash, toxicity, urlrules
 from asofspark.llm.common import table
 
 
@@ -110,6 +110,11 @@ def op9_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltree.extract_pages(pages, htmltree.train(pages))
+
+
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 OP9_SQL = f"""
@@ -142,6 +147,7 @@ QUERIES = {
     "op7_line_quality": op7_line_quality,
     "op8_ftrl_toxicity": op8_ftrl_toxicity,
     "op9_prefix_decontamination": op9_prefix_decontamination,
+    "op10_tree_extraction": op10_tree_extraction,
 }
 
 ORACLES: dict[str, str] = {
