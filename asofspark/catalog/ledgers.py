@@ -359,9 +359,11 @@ def prediction_ledger(spark, sf_dir):
     rows = checkpointed(mu.by_market(md.matrix(spark, sf_dir, [2.0], [0.5])))
     names = ["pass_epa_matchup_difference", "pass_epa_matchup_sum"]
     model = trn.train(rows, names, residual_target=True)
-    feats = rows.filter("market = 'spreads'").groupBy((F.col("game_id") % 150).alias("user_id")).agg(*[F.avg(n).alias(n) for n in names])
+    # every user's games take the mean features of one home nation, of which there are 24 at any size
+    home = (F.floor(F.col("game_id") / 100) % 100).cast("bigint")
+    feats = rows.filter("market = 'spreads'").groupBy(home.alias("nation")).agg(*[F.avg(n).alias(n) for n in names])
     g = _week_games(spark, sf_dir)
-    fg = g.select("game_id", F.floor(F.col("game_id") / 100).cast("bigint").alias("user_id")).join(feats, "user_id").select(
+    fg = g.select("game_id", (F.floor(F.col("game_id") / 100).cast("bigint") % 24).alias("nation")).join(feats, "nation").select(
         "game_id", F.lit("2024-01-01").cast("timestamp_ntz").alias("feature_as_of_utc"), *names
     )
     out = pd_.prediction_rows(

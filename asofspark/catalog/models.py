@@ -47,7 +47,7 @@ matrix AS (SELECT * FROM (SELECT g.game_id, g.season, g.week, h.half_life, h.pri
   FROM games g JOIN materialized h ON h.game_id = g.game_id AND h.is_home
   JOIN materialized a ON a.game_id = g.game_id AND NOT a.is_home AND a.half_life = h.half_life AND a.prior_strength = h.prior_strength
   WHERE g.game_type = 'REG') m0
-  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_FEATURE_NAMES, 'target_margin', 'target_total', 'spread_line', 'total_line'])}),
+  WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_FEATURE_NAMES, 'target_margin', 'target_total', 'spread_line', 'total_line', 'market_spread_probability', 'market_total_probability'])}),
 mk AS (SELECT game_id, season, week, half_life, prior_strength, {', '.join(_FEATURE_NAMES)}, 'spreads' AS market, target_margin AS target, spread_line AS line, market_spread_probability AS market_probability FROM matrix
   UNION ALL SELECT game_id, season, week, half_life, prior_strength, {', '.join(_FEATURE_NAMES)}, 'totals', target_total, total_line, market_total_probability FROM matrix)"""
 

@@ -15,7 +15,7 @@ _ZONE = "America/Toronto"
 
 def _events(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    stream = st.table_stream(spark, sf_dir, schema, "events.parquet")
+    stream = st.table_stream(spark, f"{sf_dir}/events.parquet", schema)
     # event-time operators need an instant: the table's naive times are UTC
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 

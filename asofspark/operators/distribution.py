@@ -114,7 +114,8 @@ def score_distribution(
     """Adds p_win, p_push and p_loss to ``queries``.
 
     The stratum's distribution is shrunk to the global one by n / (n + 200);
-    a stratum below the minimum uses the global one alone.
+    a stratum below the minimum uses the global one alone. Every query row
+    stays: a set with too few rows for a distribution gives null probabilities.
     """
     keyed = keyed if keyed is not None else F.col("market") == "spreads"
     sets = model.sets
@@ -170,7 +171,7 @@ def score_distribution(
             for c, name in (("w", "p_win"), ("p", "p_push"), ("l", "p_loss"))
         ],
     )
-    return queries.join(mixed, ids)
+    return queries.join(mixed, ids, "left")
 
 
 def non_push(win: str | Column = "p_win", loss: str | Column = "p_loss") -> Column:

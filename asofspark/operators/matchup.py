@@ -112,8 +112,9 @@ def training_matrix(
 ) -> DataFrame:
     """One row per (game, configuration) with features, targets, lines and fair prices.
 
-    Rows with any missing feature, target or line are dropped, so every
-    feature subset shares one population.
+    Rows with any missing feature, target, line or price are dropped, so every
+    feature subset and the market itself share one population. A price of zero
+    has no fair probability and counts as missing.
     """
     config = [c for c in CONFIG if c in team_rows.columns] if keys is None else keys
     wide = sides(team_rows, metrics, ["game_id", *config])
@@ -127,7 +128,7 @@ def training_matrix(
             "market_total_probability": fair_probability("over_odds", "under_odds"),
         }
     )
-    required = [*features, "target_margin", "target_total", "spread_line", "total_line"]
+    required = [*features, "target_margin", "target_total", "spread_line", "total_line", "market_spread_probability", "market_total_probability"]
     return full.select(
         "game_id", "season", "week", *config, *features, "target_margin", "target_total", "spread_line", "total_line",
         "market_spread_probability", "market_total_probability",

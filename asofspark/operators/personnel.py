@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from asofspark.functions.scalars import first_reason
 from asofspark.operators.asof import asof_join, crosswalk
-from asofspark.operators.scan import running_totals
+from asofspark.operators.scan import row_numbers, running_totals
 
 
 def decayed_rates(
@@ -31,25 +31,37 @@ def decayed_rates(
 
     w = 2^(-k / half_life) for the k-th most recent game of the member and μ is
     the mean of all facts before the cutoff. The decayed sums are running sums
-    per member (Σ x·2^(i/h), scaled back by 2^(-n/h)), so a request needs one
-    as-of lookup instead of a join to its whole history.
+    per member and block of ``500 * half_life`` games (Σ x·2^(j/h), scaled back by
+    2^(-j/h)), so that a request needs one as-of lookup instead of a join to its
+    whole history. The decayed totals of the two blocks before are carried in;
+    older ones weigh under 2^-1000. So a history may have any length, and no
+    window holds more than a block.
     """
     games = facts.filter(F.col(value).isNotNull()).groupBy(member, game, ts).agg(
         F.sum(value).alias("_x"), F.count(F.lit(1)).alias("_n")
     )
-    seq = Window.partitionBy(member).orderBy(ts, game)
-    upto = seq.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = games.withColumn("_i", F.row_number().over(seq))
-    # the running sums hold 2^(i/h), which must stay a finite double
-    too_long = F.raise_error(F.lit("history too long for this half-life")).cast("int")
-    numbered = numbered.withColumn("_i", F.when(F.col("_i") > 1000 * float(half_life), too_long).otherwise(F.col("_i")))
-    grow = F.pow(F.lit(2.0), F.col("_i") / F.lit(float(half_life)))
-    history = numbered.select(
+    h, size = F.lit(float(half_life)), max(1, int(500 * half_life))
+    numbered = row_numbers(games, [F.col(ts), F.col(game)], "_i", [member])
+    numbered = numbered.withColumns({"_block": F.floor((F.col("_i") - 1) / size), "_j": (F.col("_i") - 1) % size})
+    upto = Window.partitionBy(member, "_block").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    grow = F.pow(F.lit(2.0), F.col("_j") / h)
+    at_end = F.pow(F.lit(2.0), (F.col("_j") - (size - 1)) / h)
+    blocks = numbered.groupBy(member, "_block").agg(F.sum(F.col("_x") * at_end).alias("_bx"), F.sum(F.col("_n") * at_end).alias("_bn"))
+    earlier = Window.partitionBy(member).orderBy("_block")
+    fade = 2.0 ** (-size / float(half_life))
+    carried = blocks.select(
+        member,
+        "_block",
+        *[(F.coalesce(F.lag(c, 1).over(earlier), F.lit(0.0)) + fade * F.coalesce(F.lag(c, 2).over(earlier), F.lit(0.0))).alias(f"{c}_in") for c in ("_bx", "_bn")],
+    )
+    shrink = F.pow(F.lit(2.0), -(F.col("_j") + 1) / h)
+    summed = numbered.withColumns({"_lx": F.sum(F.col("_x") * grow).over(upto) / grow, "_ln": F.sum(F.col("_n") * grow).over(upto) / grow})
+    history = summed.join(carried, [member, "_block"]).select(
         member,
         F.col(ts).alias("_seen"),
         F.col("_i"),
-        (F.sum(F.col("_x") * grow).over(upto) / grow).alias("_wx"),
-        (F.sum(F.col("_n") * grow).over(upto) / grow).alias("_wn"),
+        (F.col("_lx") + F.col("_bx_in") * shrink).alias("_wx"),
+        (F.col("_ln") + F.col("_bn_in") * shrink).alias("_wn"),
     )
     mine = asof_join(requests, history, [member], cutoff, "_seen", ["_wx", "_wn"], request_id, False, ["_i"])
     moments = games.groupBy(ts).agg(F.sum("_x").alias("_x"), F.sum("_n").alias("_n"))

@@ -17,6 +17,10 @@ from asofspark.operators.rank import prediction_status
 from asofspark.operators.regression import projection
 
 
+NO_DISTRIBUTION = "INELIGIBLE_NO_DISTRIBUTION"
+"""Status of a row whose market has too few residuals to score it."""
+
+
 def score_contracts(
     contracts: DataFrame,
     features: list[str],
@@ -108,6 +112,8 @@ def prediction_rows(
     ]
     side = F.when(F.col("market") == "spreads", F.lit(ORIENTATION["spreads"])).otherwise(F.lit(ORIENTATION["totals"]))
     rows = graded.join(scored.select(*keys, *values), list(keys), "left")
+    unscored = (F.col("eligibility_status") == ELIGIBLE_CLOSE_STATUS) & F.col("model_win_probability").isNull()
+    rows = rows.withColumn("eligibility_status", F.when(unscored, NO_DISTRIBUTION).otherwise(F.col("eligibility_status")))
     return rows.select(
         stable_id(F.lit(version), "snapshot_id", "game_id", "market").alias("prediction_id"),
         F.lit(version).alias("model_version"), *keys, "season", "week", "kickoff_utc", side.alias("orientation"),

@@ -30,11 +30,23 @@ def board_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     )
 
 
-def table_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """A parquet table as a stream, whether one file or a folder of part files.
+
+    A file source watches folders, so a single file is streamed from its parent,
+    filtered by name. The file system of the path decides which it is.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        raise FileNotFoundError(f"no table at {path}")
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    if files.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def quote_stream(boards: DataFrame, books: mk.Books = mk.Books()) -> DataFrame:

@@ -71,3 +71,21 @@ def test_rate_weights_recent_games_and_shrinks_to_the_mean(spark, frames):
     w = [1, 0.5, 0.25, 0.125]
     mean = (0.4 * 3 + 1.0 + 1.0) / 5
     assert got == pytest.approx((1.0 + 0.4 * (0.5 + 0.25 + 0.125) + 2 * mean) / (sum(w) + 2))
+
+
+def test_decayed_rates_over_a_long_history(spark):
+    half_life, n = 0.02, 60  # blocks of ten games
+    for half_life, n in ((0.02, 60), (1.0, 1_203)):
+        facts = spark.range(n).select(
+            F.lit("a").alias("player_id"),
+            F.col("id").alias("game_id"),
+            F.timestamp_seconds(F.col("id") * 86400).alias("kickoff_utc"),
+            (F.col("id") % 7).cast("double").alias("epa"),
+        )
+        req = spark.range(0, n + 1, 13).select(F.col("id").alias("request_id"), F.lit("a").alias("player_id"), F.timestamp_seconds(F.col("id") * 86400).alias("cutoff"))
+        got = {r.request_id: r.rate for r in personnel.decayed_rates(req, facts, half_life, 2.0).collect()}
+        for i, rate in got.items():
+            w = [2.0 ** (-k / half_life) for k in range(i)]
+            x = [(i - 1 - k) % 7 for k in range(i)]
+            want = (sum(a * b for a, b in zip(w, x, strict=True)) + 2.0 * (sum(x) / i)) / (sum(w) + 2.0) if i else None
+            assert rate is None if want is None else abs(rate - want) < 1e-9, (half_life, i)

@@ -1,6 +1,8 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+
 from asofspark.operators import market as mk
 from asofspark.operators.ledger import Ledger
 from asofspark.sources import readers as rd
@@ -100,3 +102,16 @@ def test_freshness_rule_on_a_stream(spark, tmp_path):
     land(spark, str(tmp_path / "in"), [rows], schema)
     st.drain(st.fresh_quotes(stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1]
+
+
+def test_table_stream_reads_files_and_folders(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "id % 3 AS k").repartition(4)
+    df.write.parquet(f"{tmp_path}/folder.parquet")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file.parquet")
+    for name in ("folder", "file"):
+        stream = st.table_stream(spark, f"{tmp_path}/{name}.parquet", df.schema)
+        st.drain(stream, f"{tmp_path}/out-{name}", f"{tmp_path}/ck-{name}")
+        assert spark.read.schema(df.schema).parquet(f"{tmp_path}/out-{name}").count() == 100
+    with pytest.raises(FileNotFoundError):
+        st.table_stream(spark, f"{tmp_path}/none.parquet", df.schema)
