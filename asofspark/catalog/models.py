@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from asofspark.catalog import features as ft
 from asofspark.catalog.bindings import SCORED_SQL, implied_sql, r6, rounded, scored, table
+from asofspark.fixed_values import CALIBRATOR_C, CALIBRATOR_CLIP
 from asofspark.operators import bootstrap as bs
 from asofspark.operators import calibrate as cal
 from asofspark.operators import distribution as ds
@@ -244,8 +245,8 @@ def edge_monotonicity(spark, sf_dir):
 def _gate_metrics(spark, sf_dir):
     s = scored(spark, sf_dir)
     m = ev.probability_metrics(s, ["market"], "outcome", ["model_probability", "market_probability"])
-    fit = s.groupBy("market").agg(F.regr_slope("outcome", "model_probability").alias("slope"), F.regr_intercept("outcome", "model_probability").alias("intercept"))
-    return m.join(fit, "market").select(
+    fit = cal.fit_by_group(s, "market", "model_probability", "outcome")
+    return m.join(fit.drop("rows"), "market").select(
         "market", "slope", "intercept",
         F.col("model_probability_brier").alias("model_brier"), F.col("market_probability_brier").alias("market_brier"),
         F.col("model_probability_log_loss").alias("model_log_loss"), F.col("market_probability_log_loss").alias("market_log_loss"),
@@ -363,8 +364,21 @@ def _ll(p: str, y: str = "outcome") -> str:
 
 _BIN = "CAST(least(floor(greatest(0, least(1, {p})) * 10), 9) + 1 AS INT)"
 _CELLS = ["1e0", "x", "target", "line", "x*x", "x*target", "x*line", "target*target", "target*line", "line*line"]
-_GATES_SQL = f"""WITH {SCORED_SQL}, m AS (SELECT market, regr_slope(outcome, model_probability) AS slope, regr_intercept(outcome, model_probability) AS icpt,
-    avg({_brier('model_probability')}) AS mb, avg({_brier('market_probability')}) AS kb, avg({_ll('model_probability')}) AS ml, avg({_ll('market_probability')}) AS kl FROM scored GROUP BY 1),
+_CLIPPED = f"greatest({CALIBRATOR_CLIP}, least(1 - {CALIBRATOR_CLIP}, model_probability))"
+# Newton steps on merged pairs, damped as in the operator; the CTEs need WITH RECURSIVE
+_FIT_SQL = f"""pairs AS (SELECT market, ln({_CLIPPED} / (1 - {_CLIPPED})) AS x, outcome AS y, count(*)::DOUBLE AS w FROM scored GROUP BY 1, 2, 3),
+  tot AS (SELECT market, sum(w) AS n, sum(w * y) AS pos FROM pairs GROUP BY 1),
+  newton(k, market, a, b) AS (
+    SELECT 0, market, ln(pos / (n - pos)), 0e0 FROM tot WHERE pos > 0 AND pos < n
+    UNION ALL
+    SELECT k + 1, market, a - da * least(1, 4 / greatest(abs(da), abs(db), 1e-300)), b - db * least(1, 4 / greatest(abs(da), abs(db), 1e-300)) FROM (
+      SELECT k, market, a, b, (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS da, (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS db FROM (
+        SELECT k, market, a, b, sum(w * (p - y)) AS g0, sum(w * (p - y) * x) + b / {CALIBRATOR_C} AS g1, sum(w * p * (1 - p)) AS h00,
+          sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) + 1 / {CALIBRATOR_C} AS h11
+        FROM (SELECT k, market, a, b, x, y, w, 1 / (1 + exp(-(a + b * x))) AS p FROM newton JOIN pairs USING (market) WHERE k < 25) GROUP BY k, market, a, b))),
+  fit AS (SELECT tot.market, a AS icpt, b AS slope, CASE WHEN a IS NULL THEN pos / n END AS const, n FROM tot LEFT JOIN (SELECT * FROM newton WHERE k = 25) USING (market))"""
+_GATES_SQL = f"""WITH RECURSIVE {SCORED_SQL}, {_FIT_SQL}, m AS (SELECT market, any_value(slope) AS slope, any_value(icpt) AS icpt,
+    avg({_brier('model_probability')}) AS mb, avg({_brier('market_probability')}) AS kb, avg({_ll('model_probability')}) AS ml, avg({_ll('market_probability')}) AS kl FROM scored JOIN fit USING (market) GROUP BY 1),
   g AS (SELECT CASE market WHEN 'spreads' THEN 'spread' ELSE 'total' END || '_brier_beats_market' AS gate, mb < kb AS passed FROM m
     UNION ALL SELECT CASE market WHEN 'spreads' THEN 'spread' ELSE 'total' END || '_log_loss_beats_market', ml < kl FROM m
     UNION ALL SELECT CASE market WHEN 'spreads' THEN 'spread' ELSE 'total' END || '_calibration_acceptable', abs(icpt) <= 0.2 AND slope BETWEEN 0.5 AND 1.5 FROM m)"""
@@ -400,6 +414,8 @@ ORACLES = {
       b AS (SELECT CAST(bin AS INT) AS bin, count(*) AS count, avg(edge) AS mean_edge, avg(outcome) AS observed_rate FROM n GROUP BY 1),
       l AS (SELECT *, observed_rate - lag(observed_rate) OVER (ORDER BY bin) AS step FROM b)
       SELECT bin, count, {r6('mean_edge')} AS mean_edge, {r6('observed_rate')} AS observed_rate, (SELECT min(step) >= 0 FROM l) AS observed_rate_nondecreasing FROM l""",
+    "calibrated_probabilities": f"""WITH RECURSIVE {SCORED_SQL}, {_FIT_SQL} SELECT market, {r6('icpt')} AS intercept, {r6('slope')} AS slope,
+      {r6('const')} AS "constant", CAST(n AS BIGINT) AS rows FROM fit""",
     "promotion_gates": f"{_GATES_SQL} SELECT * FROM g",
     "gate_verdict": f"{_GATES_SQL} SELECT count(*) FILTER (passed) AS gates_passed, count(*) AS gates, CASE WHEN bool_and(passed) THEN 'PROMOTE' ELSE 'PASS_ONLY' END AS verdict FROM g",
     "ablation_deltas": f"""WITH {SCORED_SQL}, r AS (SELECT 'baseline' AS role, market_probability AS p, outcome AS y FROM scored UNION ALL SELECT 'candidate', model_probability, outcome FROM scored),

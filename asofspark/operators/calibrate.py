@@ -1,66 +1,74 @@
-"""Probability calibration with Spark ML."""
+"""Probability calibration: logistic fits of all groups together."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from asofspark.fixed_values import CALIBRATOR_C, CALIBRATOR_CLIP
 from asofspark.functions.scalars import clip, logistic, logit
+from asofspark.session import checkpointed
 
-MAX_GROUPS = 1_000
+MAX_STEPS = 40
+"""Newton steps; a fit is done far earlier, when no group moves any more."""
+MAX_MOVE = 4.0
+"""Longest move of a coefficient in one step."""
 
 
-def fit_logistic(df: DataFrame, probability: str, outcome: str, eps: float = CALIBRATOR_CLIP) -> dict:
-    """Intercept and slope of outcome on logit(probability).
+def fit_by_group(df: DataFrame, group: str, probability: str, outcome: str, eps: float = CALIBRATOR_CLIP) -> DataFrame:
+    """Intercept and slope of outcome on logit(probability), one row per group; any number of groups.
 
-    Equal (probability, outcome) pairs are merged into weights first, so the
-    iterations run over the distinct pairs. A single-class sample has no slope;
-    its constant rate is returned instead.
+    Equal (group, probability, outcome) triples are merged into weights once.
+    Every Newton step is one grouped sum over them for all groups together; only
+    the longest move reaches the driver. The slope has the penalty 1 / (2 C). A
+    group with one class has no slope; its constant rate is returned instead.
     """
-    pairs = (
-        df.select(logit(probability, eps).alias("x"), F.col(outcome).cast("double").alias("y"))
-        .dropna()
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).cast("double").alias("w"))
+    pairs = checkpointed(
+        df.select(F.col(group).alias("_g"), logit(probability, eps).alias("_x"), F.col(outcome).cast("double").alias("_y"))
+        .dropna(subset=["_x", "_y"])
+        .groupBy("_g", "_x", "_y")
+        .agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    )
+    groups = df.select(F.col(group).alias("_g")).distinct()
+    totals = pairs.groupBy("_g").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_y")).alias("pos"))
+    live = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+    fits = checkpointed(totals.filter(live).select("_g", F.ln(F.col("pos") / (F.col("n") - F.col("pos"))).alias("_a"), F.lit(0.0).alias("_b")))
+    for _ in range(MAX_STEPS):
+        fits = checkpointed(_newton_step(pairs, fits))
+        moved = fits.agg(F.max("_moved")).first()[0]
+        if moved is None or moved < 1e-12:
+            break
+        fits = fits.drop("_moved")
+    out = (
+        groups.join(totals.withColumnRenamed("_g", "_t"), F.col("_g").eqNullSafe(F.col("_t")), "left")
+        .join(fits.select(F.col("_g").alias("_f"), "_a", "_b"), F.col("_g").eqNullSafe(F.col("_f")), "left")
+    )
+    constant = F.when(F.col("_a").isNull() & (F.col("n") > 0), F.col("pos") / F.col("n"))
+    return out.select(
+        F.col("_g").alias(group), F.col("_a").alias("intercept"), F.col("_b").alias("slope"), constant.alias("constant"),
+        F.coalesce("n", F.lit(0.0)).cast("bigint").alias("rows"),
     )
-    pairs = VectorAssembler(inputCols=["x"], outputCol="features").transform(pairs).persist()
-    try:
-        total = pairs.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("pos")).first()
-        n, pos = total["n"] or 0.0, total["pos"] or 0.0
-        if n == 0 or pos in (0.0, n):
-            return {"intercept": None, "slope": None, "constant": (pos / n) if n else None, "rows": int(n)}
-        model = LogisticRegression(
-            labelCol="y", weightCol="w", maxIter=200, tol=1e-12,
-            regParam=1.0 / (CALIBRATOR_C * n), elasticNetParam=0.0, standardization=False,
-        ).fit(pairs)
-        return {"intercept": float(model.intercept), "slope": float(model.coefficients[0]), "constant": None, "rows": int(n)}
-    finally:
-        pairs.unpersist()
 
 
-def fit_by_group(df: DataFrame, group: str, probability: str, outcome: str, eps: float = CALIBRATOR_CLIP) -> DataFrame:
-    """One calibration row per group; groups are markets or folds, never data keys."""
-    groups = [r[0] for r in df.select(group).distinct().limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"calibration groups must be few; {group} has more than {MAX_GROUPS}")
-    rows = []
-    for g in sorted(groups, key=str):
-        fit = fit_logistic(df.filter(F.col(group).eqNullSafe(F.lit(g))), probability, outcome, eps)
-        rows.append((g, fit["intercept"], fit["slope"], fit["constant"], fit["rows"]))
-    schema = T.StructType(
-        [
-            df.schema[group],
-            T.StructField("intercept", T.DoubleType()),
-            T.StructField("slope", T.DoubleType()),
-            T.StructField("constant", T.DoubleType()),
-            T.StructField("rows", T.LongType()),
-        ]
+def _newton_step(pairs: DataFrame, fits: DataFrame) -> DataFrame:
+    p = logistic(F.col("_a") + F.col("_b") * F.col("_x"))
+    rows = pairs.join(fits.withColumnRenamed("_g", "_f"), F.col("_g").eqNullSafe(F.col("_f"))).select("_g", "_a", "_b", "_x", "_y", "_w", p.alias("_p"))
+    gap, bend = F.col("_w") * (F.col("_p") - F.col("_y")), F.col("_w") * F.col("_p") * (1 - F.col("_p"))
+    sums = rows.groupBy("_g", "_a", "_b").agg(
+        F.sum(gap).alias("g0"), F.sum(gap * F.col("_x")).alias("g1"),
+        F.sum(bend).alias("h00"), F.sum(bend * F.col("_x")).alias("h01"), F.sum(bend * F.col("_x") * F.col("_x")).alias("h11"),
+    )
+    ridge = 1.0 / CALIBRATOR_C
+    g1, h11 = F.col("g1") + ridge * F.col("_b"), F.col("h11") + ridge
+    det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
+    da = F.try_divide(h11 * F.col("g0") - F.col("h01") * g1, det)
+    db = F.try_divide(F.col("h00") * g1 - F.col("h01") * F.col("g0"), det)
+    longest = F.greatest(F.abs(da), F.abs(db), F.lit(1e-300))
+    scale = F.least(F.lit(1.0), F.lit(MAX_MOVE) / longest)
+    step = lambda d: F.coalesce(d * scale, F.lit(0.0))
+    return sums.select(
+        "_g", (F.col("_a") - step(da)).alias("_a"), (F.col("_b") - step(db)).alias("_b"), F.greatest(F.abs(step(da)), F.abs(step(db))).alias("_moved")
     )
-    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def calibrated(probability: str | Column, intercept: str = "intercept", slope: str = "slope", constant: str = "constant") -> Column:
