@@ -102,6 +102,42 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+_CHARS = "length(regexp_replace(line, '{}', '', 'g'))"
+_PHRASES_SQL = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+windows AS (SELECT uid, i, list_slice(ws, i, i + 7) AS w FROM d, unnest(range(1, len(ws) - 6)) u(i)),
+twice AS (SELECT uid, w FROM windows GROUP BY uid, w HAVING count(*) > 1),
+hit AS (
+  SELECT uid, count(DISTINCT p) AS n FROM windows JOIN twice USING (uid, w), unnest(range(i, i + 8)) u(p) GROUP BY uid),
+firsts AS (SELECT DISTINCT uid, unnest(lines) AS line FROM d),
+measured AS (
+  SELECT uid, length(line) AS chars, {_CHARS.format(chr(92) + "P{L}+")} AS letters, {_CHARS.format(chr(92) + "P{Lu}+")} AS capitals,
+    length(regexp_replace(line, '[^#*$%&|<>{{}}\\[\\]=_~^»›•·]+', '', 'g')) AS symbols,
+    regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw,
+    regexp_matches(line, '[.!?…:;"''”’»)\\]。！？]\\s*$') AS closed, {_PHRASES_SQL} AS phrase
+  FROM firsts),
+good AS (
+  SELECT uid, sum(chars) AS kept_chars FROM measured
+  WHERE (chars < {quality.LONG_LINE} OR closed) AND symbols * 20 <= chars AND letters * 2 >= chars AND (letters < 20 OR capitals * 2 <= letters)
+    AND (len(lw) < 12 OR len(list_distinct(lw)) * 5 >= least(len(lw), 60) * 2) AND NOT phrase
+  GROUP BY uid),
+base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(kept_chars, 0) >= {quality.MIN_KEPT_SHARE} * coalesce(list_sum(list_transform(lines, lambda l: length(l))), 0) AS enough
+  FROM d LEFT JOIN hit USING (uid) LEFT JOIN good USING (uid))
+SELECT * EXCLUDE (enough), n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND enough AS kept
+FROM base"""
+
+
 def op8_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -153,5 +189,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_slot_shards": OP4_SQL,
     "op5_url_rules": OP5_SQL,
+    "op7_line_quality": OP7_SQL,
     "op9_prefix_decontamination": OP9_SQL,
 }
