@@ -260,7 +260,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     each = found.select("key", F.posexplode(F.arrays_zip("anchors", "lasts")).alias("k", "a"), "lasts").select(
         "key", F.col("a.anchors").alias("anchor"), F.when(F.col("k") > 0, F.col("lasts")[F.greatest(F.col("k") - 1, F.lit(0))] + 1).otherwise(0).alias("first"), F.col("a.lasts").alias("last")
     )
-    twice = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written, so that the join meets two plain shuffles and a very common anchor is split over tasks
+    twice = checkpointed(found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     shared = each.join(twice, "anchor", "left_semi").distinct()
     per_text = shared.groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     texts = long.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
