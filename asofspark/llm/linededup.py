@@ -79,10 +79,11 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """(doc_id, key, firsts, lasts): the stretches of a document whose content has occurred before."""
     found = stretches(docs, id_col, text)
     place = F.xxhash64("doc_id", "key", "spot")
-    repeated = found.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("print")
+    # grouped sides are written, so that each join meets two plain shuffles and a hot line or run is split over tasks
+    repeated = checkpointed(found.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("print"))
     position = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "first")
-    near = found.join(repeated, "print", "left_semi").select("run", position.alias("at"), "last")
-    earliest = near.groupBy("run").agg(F.min("at").alias("source"))
+    near = checkpointed(found.join(repeated, "print", "left_semi").select("run", position.alias("at"), "last"))
+    earliest = checkpointed(near.groupBy("run").agg(F.min("at").alias("source")))
     later = near.join(earliest, "run").filter(F.col("at") > F.col("source"))
     spans = later.select("at.doc_id", "at.key", F.struct(F.col("at.first").alias("first"), "last").alias("s")).distinct()
     return spans.groupBy("doc_id", "key").agg(F.collect_list("s.first").alias("firsts"), F.collect_list("s.last").alias("lasts"))
