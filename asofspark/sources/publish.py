@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,22 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", mode: str = "error
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
 
 
+def _stage(df: DataFrame, path: str, version: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Write to a folder that no earlier run has used; returns what was written and the folder's name."""
+    folder = f"versions/{version}-{uuid.uuid4().hex}"
+    write_parquet(df, f"{path}/{folder}", partition_by)
+    return df.sparkSession.read.parquet(f"{path}/{folder}"), folder
+
+
+def _refuse(failing: list) -> None:
+    if failing:
+        raise ChecksFailed("; ".join(f"{r['table']}.{r['check_id']}: {r['violations']}" for r in failing))
+
+
+def _facts(staged: DataFrame) -> DataFrame:
+    return staged.select(content_hash(staged).alias("content_hash")).agg(F.count(F.lit(1)).alias("rows"), dataset_digest().alias("digest"))
+
+
 def publish(
     df: DataFrame,
     path: str,
@@ -47,51 +65,58 @@ def publish(
     partition_by: list[str] | None = None,
     checks: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Write a version folder, check what was written, then name it current.
+    """Write a folder of its own, check what was written, then name it current.
 
     Readers follow the manifest, whose row is written last; a failed check or
-    a lost job leaves the earlier version in place.
+    a lost job leaves the earlier data in place, also where a version is
+    published again.
     """
-    spark = df.sparkSession
-    target = f"{path}/versions/{version}"
-    write_parquet(df, target, partition_by, mode="overwrite")
-    staged = spark.read.parquet(target)
+    staged, folder = _stage(df, path, version, partition_by)
     if checks is not None:
-        failing = checks(staged).filter("violations > 0").collect()
-        if failing:
-            raise ChecksFailed("; ".join(f"{r['table']}.{r['check_id']}: {r['violations']}" for r in failing))
-    facts = staged.select(content_hash(staged).alias("content_hash")).agg(
-        F.count(F.lit(1)).alias("rows"), dataset_digest().alias("digest")
-    )
-    facts.select(
-        F.lit(version).alias("version"), "rows", "digest", F.current_timestamp().alias("published_at")
+        _refuse(checks(staged).filter("violations > 0").collect())
+    _facts(staged).select(
+        F.lit(version).alias("version"), F.lit(folder).alias("folder"), "rows", "digest", F.current_timestamp().alias("published_at")
     ).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return staged
 
 
 def publish_all(tables: dict[str, DataFrame], path: str, version: str, checks: Callable[[dict[str, DataFrame]], DataFrame]) -> None:
-    """Stage several tables, check them together, then publish all of them.
+    """Stage several tables, check them together, then publish all of them in one row.
 
-    Any failing check leaves every table at its earlier version.
+    Any failing check, or a job lost before that row, leaves every table at its
+    earlier version.
     """
-    staged = {}
-    for name, df in tables.items():
-        target = f"{path}/{name}/versions/{version}"
-        write_parquet(df, target, mode="overwrite")
-        staged[name] = df.sparkSession.read.parquet(target)
-    failing = checks(staged).filter("violations > 0").collect()
-    if failing:
-        raise ChecksFailed("; ".join(f"{r['table']}.{r['check_id']}: {r['violations']}" for r in failing))
-    for name, df in staged.items():
-        df.agg(F.count(F.lit(1)).alias("rows"), dataset_digest(content_hash(df)).alias("digest")).select(
-            F.lit(version).alias("version"), "rows", "digest", F.current_timestamp().alias("published_at")
-        ).coalesce(1).write.mode("append").parquet(f"{path}/{name}/manifest")
+    staged = {name: _stage(df, f"{path}/{name}", version) for name, df in tables.items()}
+    _refuse(checks({name: df for name, (df, _) in staged.items()}).filter("violations > 0").collect())
+    facts = None
+    for name, (df, folder) in staged.items():
+        one = _facts(df).select(F.struct(F.lit(name).alias("name"), F.lit(folder).alias("folder"), "rows", "digest").alias("t"))
+        facts = one if facts is None else facts.unionByName(one)
+    facts.agg(F.collect_list("t").alias("tables")).select(
+        F.lit(version).alias("version"), "tables", F.current_timestamp().alias("published_at")
+    ).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The latest published version of a table."""
-    row = spark.read.parquet(f"{path}/manifest").agg(F.max_by("version", F.struct("published_at", "version")).alias("v")).head()
-    return spark.read.parquet(f"{path}/versions/{row['v']}")
+    """The latest published data of a table, whether published alone or together with its neighbours."""
+    above, _, name = path.rstrip("/").rpartition("/")
+    found = []
+    if _exists(spark, f"{path}/manifest"):
+        found.append(spark.read.parquet(f"{path}/manifest").select("folder", "version", "published_at"))
+    if _exists(spark, f"{above}/manifest"):
+        joint = spark.read.parquet(f"{above}/manifest")
+        if "tables" in joint.columns:
+            rows = joint.select("version", "published_at", F.inline("tables")).filter(F.col("name") == name)
+            found.append(rows.select("folder", "version", "published_at"))
+    if not found:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    row = reduce(DataFrame.unionByName, found).agg(F.max_by("folder", F.struct("published_at", "version", "folder")).alias("f")).head()
+    return spark.read.parquet(f"{path}/{row['f']}")
 
 
 def capture(tables: dict[str, tuple[DataFrame, str]], path: str, capture_id: str) -> DataFrame:

@@ -58,7 +58,28 @@ def test_failed_checks_publish_nothing(spark, tmp_path):
     with pytest.raises(pb.ChecksFailed):
         pb.publish_all({"one": batch(spark, ("a", 1.0, "t")), "two": batch(spark, ("b", 1.0, "t"), ("b", 1.0, "t"))}, str(tmp_path / "m"), "v1",
                        lambda s: ck.all_checks(*[ck.duplicate_keys(d, n, ["id"]) for n, d in s.items()]))
-    assert not (tmp_path / "m" / "one" / "manifest").exists()
+    assert not (tmp_path / "m" / "manifest").exists()
+
+
+def test_a_refused_republish_leaves_the_good_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    pb.publish(batch(spark, ("a", 1.0, "t")), path, "v1")
+    with pytest.raises(pb.ChecksFailed):
+        pb.publish(batch(spark, ("a", 1.0, "t"), ("a", 2.0, "t")), path, "v1", checks=lambda d: ck.duplicate_keys(d, "t", ["id"]))
+    assert pb.current(spark, path).count() == 1
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    def check(s):
+        return ck.all_checks(*[ck.duplicate_keys(d, n, ["id"]) for n, d in s.items()])
+
+    path = str(tmp_path / "m")
+    pb.publish_all({"one": batch(spark, ("a", 1.0, "t")), "two": batch(spark, ("b", 1.0, "t"))}, path, "v1", check)
+    with pytest.raises(pb.ChecksFailed):
+        pb.publish_all({"one": batch(spark, ("c", 1.0, "t")), "two": batch(spark, ("b", 1.0, "t"), ("b", 1.0, "t"))}, path, "v2", check)
+    assert [r["id"] for r in pb.current(spark, f"{path}/one").collect()] == ["a"]
+    pb.publish_all({"one": batch(spark, ("c", 1.0, "t")), "two": batch(spark, ("d", 1.0, "t"))}, path, "v2", check)
+    assert [r["id"] for n in ("one", "two") for r in pb.current(spark, f"{path}/{n}").collect()] == ["c", "d"]
 
 
 def test_feature_store_refuses_a_leak(spark, tmp_path):
