@@ -433,7 +433,7 @@ def feature_drift(spark, sf_dir):
     """Drift of later facts against the profile of the earlier ones."""
     li = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
     cols = ["l_quantity", "l_discount", "l_tax"]
-    prof = ck.moments(li.filter("year < 1999 AND l_returnflag = 'A' AND l_quantity BETWEEN 5 AND 45"), cols)
+    prof = ck.moments(li.filter("year < 1999"), cols)
     out = rk.feature_drift(li.filter("year >= 1999"), cols, prof, ["l_returnflag", "year"])
     return rounded(out.groupBy("l_returnflag", "year").agg(F.max("feature_drift_max_abs_z").alias("max_z"), F.sum("feature_outside_training_range").alias("outside")))
 
@@ -584,7 +584,7 @@ ORACLES = {
     "ranked_candidates": f"""WITH {_CAND_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY game_id, market ORDER BY croi DESC, ce DESC, selection, book) AS rn FROM cand WHERE ce >= 0.02 AND croi > 0)
       SELECT game_id, market, selection, book, {r6('ce')} AS conservative_edge, {r6('croi')} AS conservative_roi FROM x WHERE rn = 1 ORDER BY croi DESC, ce DESC, game_id, market, selection, book LIMIT 5""",
     "evidence_counts": f"""WITH {_CAND_SQL} SELECT market, {', '.join(f"count(*) FILTER ({c} = '{v}') AS {v.lower()}" for c, v in (('src', 'MARKET_CALIBRATION_ONLY'), ('src', 'FOOTBALL_ADJUSTED'), ('dir', 'SUPPORTS_SELECTION'), ('dir', 'OPPOSES_SELECTION'), ('dir', 'NEUTRAL')))} FROM cand GROUP BY 1""",
-    "feature_drift": f"""WITH t AS (SELECT * FROM lineitem WHERE year(l_shipdate) < 1999 AND l_returnflag = 'A' AND l_quantity BETWEEN 5 AND 45), p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) AS a_{c}, max({c}) AS b_{c}' for c in ('l_quantity', 'l_discount', 'l_tax'))} FROM t)
+    "feature_drift": f"""WITH t AS (SELECT * FROM lineitem WHERE year(l_shipdate) < 1999), p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) AS a_{c}, max({c}) AS b_{c}' for c in ('l_quantity', 'l_discount', 'l_tax'))} FROM t)
       SELECT l_returnflag, CAST(year(l_shipdate) AS INT) AS year, {r6('max(greatest(' + ', '.join(f'abs(({c} - m_{c}) / s_{c})' for c in ('l_quantity', 'l_discount', 'l_tax')) + '))')} AS max_z,
       CAST(sum({' + '.join(f'CASE WHEN {c} < a_{c} OR {c} > b_{c} THEN 1 ELSE 0 END' for c in ('l_quantity', 'l_discount', 'l_tax'))}) AS BIGINT) AS outside FROM lineitem, p WHERE year(l_shipdate) >= 1999 GROUP BY 1, 2""",
     "driver_attribution": f"""WITH n AS (SELECT *, row_number() OVER () AS rid FROM lineitem), c AS ({' UNION ALL '.join(f"SELECT rid, '{f}' AS feature, {a}e0 * ({f} - {m}e0) AS v FROM n" for f, (a, m) in _DRV.items())}),

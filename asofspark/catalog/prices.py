@@ -161,7 +161,7 @@ def key_number_movement(spark, sf_dir):
 
 def evidence_labels(spark, sf_dir):
     """Direction and source labels for both selections of every quote contract."""
-    q = quotes(spark, sf_dir).filter("bookmaker_key = 'pinnacle'")
+    q = quotes(spark, sf_dir)
     weight = F.when(F.col("provider_event_id") % 5 == 0, 0.0).otherwise(0.25)
     adj = (F.col("provider_event_id") % 7 - 3) * weight
     p = F.lit(0.4) + (F.col("provider_event_id") % 20) / 100
@@ -174,7 +174,7 @@ def evidence_labels(spark, sf_dir):
     one = q.filter("selection IN ('HOME', 'OVER')")
     return rounded(
         one.withColumn("_x", both).select(
-            "provider_event_id", "market", F.col("_x.side").alias("side"), F.col("_x.p").alias("model_probability"),
+            "provider_event_id", "bookmaker_key", "market", F.col("_x.side").alias("side"), F.col("_x.p").alias("model_probability"),
             px.signal_source(weight).alias("signal_source"), px.direction(F.col("_x.side"), adj).alias("direction"),
         )
     )
@@ -364,12 +364,12 @@ ORACLES = {
       SELECT market, decision_line, closing_line, rows, coalesce(crossed, touched, '') AS keys,
         CASE WHEN market <> 'spreads' THEN 'NOT_APPLICABLE' WHEN pc > 0 THEN 'CROSSED_PRIMARY_KEY' WHEN crossed IS NOT NULL THEN 'CROSSED_KEY'
           WHEN pt > 0 THEN 'TOUCHED_PRIMARY_KEY' WHEN touched IS NOT NULL THEN 'TOUCHED_KEY' ELSE 'NO_KEY_CROSSING' END AS key_number_movement FROM x""",
-    "evidence_labels": f"""WITH {QUOTES_SQL}, a AS (SELECT provider_event_id, market, CASE WHEN provider_event_id % 5 = 0 THEN 0e0 ELSE 0.25e0 END AS w,
+    "evidence_labels": f"""WITH {QUOTES_SQL}, a AS (SELECT provider_event_id, bookmaker_key, market, CASE WHEN provider_event_id % 5 = 0 THEN 0e0 ELSE 0.25e0 END AS w,
         (provider_event_id % 7 - 3) AS a, 0.4e0 + (provider_event_id % 20) / 100e0 AS p FROM quotes
-        WHERE bookmaker_key = 'pinnacle' AND selection IN ('HOME', 'OVER')),
+        WHERE selection IN ('HOME', 'OVER')),
       s AS (SELECT *, CASE market WHEN 'spreads' THEN 'HOME' ELSE 'OVER' END AS side, p AS q, true AS pos FROM a
         UNION ALL SELECT *, CASE market WHEN 'spreads' THEN 'AWAY' ELSE 'UNDER' END, 1 - p, false FROM a)
-      SELECT provider_event_id, market, side, {r6('q')} AS model_probability,
+      SELECT provider_event_id, bookmaker_key, market, side, {r6('q')} AS model_probability,
         CASE WHEN w = 0 THEN 'MARKET_CALIBRATION_ONLY' ELSE 'FOOTBALL_ADJUSTED' END AS signal_source,
         CASE WHEN a * w = 0 THEN 'NEUTRAL' WHEN pos = (a * w > 0) THEN 'SUPPORTS_SELECTION' ELSE 'OPPOSES_SELECTION' END AS direction FROM s""",
     "board_quotes": _BOARD_SQL,
