@@ -11,6 +11,7 @@ from asofspark.operators import market as mk
 from asofspark.operators import observe as obs
 from asofspark.operators import schedule as sched
 from asofspark.operators import temporal as tmp
+from asofspark.operators.matchup import BASE_PAIRS
 
 _ASOF = "1998-06-15 00:00:00"
 
@@ -127,7 +128,7 @@ def opponent_adjusted(spark, sf_dir):
     return rounded(tmp.opponent_adjusted(lags, pre, _PAIRS))
 
 
-_PAIRS = {"pass_epa": ("off_pass_epa", "def_pass_epa"), "rush_success": ("off_rush_success_rate", "def_rush_success_rate")}
+_PAIRS = BASE_PAIRS
 _ADJ = [f"{s}_opp_adj_{n}" for n in _PAIRS for s in ("off", "def")]
 
 
