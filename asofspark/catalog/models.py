@@ -280,18 +280,17 @@ def version_comparison(spark, sf_dir):
 
 def season_bootstrap(spark, sf_dir):
     """Season-block bootstrap interval of the RMSE difference per market."""
-    return bs.rmse_difference(scored(spark, sf_dir).withColumn("rid", F.xxhash64("l_orderkey", "actual", "line", "model_probability", "week")), "rid", "actual", "projection", "line", "season")
+    return bs.rmse_difference(scored(spark, sf_dir), None, "actual", "projection", "line", "season")
 
 
 def paired_bootstrap(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("rid", F.xxhash64("l_orderkey", "actual", "line", "model_probability", "week"))
-    return bs.paired_scores(rows, "rid", "outcome", "model_probability", "market_probability")
+    return bs.paired_scores(scored(spark, sf_dir), None, "outcome", "model_probability", "market_probability")
 
 
 def ablation_acceptance(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumn("rid", F.xxhash64("l_orderkey", "actual", "line", "model_probability", "week"))
+    rows = scored(spark, sf_dir)
     deltas = ev.ablation_deltas(rows, "outcome", "market_probability", "model_probability")
-    return ev.ablation_acceptance(deltas, bs.paired_scores(rows, "rid", "outcome", "model_probability", "market_probability", 2_000, 202603))
+    return ev.ablation_acceptance(deltas, bs.paired_scores(rows, None, "outcome", "model_probability", "market_probability", 2_000, 202603))
 
 
 def market_weights(spark, sf_dir):

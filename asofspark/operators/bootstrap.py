@@ -1,15 +1,19 @@
 """Bootstrap intervals from map-side replicate sums.
 
 Row i of replicate r gets a Poisson weight drawn from a hash of (seed, r, row
-id), so a repeated task draws the same weights. Only weighted sums per
-replicate leave a task; the shuffle carries replicates x statistics numbers,
-whatever the row count. A season block drawn m times in a replicate gives its
-rows Poisson(m) weights.
+id), so a repeated task draws the same weights. Without a row id, rows with
+equal values are merged first and n of them draw one Poisson(n) weight, which
+has the distribution of n weights drawn apart. A block is drawn m times by a
+hash of (seed, r, block) in the task that holds its row, and its rows then draw
+Poisson(m) weights; blocks are neither collected nor limited. Only weighted
+sums per replicate leave a task; the shuffle carries replicates x statistics
+numbers, whatever the row count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -32,66 +36,78 @@ def _hash_words(ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
 
 
 def _poisson_table(mean: float) -> np.ndarray:
-    """Poisson quantiles at the 65,536 midpoints of a 16-bit word."""
-    terms, k = [np.exp(-mean)], 1
-    while sum(terms) < 1 - 1e-15 and k < 400:
-        terms.append(terms[-1] * mean / k)
-        k += 1
-    return np.searchsorted(np.cumsum(terms), (np.arange(65536) + 0.5) / 65536, side="right").astype(float)
+    """Poisson quantiles at the 65,536 midpoints of a 16-bit word; by the normal limit for large means."""
+    at = (np.arange(65536) + 0.5) / 65536
+    if mean > 1024:
+        normal = NormalDist(mean, mean**0.5)
+        return np.rint([normal.inv_cdf(q) for q in at])
+    log_terms = np.arange(int(mean + 12 * mean**0.5 + 30))
+    log_terms = log_terms * np.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(log_terms[1:]))])
+    return np.searchsorted(np.cumsum(np.exp(log_terms)), at, side="right").astype(float)
+
+
+class _Draws:
+    """Poisson draws of any whole mean, as sums over the powers of two in it."""
+
+    def __init__(self) -> None:
+        self.tables: dict[int, np.ndarray] = {}
+
+    def __call__(self, ids: np.ndarray, groups: np.ndarray, means: np.ndarray) -> np.ndarray:
+        """means: one per (id, replicate); draws of the same shape."""
+        samples = means.shape[1]
+        out = np.zeros(means.shape)
+        for k in range(int(means.max(initial=0)).bit_length()):
+            some = (means >> k) & 1 == 1
+            if not some.any():
+                continue
+            if k not in self.tables:
+                self.tables[k] = _poisson_table(float(1 << k))
+            with np.errstate(over="ignore"):
+                words = _hash_words(ids.astype(np.uint64) + np.uint64(k) * np.uint64(0xD1B54A32D192ED03), groups)[:, :samples]
+            out[some] += self.tables[k][words[some]]
+        return out
 
 
 def replicate_sums(
     df: DataFrame,
-    row_id: str,
+    row_id: str | None,
     values: dict[str, str],
     block: str | None = None,
     samples: int = BOOTSTRAP_SAMPLES,
     seed: int = BOOTSTRAP_SEED,
 ) -> DataFrame:
-    """Per replicate: Σ weight and Σ weight·value for every named SQL expression."""
-    blocks: list = []
-    draws = np.ones((samples, 1), dtype=int)
-    if block is not None:
-        blocks = sorted(r[0] for r in df.select(block).distinct().limit(10_001).collect())
-        if len(blocks) > 10_000:
-            raise ValueError("bootstrap blocks are seasons: at most 10,000 of them")
-        rng = np.random.default_rng(seed)
-        picks = rng.integers(0, len(blocks), size=(samples, len(blocks)))
-        draws = np.apply_along_axis(np.bincount, 1, picks, minlength=len(blocks))
-    index = {b: i for i, b in enumerate(blocks)}
+    """Per replicate: Σ weight and Σ weight·value for every named SQL expression.
+
+    ``row_id`` names a unique column, or is None to merge rows with equal values.
+    """
     names = list(values)
     reps = np.arange(samples)
     groups = np.arange(-(-samples // 4))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((samples, len(names) + 1))
-        tables = {m: _poisson_table(float(m)) for m in np.unique(draws) if m > 0}
+        draw = _Draws()
         for pdf in batches:
-            where = pdf["_b"].map(index).to_numpy() if index else None
             x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
-            ids = pdf["_h"].to_numpy()
+            ids, blocks, n = pdf["_h"].to_numpy(), pdf["_b"].to_numpy(), pdf["_n"].to_numpy(dtype=np.int64)
             for start in range(0, len(pdf), _CHUNK):
                 part = slice(start, start + _CHUNK)
-                words = _hash_words(ids[part], groups)[:, :samples]
-                if where is None:
-                    weight = tables[1][words]
-                else:
-                    times = draws[:, where[part]].T
-                    weight = np.zeros(words.shape)
-                    for m, quantiles in tables.items():
-                        hit = times == m
-                        weight[hit] = quantiles[words[hit]]
-                total += weight.T @ x[part]
+                means = np.broadcast_to(n[part][:, None], (len(ids[part]), samples))
+                if block is not None:
+                    means = means * draw(blocks[part], groups, np.ones_like(means)).astype(np.int64)
+                total += draw(ids[part], groups, means).T @ x[part]
         out = pd.DataFrame(total, columns=["weight", *names])
         out.insert(0, "replicate", reps)
         yield out
 
     schema = ", ".join(["replicate int", "weight double", *[f"{n} double" for n in names]])
-    prepared = df.select(
-        F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"),
-        *([F.col(block).alias("_b")] if block else [F.lit(0).alias("_b")]),
-        *[F.expr(e).cast("double").alias(n) for n, e in values.items()],
-    )
+    exprs = [F.expr(e).cast("double").alias(n) for n, e in values.items()]
+    where = F.xxhash64(F.lit(seed), F.lit("block"), F.col(block)).alias("_b") if block else F.lit(0).cast("bigint").alias("_b")
+    if row_id is None:
+        prepared = df.select(where, *exprs).groupBy("_b", *names).agg(F.count(F.lit(1)).alias("_n"))
+        prepared = prepared.withColumn("_h", F.xxhash64(F.lit(seed), "_b", *names))
+    else:
+        prepared = df.select(where, *exprs, F.lit(1).cast("bigint").alias("_n"), F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"))
     partial = prepared.mapInPandas(fold, schema)
     return partial.groupBy("replicate").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(n) for n in names])
 
@@ -106,7 +122,7 @@ def interval(replicates: DataFrame, statistics: dict[str, str]) -> DataFrame:
     )
 
 
-def rmse_difference(df: DataFrame, row_id: str, actual: str, final: str, line: str, season: str, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+def rmse_difference(df: DataFrame, row_id: str | None, actual: str, final: str, line: str, season: str, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Season-block bootstrap of RMSE(final) - RMSE(line)."""
     sums = replicate_sums(
         df, row_id, {"ef": f"pow({actual} - {final}, 2)", "el": f"pow({actual} - {line}, 2)"}, season, samples, seed
@@ -114,7 +130,7 @@ def rmse_difference(df: DataFrame, row_id: str, actual: str, final: str, line: s
     return interval(sums, {"final_minus_market_rmse": "sqrt(ef / weight) - sqrt(el / weight)"})
 
 
-def paired_scores(df: DataFrame, row_id: str, outcome: str, model: str, market: str, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+def paired_scores(df: DataFrame, row_id: str | None, outcome: str, model: str, market: str, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Paired bootstrap of the Brier and log-loss differences."""
 
     def clipped(p: str) -> str:

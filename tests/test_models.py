@@ -253,3 +253,21 @@ def test_trees_walk_forward(rows):
     got = out.collect()
     assert {r["season"] for r in got} == {2023} and len(got) == 100
     assert got[0]["mix"] == pytest.approx(0.25 * got[0]["line"] + 0.75 * got[0]["tree_raw"])
+
+
+def test_poisson_draws_have_their_mean_and_variance():
+    draw, ids, groups = bs._Draws(), np.arange(2000) * 7919 + 13, np.arange(25)
+    for mean in (1, 3, 20, 5000):
+        got = draw(ids, groups, np.full((2000, 100), mean, dtype=np.int64))
+        assert abs(got.mean() - mean) < 0.02 * mean**0.5 + 0.01 * mean**0.5 and abs(got.var() - mean) < 0.05 * mean
+
+
+def test_merged_rows_draw_like_single_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(y), 0.6 if y else 0.45, 0.5) for i, y in enumerate(rng.integers(0, 2, 500))]  # two different tuples
+    df = spark.createDataFrame(rows, "id long, y double, p double, q double")
+    single = {r["metric"]: r for r in bs.paired_scores(df, "id", "y", "p", "q", samples=3000).collect()}
+    merged = {r["metric"]: r for r in bs.paired_scores(df, None, "y", "p", "q", samples=3000).collect()}
+    for m in ("brier", "log_loss"):
+        width = single[m]["upper_95"] - single[m]["lower_95"]
+        assert merged[m]["upper_95"] - merged[m]["lower_95"] == pytest.approx(width, rel=0.1)
