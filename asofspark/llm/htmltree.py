@@ -70,6 +70,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     nodes = [Node("", [], None, -1)]
     pieces: list[tuple[int, str | None]] = []
     stack, at = [0], 0
+    is_open: Counter = Counter()
 
     def say(raw: str) -> None:
         if raw:
@@ -77,11 +78,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
 
     def close_to(depth: int) -> None:
         for i in stack[depth:]:
+            is_open[nodes[i].tag] -= 1
             if nodes[i].tag in BLOCKS:
                 pieces.append((i, None))
         del stack[depth:]
 
     def open_at(tags, fences=frozenset()) -> int:
+        if not any(is_open[t] for t in tags):
+            return 0
         for d in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[d]].tag
             if tag in tags:
@@ -120,6 +124,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         if tag in BLOCKS:
             pieces.append((len(nodes) - 1, None))
         stack.append(len(nodes) - 1)
+        is_open[tag] += 1
     say(page[at:])
     return nodes, pieces
 

@@ -26,7 +26,7 @@ def test_extraction_and_contract(spark):
     rows = [(i, f"u{i}", page(*m)) for i, m in enumerate(made)]
     want = {i: "\n\n".join([m[0], *m[1]]) for i, m in enumerate(made)}
     rows += [(900, "u", None), (901, None, ""), (902, "u", "no markup at all"), (903, "u", "<nav><a>x</a></nav>"), (None, "u", rows[3][2]), (3, "u3", rows[3][2])]
-    rows += [(904, "u", page("Long", ["Word and more of it. " * 30_000])), (905, "u", "<div>" * 5000 + "deep" + "</div>" * 10)]
+    rows += [(904, "u", page("Long", ["Word and more of it. " * 30_000])), (905, "u", "<div>" * 5000 + "deep" + "</div>" * 10), (907, "u", "<b>" * 60_000 + "x" + "</i>" * 60_000)]
     rows += [(906, "u", page("A &amp; B", ["1 < 2 & 3 > 2 é日 nbsp here.", "  many \n\t spaces  "]))]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     got = ht.extract_pages(df, ht.train(df)).collect()
