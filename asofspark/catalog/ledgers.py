@@ -323,10 +323,19 @@ settled AS (SELECT game_id, market, week, CAST(ds AS VARCHAR) AS prediction_id,
 
 
 def prospective_summary(spark, sf_dir):
-    out = ev.prospective_summary(_settled(spark, sf_dir), 100)
+    """Counts, scores, calibration and readiness per market."""
+    out = ev.summary_with_calibration(checkpointed(_settled(spark, sf_dir)), 100)
     return rounded(out.drop("mean_price_clv", "mean_closing_contract_ev"))
 
 
+def prospective_reliability(spark, sf_dir):
+    return rounded(ev.prospective_reliability(_settled(spark, sf_dir)))
+
+
+def exclusion_reasons(spark, sf_dir):
+    return ev.exclusion_counts(_settled(spark, sf_dir))
+
+
 def evaluation_coverage(spark, sf_dir):
     s = _settled(spark, sf_dir)
     cover = ev.coverage_by_week(s)
@@ -506,6 +515,8 @@ QUERIES = {
     "latest_decision_snapshot": latest_decision_snapshot,
     "settlement": settlement,
     "prospective_summary": prospective_summary,
+    "prospective_reliability": prospective_reliability,
+    "exclusion_reasons": exclusion_reasons,
     "evaluation_coverage": evaluation_coverage,
     "formal_readiness": formal_readiness,
     "unsealed_weeks": unsealed_weeks,
@@ -563,10 +574,16 @@ ORACLES = {
     "latest_decision_snapshot": """SELECT event_id AS snapshot_id, ts AS retrieved_at_utc, 'DECISION' AS snapshot_purpose, 'COMPLETE' AS status FROM events e
       WHERE event_type = 'view' AND value > 5 AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) > TIMESTAMP '2024-01-20 12:00:00') ORDER BY ts DESC, event_id LIMIT 1""",
     "settlement": f"WITH {_WQ_SQL} SELECT {', '.join(f'{r6(c)} AS {c}' if c in _NUM else c for c in _SETTLED_COLS)} FROM settled",
-    "prospective_summary": f"""WITH {_WQ_SQL} SELECT market, count(*) AS evaluated_games, count(*) FILTER (result <> 'EXCLUDED') AS canonical_contracts, count(*) FILTER (eligible_non_push = 1) AS eligible_non_push,
+    "prospective_reliability": f"""WITH {_WQ_SQL} SELECT market, {md._BIN.format(p='model_non_push_win_probability')} AS bin, count(*) AS count,
+      {r6('avg(model_non_push_win_probability)')} AS mean_probability, {r6("avg(CASE result WHEN 'WIN' THEN 1e0 ELSE 0e0 END)")} AS observed_rate
+      FROM settled WHERE eligible_non_push = 1 GROUP BY 1, 2""",
+    "exclusion_reasons": f"WITH {_WQ_SQL} SELECT market, exclusion_reason, count(*) AS rows FROM settled WHERE exclusion_reason IS NOT NULL GROUP BY 1, 2",
+    "prospective_summary": f"""WITH RECURSIVE {_WQ_SQL}, scored AS (SELECT market, model_non_push_win_probability AS model_probability,
+        CASE result WHEN 'WIN' THEN 1e0 ELSE 0e0 END AS outcome FROM settled WHERE eligible_non_push = 1), {md._FIT_SQL}
+      SELECT s.*, {r6('icpt')} AS calibration_intercept, {r6('slope')} AS calibration_slope FROM (SELECT market, count(*) AS evaluated_games, count(*) FILTER (result <> 'EXCLUDED') AS canonical_contracts, count(*) FILTER (eligible_non_push = 1) AS eligible_non_push,
       count(*) FILTER (result = 'PUSH') AS pushes, count(*) FILTER (result = 'EXCLUDED') AS excluded, {', '.join(f'{r6(f"avg({c})")} AS {c}' for c in ('model_brier', 'market_brier', 'model_log_loss', 'market_log_loss'))},
       {r6('sqrt(avg(pow(projection_error, 2)))')} AS projection_rmse, {r6('avg(abs(projection_error))')} AS projection_mae, {r6('avg(line_clv)')} AS mean_line_clv,
-      count(*) FILTER (clv_status = 'AVAILABLE') AS clv_available, count(*) FILTER (clv_status <> 'AVAILABLE') AS clv_unavailable, count(*) FILTER (eligible_non_push = 1) >= 100 AS ready FROM settled GROUP BY 1""",
+      count(*) FILTER (clv_status = 'AVAILABLE') AS clv_available, count(*) FILTER (clv_status <> 'AVAILABLE') AS clv_unavailable, count(*) FILTER (eligible_non_push = 1) >= 100 AS ready FROM settled GROUP BY 1) s LEFT JOIN fit USING (market)""",
     "evaluation_coverage": f"WITH {_WQ_SQL} SELECT week, market, count(*) AS evaluations, CAST(sum(eligible_non_push) AS BIGINT) AS eligible_non_push, count(exclusion_reason) AS excluded FROM settled GROUP BY 1, 2",
     "formal_readiness": f"""WITH {_WQ_SQL}, x AS (SELECT (SELECT count(*) FROM wgames WHERE home_score IS NULL OR away_score IS NULL) AS incomplete_results,
         (SELECT count(*) FROM wgames g CROSS JOIN (VALUES ('spreads'), ('totals')) m(market) WHERE NOT EXISTS (SELECT 1 FROM settled s WHERE s.game_id = g.game_id AND s.market = m.market)) AS missing_evaluations,

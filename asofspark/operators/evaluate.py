@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from asofspark.fixed_values import PROBABILITY_CLIP
 from asofspark.functions.scalars import clip_probability, first_reason
+from asofspark.operators.calibrate import fit_by_group
 from asofspark.operators.scan import equal_count_bins
 
 
@@ -241,6 +242,23 @@ def prospective_summary(evaluations: DataFrame, minimum: int, keys: tuple[str, .
     )
 
 
+def summary_with_calibration(evaluations: DataFrame, minimum: int) -> DataFrame:
+    """The summary per market with intercept and slope of outcome on logit(model probability), eligible rows only."""
+    live = evaluations.filter(F.col("eligible_non_push") == 1).select(
+        "market", F.col("model_non_push_win_probability").alias("_p"), (F.col("result") == "WIN").cast("double").alias("_y")
+    )
+    fits = fit_by_group(live, "market", "_p", "_y").select(
+        "market", F.col("intercept").alias("calibration_intercept"), F.col("slope").alias("calibration_slope")
+    )
+    return prospective_summary(evaluations, minimum).join(fits, "market", "left")
+
+
+def prospective_reliability(evaluations: DataFrame) -> DataFrame:
+    """Ten reliability bins per market over the eligible rows."""
+    live = evaluations.filter(F.col("eligible_non_push") == 1).withColumn("_y", (F.col("result") == "WIN").cast("double"))
+    return reliability(live, ["market"], "model_non_push_win_probability", "_y")
+
+
 def exclusion_counts(evaluations: DataFrame, reason: str = "exclusion_reason", keys: tuple[str, ...] = ("market",)) -> DataFrame:
     return evaluations.filter(F.col(reason).isNotNull()).groupBy(*keys, reason).agg(F.count(F.lit(1)).alias("rows"))
 

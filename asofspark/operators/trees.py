@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asofspark.session import checkpointed
+
 BLENDS = {"ridge": 1.0, "tree": 0.0, "blend_25": 0.25, "blend_50": 0.50, "blend_75": 0.75}
 
 
@@ -19,7 +21,7 @@ def tree_out_of_fold(
     min_train: int = 30, max_iter: int = 200, max_depth: int = 4, seed: int = 20_260_920,
 ) -> DataFrame:
     """Walk-forward tree predictions; one distributed fit per fold season."""
-    data = VectorAssembler(inputCols=features, outputCol="_x").transform(rows).persist()
+    data = VectorAssembler(inputCols=features, outputCol="_x").transform(checkpointed(rows))
     counts = {r[season]: r["n"] for r in data.groupBy(season).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = []
     for s in sorted(seasons):
