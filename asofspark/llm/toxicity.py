@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from asofspark.llm.common import checkpointed, column_of, text_of
+from asofspark.llm.common import checkpointed, column_of, in_parts, text_of
 
 if TYPE_CHECKING:
     import numpy as np
@@ -31,7 +31,7 @@ UPDATES, EPOCHS = 60_000, (4, 40)
 """Passes over the training rows: as many as come near so many updates, within these limits."""
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 _PAIR, _SKIP, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_…«»“”„"
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING_ROWS) ->
         import numpy as np
 
         hashes = WordHashes()
-        for b in batches:
+        for b in in_parts(batches):
             found = [np.unique(features(t, hashes)).astype(np.int32) for t in b["text"]]
             yield pd.DataFrame({"turn": b["turn"], "label": b["label"], "found": found})
 
