@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from asofspark.llm.common import checkpointed, column_of, content_key, text_of
+from asofspark.llm.common import checkpointed, column_of, content_key, in_parts, text_of
 
 MIN_WORDS = 50
 """Least words of a run."""
@@ -66,7 +66,7 @@ def stretches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     columns = ["doc_id", "key", "print", "spot", "first", "last", "run"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in in_parts(batches):
             rows = [(d, k, *s) for d, k, t in zip(b["doc_id"], b["key"], b["text"], strict=True) for s in line_stretches(t)]
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
