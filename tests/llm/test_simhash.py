@@ -79,3 +79,33 @@ def test_long_chain_and_star(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def five_word_sets(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts_beyond_two_bits_are_one(spark):
+    rnd = random.Random(8)
+    docs, pairs = [], []
+    for i in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+        docs.append((2 * i, " ".join(words)))
+        for at in rnd.sample(range(10, 290, 10), 1 + i % 5):
+            words[at] = "edited"
+        docs.append((2 * i + 1, " ".join(words)))
+        a, b = five_word_sets(docs[-2][1]), five_word_sets(docs[-1][1])
+        pairs.append(len(a & b) / len(a | b))
+    assert min(pairs) >= 0.8
+    assert sum((plain_bits(docs[2 * i][1]) ^ plain_bits(docs[2 * i + 1][1])).bit_count() > 2 for i in range(60)) > 20
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), width=5, similarity=0.8).collect()}
+    assert {2 * i for i in range(60)} <= left and len(left) <= 62
+
+
+def test_links_are_verified(spark):
+    words = [f"v{i}" for i in range(200)]
+    edited = [w if i % 8 else "other" for i, w in enumerate(words)]
+    docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, None), (4, " \n"), (5, "Short text"), (6, "short  text"), (None, " ".join(words).upper()), (7, "short texts")]
+    got = simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), width=5, similarity=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 5, 7]
