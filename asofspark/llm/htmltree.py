@@ -45,10 +45,11 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("html body main article section div center aside nav header footer form fieldset details dialog".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot li dd dt legend figcaption summary".split())
 SIBLINGS = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 FENCES = frozenset("ul ol dl table article section div nav aside main body".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^'\">]|\"[^\"]*\"|'[^']*')*(?<=/)>|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -105,6 +106,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             if d := open_at((tag,)):
                 close_to(d)
             continue
+        if tag not in IN_HEAD and (d := open_at(("head",))):
+            close_to(d)
         if tag in CLOSES_P and (d := open_at(("p",), FENCES)):
             close_to(d)
         if tag in SIBLINGS and (d := open_at(SIBLINGS[tag].split(), FENCES)):

@@ -97,3 +97,20 @@ def test_parts_of_unlike_pages():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert ht.extract_pages(df, ht.train(df)).count() == 0
+
+
+def shown(page):
+    nodes, pieces = ht.parse(page)
+    hidden = ht.silent(nodes)
+    return " ".join("".join(t if t else " " for i, t in pieces if not hidden[i]).split())
+
+
+def test_head_without_an_end_tag():
+    assert shown("<html><head><title>no</title><meta charset=utf-8><body><p>All of the text.</p></body></html>") == "All of the text."
+    assert shown("<html><head><link rel=x><p>No body tag.</p></html>") == "No body tag."
+    assert shown("<html><head><title>no</title></head><body><p>Closed.</p></body></html>") == "Closed."
+
+
+def test_self_closed_svg_and_math():
+    assert shown("<p>One <svg width='1'/> two <MATH/> three.</p><p>Four <svg><path d=''/>no</svg> five.</p>") == "One two three. Four five."
+    assert shown("<p>One <svg data-x=a/b><path/>no</svg> two.</p>") == "One two."
