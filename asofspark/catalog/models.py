@@ -312,11 +312,12 @@ def standardized_fold(spark, sf_dir):
 
 
 def tree_projections(spark, sf_dir):
-    """Boosted-tree walk-forward margin projections of every season, and a blend with the line."""
-    rows = checkpointed(mu.by_market(matrix(spark, sf_dir, [2.0], [0.5])).filter("market = 'spreads'"))
+    """Boosted-tree walk-forward projections of both markets in every season, and a blend with the line."""
+    rows = checkpointed(mu.by_market(matrix(spark, sf_dir, [2.0], [0.5])))
     seasons = [r[0] for r in rows.select("season").distinct().collect()]
-    out = tr.tree_out_of_fold(rows, list(base_features()), seasons, max_iter=3)
-    return out.select("game_id", "season", "line", "target", "tree_raw", tr.blend("line", "tree_raw", "blend_25").alias("blend_25"))
+    parts = [tr.tree_out_of_fold(rows.filter(F.col("market") == m), list(base_features()), seasons) for m in ("spreads", "totals")]
+    out = parts[0].unionByName(parts[1])
+    return out.select("game_id", "market", "season", "line", "target", "tree_raw", tr.blend("line", "tree_raw", "blend_25").alias("blend_25"))
 
 
 QUERIES = {

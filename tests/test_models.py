@@ -271,3 +271,18 @@ def test_merged_rows_draw_like_single_ones(spark):
     for m in ("brier", "log_loss"):
         width = single[m]["upper_95"] - single[m]["lower_95"]
         assert merged[m]["upper_95"] - merged[m]["lower_95"] == pytest.approx(width, rel=0.1)
+
+
+def test_tree_projections_take_both_markets_and_all_rounds(spark, monkeypatch):
+    from asofspark.catalog import models as md
+
+    seen = []
+
+    def fit(rows, features, seasons, **settings):
+        seen.append(settings)
+        return rows.withColumn("tree_raw", F.lit(0.0))
+
+    monkeypatch.setattr(md.tr, "tree_out_of_fold", fit)
+    got = md.tree_projections(spark, "/root/testdata/sf0.001")
+    assert {r.market for r in got.select("market").distinct().collect()} == {"spreads", "totals"}
+    assert all("max_iter" not in s for s in seen)
