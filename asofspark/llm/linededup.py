@@ -8,7 +8,7 @@ done with. Positions of the others are joined back and extended both ways to the
 stretches around them; a stretch whose content has occurred earlier marks its
 lines, and marked lines are deleted. The stretches of a run cover all its lines
 (forward ones up to the last that fits, backward ones from there), so exactly the
-lines of later repeated runs go.
+lines of later repeated runs go. Passages repeated inside longer lines stay.
 
 The order of documents is that of (doc_id with nulls last, content key); rows that
 repeat both are one document and share their fate.
