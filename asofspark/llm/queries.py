@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asofspark.llm import bpe, decontaminate, htmltree, linededup, quality, runindex, shards, simhash, toxicity, urlrules
+from asofspark.llm import anchortree, bpe, decontaminate, htmltree, impacts, linededup, quality, runindex, shards, simhash, toxicity, urlrules
 from asofspark.llm.common import table
 
 
@@ -173,6 +174,51 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN hits USING (uid) LEFT JOIN ids USING (uid)"""
 
 
+def op11_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one, so that near rows of other labels exist."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return anchortree.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def _vectors_sql(scale: int) -> str:
+    return f"""
+vectors AS (
+  SELECT row_number() OVER () AS uid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))"""
+
+
+_SCORE_SQL = "CAST(list_sum(list_transform(range(1, 1 + least(len(q.v), len(x.v))), lambda i: q.v[i] * x.v[i])) AS BIGINT)"
+
+OP11_SQL = f"""
+WITH {_vectors_sql(256).strip()},
+rows AS (SELECT uid, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM vectors WHERE label IS NOT NULL),
+pairs AS (
+  SELECT q.uid AS anchor, q.vec_id AS anchor_id, q.label = x.label AS same, x.uid, x.vec_id, {_SCORE_SQL} AS score
+  FROM rows q JOIN rows x ON q.uid <> x.uid WHERE q.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, uid, vec_id AS positive_id, score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+mined AS (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.vec_id) AS INT) AS rank
+  FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 10"""
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+OP12_SQL = f"""
+WITH {_vectors_sql(64).strip()},
+scored AS (
+  SELECT q.uid, q.vec_id AS query_id, x.vec_id, {_SCORE_SQL} AS score FROM vectors q JOIN vectors x ON q.uid <> x.uid WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) <= 20"""
+
+
 QUERIES = {
     "op1_run_index": op1_run_index,
     "op2_byte_bpe": op2_byte_bpe,
@@ -184,6 +230,8 @@ QUERIES = {
     "op8_ftrl_toxicity": op8_ftrl_toxicity,
     "op9_prefix_decontamination": op9_prefix_decontamination,
     "op10_tree_extraction": op10_tree_extraction,
+    "op11_anchor_tree": op11_anchor_tree,
+    "op12_impact_search": op12_impact_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -191,4 +239,6 @@ ORACLES: dict[str, str] = {
     "op5_url_rules": OP5_SQL,
     "op7_line_quality": OP7_SQL,
     "op9_prefix_decontamination": OP9_SQL,
+    "op11_anchor_tree": OP11_SQL,
+    "op12_impact_search": OP12_SQL,
 }
