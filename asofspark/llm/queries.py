@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofspark.llm import anchortree, bpe, decontaminate, htmltree, impacts, linededup, quality, runindex, shards, simhash, toxicity, urlrules
+from asofspark.llm import anchortree, bpe, decontaminate, htmltree, impacts, linededup, periodic, quality, runindex, shards, simhash, toxicity, urlrules
 from asofspark.llm.common import table
 
 
@@ -219,6 +219,39 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, v
 FROM scored QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) <= 20"""
 
 
+def _planted(words: Column, h: Column) -> Column:
+    """Of every tenth checksum, the words from a on repeat with period p; the other texts as they are."""
+    g = F.floor(h / 10)
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(ws, F.when(i >= a, a + (i - a) % p).otherwise(i))), " ")
+
+    return F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeated(ws)))[0]
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = docs.withColumn("text", F.when(h % 10 == 0, _planted(words, h)).otherwise(F.col("text")))
+    found = periodic.with_runs(docs, ["doc_id"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("n"), r.start.alias("start"), r.period.alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.n div best.period").alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_run_index": op1_run_index,
     "op2_byte_bpe": op2_byte_bpe,
@@ -232,6 +265,7 @@ QUERIES = {
     "op10_tree_extraction": op10_tree_extraction,
     "op11_anchor_tree": op11_anchor_tree,
     "op12_impact_search": op12_impact_search,
+    "op13_lyndon_runs": op13_lyndon_runs,
 }
 
 ORACLES: dict[str, str] = {
