@@ -148,7 +148,7 @@ def runs_of(stretches: list[np.ndarray], least: int = LEAST) -> list[np.ndarray]
     """The runs of every stretch, by start and period: at least ``least`` words and twice the period long."""
     if not stretches:
         return []
-    sizes = np.array([len(s) for s in stretches])
+    sizes = np.array([len(s) for s in stretches], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     highest = max(int(s.max()) for s in stretches) + 1
     ids = np.concatenate([np.append(s, highest + i) for i, s in enumerate(stretches)])  # a mark of its own ends each
