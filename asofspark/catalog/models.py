@@ -312,12 +312,15 @@ def standardized_fold(spark, sf_dir):
 
 
 def tree_projections(spark, sf_dir):
-    """Boosted-tree walk-forward projections of both markets in every season, and a blend with the line."""
+    """Walk-forward projections of both markets by ridge, boosted trees (200 rounds) and their blends."""
     rows = checkpointed(mu.by_market(matrix(spark, sf_dir, [2.0], [0.5])))
+    names = list(base_features())
     seasons = [r[0] for r in rows.select("season").distinct().collect()]
-    parts = [tr.tree_out_of_fold(rows.filter(F.col("market") == m), list(base_features()), seasons) for m in ("spreads", "totals")]
-    out = parts[0].unionByName(parts[1])
-    return out.select("game_id", "market", "season", "line", "target", "tree_raw", tr.blend("line", "tree_raw", "blend_25").alias("blend_25"))
+    trees = tr.tree_out_of_fold(rows, names, seasons, min_train=100)
+    ridge, _ = rg.out_of_fold(rows, KEYS, names, (10.0,))
+    both = trees.join(ridge.select("game_id", "market", F.col("raw").alias("ridge_raw")), ["game_id", "market"])
+    blends = [tr.blend("ridge_raw", "tree_raw", b).alias(b) for b in ("blend_25", "blend_50", "blend_75")]
+    return both.select("game_id", "market", "season", "line", "target", "ridge_raw", "tree_raw", *blends)
 
 
 QUERIES = {

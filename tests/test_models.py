@@ -9,7 +9,6 @@ from asofspark.operators import evaluate as ev
 from asofspark.operators import rank as rk
 from asofspark.operators import regression as rg
 from asofspark.operators import scan
-from asofspark.operators import trees as tr
 from asofspark.plans import selection as sel
 from asofspark.plans import training as trn
 
@@ -248,13 +247,6 @@ def test_attribution_and_drift(spark):
     assert drift[2]["feature_outside_training_range"] == 1
 
 
-def test_trees_walk_forward(rows):
-    out = tr.tree_out_of_fold(rows.filter("market = 'spreads'"), FEATURES, [2020, 2023], max_iter=3).withColumn("mix", tr.blend("line", "tree_raw", "blend_25"))
-    got = out.collect()
-    assert {r["season"] for r in got} == {2023} and len(got) == 100
-    assert got[0]["mix"] == pytest.approx(0.25 * got[0]["line"] + 0.75 * got[0]["tree_raw"])
-
-
 def test_poisson_draws_have_their_mean_and_variance():
     draw, ids, groups = bs._Draws(), np.arange(2000) * 7919 + 13, np.arange(25)
     for mean in (1, 3, 20, 5000):
@@ -271,18 +263,3 @@ def test_merged_rows_draw_like_single_ones(spark):
     for m in ("brier", "log_loss"):
         width = single[m]["upper_95"] - single[m]["lower_95"]
         assert merged[m]["upper_95"] - merged[m]["lower_95"] == pytest.approx(width, rel=0.1)
-
-
-def test_tree_projections_take_both_markets_and_all_rounds(spark, monkeypatch):
-    from asofspark.catalog import models as md
-
-    seen = []
-
-    def fit(rows, features, seasons, **settings):
-        seen.append(settings)
-        return rows.withColumn("tree_raw", F.lit(0.0))
-
-    monkeypatch.setattr(md.tr, "tree_out_of_fold", fit)
-    got = md.tree_projections(spark, "/root/testdata/sf0.001")
-    assert {r.market for r in got.select("market").distinct().collect()} == {"spreads", "totals"}
-    assert all("max_iter" not in s for s in seen)
