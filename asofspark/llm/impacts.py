@@ -8,7 +8,7 @@ segment, segments are stored in descending impact.
 Query: a block's segments are added to the accumulators of a batch of queries in
 descending impact. What a row has not contributed yet is at most the query's norm
 times the norm of the row's remaining postings, which bounds every score from both
-sides. At the check points (``SHARES`` of the postings) a query stops when its
+sides. At the check points (``LEFT`` of the block's squares to come) a query stops when its
 possible members, the rows whose upper bound reaches its k-th best proven score, are
 no more than ``RESCORE_SHARE`` of the block; they are rescored exactly. A query that
 never gets there adds all segments, where bounds and scores are the same. So a stop
@@ -33,7 +33,7 @@ from asofspark.llm.common import checkpointed
 
 BLOCK_ROWS = 4096
 LEVELS = 64
-SHARES = (0.5, 0.75, 0.875)
+LEFT = (1 / 16, 1 / 64, 1 / 256)
 RESCORE_SHARE = 0.03
 GROUP_QUERIES = 8192
 BATCH_QUERIES = 256
@@ -80,7 +80,8 @@ class Block:
         self.uids, self.ids = np.frombuffer(record.uids, "<i8"), np.frombuffer(record.ids, "<i8")
         x = np.frombuffer(record.vec, "<f8").reshape(record.size, -1)
         places, ends = np.frombuffer(record.postings, "<u4"), np.frombuffer(record.segments, "<i8")
-        cuts = sorted({int(ends[min(np.searchsorted(ends, s * len(places)), len(ends) - 1)]) for s in SHARES} | {len(places)}) if len(ends) else [0]
+        square = np.cumsum(x.flat[places] ** 2)[ends - 1]
+        cuts = sorted({int(ends[np.argmax(square >= (1 - s) * square[-1])]) for s in LEFT} | {len(places)}) if len(ends) else [0]
         self.rounds, self.rest, left, done = [], [], x * x, 0
         for cut in cuts:
             part = np.zeros(x.shape)
