@@ -46,13 +46,15 @@ CONTAINERS = frozenset("html body main article section div center aside nav head
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot li dd dt legend figcaption summary".split())
 SIBLINGS = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 IN_HEAD = frozenset("head base link meta title style script noscript template".split())
-FENCES = frozenset("ul ol dl table article section div nav aside main body".split())
+FENCES = frozenset("ul ol dl table article section div nav aside main body object template".split())
+FOREIGN = ("svg", "math")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^'\">]|\"[^\"]*\"|'[^']*')*(?<=/)>|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|(?>=\s*(?:\"[^\"]*\"|'[^']*')?))*)(?:>|\Z)",
     re.S | re.I,
 )
+"""Comments, raw text, declarations, tags. A quote opens a value right after ``=`` only; one that is never closed is a character."""
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|data-gold)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE_END = re.compile(r"[.!?。！？](?:\s|$)")
@@ -112,6 +114,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             close_to(d)
         if tag in SIBLINGS and (d := open_at(SIBLINGS[tag].split(), FENCES)):
             close_to(d)
+        if m[4].endswith("/") and (tag in FOREIGN or any(is_open[t] for t in FOREIGN)):
+            continue
         if tag in VOID:
             pieces.append((stack[-1], None if tag == "hr" else " "))
             continue

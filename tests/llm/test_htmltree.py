@@ -114,3 +114,15 @@ def test_head_without_an_end_tag():
 def test_self_closed_svg_and_math():
     assert shown("<p>One <svg width='1'/> two <MATH/> three.</p><p>Four <svg><path d=''/>no</svg> five.</p>") == "One two three. Four five."
     assert shown("<p>One <svg data-x=a/b><path/>no</svg> two.</p>") == "One two."
+
+
+def test_markup_errors_lose_no_text():
+    """Elements that are never closed end with their parent; a quote opens a value right after the equals sign only."""
+    story = "<p>One of three paragraphs.</p>"
+    odd = [f"<div><{t} src=a></div>" for t in "video canvas object noscript svg math audio select template".split()]
+    odd += ["<a title=it's href=/x></a>", '<a title="x href=/x></a>', "<a b='x></a>", '<svg viewBox="0"/>', "<svg><path d=a/><path/></svg>", '<img alt = "a>b">']
+    for bad in odd:
+        page = f"<html><head><title>no</title></head><body><article>{story}{bad}{story}{story}</article></body></html>"
+        assert shown(page) == " ".join(["One of three paragraphs."] * 3), bad
+    assert shown("<p>One <select><option>no<option>no</select> two.") == "One two."
+    assert shown("<script>if (a < b) '</p>'</script><p>After.</p><style>no") == "After."
