@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from asofspark.session import checkpointed
 
-__all__ = ["checkpointed", "column_of", "content_key", "in_parts", "table", "text_of"]
+__all__ = ["checkpointed", "column_of", "content_key", "in_parts", "table", "text_of", "unused"]
 
 PART_ROWS = 1_000
 """Rows a worker turns into output at a time; Arrow batches may hold ten times as many."""
@@ -25,6 +25,18 @@ def column_of(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case; for columns that are added and dropped again."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(column_of(df, name).cast("string"), F.lit(""))

@@ -20,15 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from asofspark.llm.common import checkpointed, column_of, in_parts, text_of
+from asofspark.llm.common import checkpointed, column_of, in_parts, text_of, unused
 
 if TYPE_CHECKING:
     import numpy as np
 
 HASH_BITS = 20
 MAX_TRAINING_ROWS = 24_000
-UPDATES, EPOCHS = 60_000, (4, 40)
-"""Passes over the training rows: as many as come near so many updates, within these limits."""
+PASSES = 12
+"""Passes over the training rows, whatever their number."""
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 CACHE_ENTRIES = 120_000
@@ -79,8 +79,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarr
         shrunk = np.sign(zs) * np.maximum(np.abs(zs) - np.where(at == bias, 0.0, L1), 0)
         return -shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
-    passes = min(EPOCHS[1], max(EPOCHS[0], UPDATES // max(1, len(rows))))
-    for _ in range(passes):
+    for _ in range(PASSES):
         for found, label in rows:
             at = np.append(found, bias)
             w = weights(at)
@@ -177,6 +176,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents below the threshold, with the columns of ``docs``."""
+    """The documents below the threshold, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are scored by the intercept; repeated rows all stay or go.
+    """
+    (name,) = unused(docs, "toxicity")
     score = scorer(docs.sparkSession, train(docs, labels))
-    return docs.withColumn("_toxicity", score(text_of(docs))).filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return docs.withColumn(name, score(text_of(docs))).filter(F.col(name) < THRESHOLD).drop(name)

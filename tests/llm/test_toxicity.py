@@ -55,3 +55,37 @@ def test_empty_tables(spark):
     docs, labels, _ = frames(spark, 5)
     assert toxicity.scored(docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_fit_equals_a_plain_loop_over_coordinates():
+    """FTRL-proximal as published, one coordinate after the other."""
+    import math
+    import random
+
+    import numpy as np
+    import pytest
+
+    rnd = random.Random(3)
+    rows = [(np.unique([rnd.randrange(30) for _ in range(8)]), float(rnd.random() < 0.4)) for _ in range(200)]
+    bias = 1 << toxicity.HASH_BITS
+    z, n = {}, {}
+
+    def weight(i):
+        zi, l1 = z.get(i, 0.0), 0.0 if i == bias else toxicity.L1
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for found, label in rows:
+            at = [*found.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    at, w = toxicity.fit_ftrl(rows)
+    expected = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(expected, rel=1e-9)
+    assert len(expected) > 5
