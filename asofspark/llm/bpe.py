@@ -181,7 +181,12 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def token_digests(docs: DataFrame, codec: Codec) -> DataFrame:
-    """One row per document: counts and digests of its ids and of the decoded bytes."""
+    """One row per document: counts and digests of its ids and of the decoded bytes.
+
+    A null text counts as empty: no ids, and digests of no bytes. Every row is
+    answered, repeated ones too; an empty table gives no rows, and columns other than
+    doc_id and text are not read, whatever their names.
+    """
     out = encode_documents(docs.select(column_of(docs, "doc_id").alias("doc_id"), text_of(docs).alias("text")), codec)
     return out.select(
         "doc_id",

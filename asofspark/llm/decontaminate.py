@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from asofspark.llm.common import checkpointed, column_of, content_key, text_of
+from asofspark.llm.common import checkpointed, column_of, content_key, text_of, unused
 
 SPAN = 13
 MIN_SHARE = 20
@@ -131,10 +131,14 @@ def hit_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns of ``docs``."""
+    """The documents that are not contaminated, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts have no words and stay; repeated rows all stay or go.
+    """
+    n, key = unused(docs, "n_hit", "hit_key")
     found, _ = occurrences(docs, benchmark)
-    hit = found.groupBy("key").agg(F.max("n_hit").alias("_n_hit")).withColumnRenamed("key", "_hit_key")
-    joined = docs.join(hit, content_key(text_of(docs)) == F.col("_hit_key"), "left")
+    hit = found.groupBy("key").agg(F.max("n_hit").alias(n)).withColumnRenamed("key", key)
+    joined = docs.join(hit, content_key(text_of(docs)) == F.col(key), "left")
     n_words = F.size(words_of(text_of(docs)))
-    bad = F.col("_n_hit").isNotNull() & (F.col("_n_hit") * MIN_SHARE >= n_words)
-    return joined.filter(~bad).drop("_n_hit", "_hit_key")
+    bad = F.col(n).isNotNull() & (F.col(n) * MIN_SHARE >= n_words)
+    return joined.filter(~bad).drop(n, key)

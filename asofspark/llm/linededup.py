@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from asofspark.llm.common import checkpointed, column_of, content_key, in_parts, text_of
+from asofspark.llm.common import checkpointed, column_of, content_key, in_parts, text_of, unused
 
 MIN_WORDS = 50
 """Least words of a run."""
@@ -60,7 +60,11 @@ def line_stretches(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int
 
 
 def stretches(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc_id, key, print, spot, first, last, run) of all documents, written once."""
+    """(doc_id, key, print, spot, first, last, run) of all documents, written once.
+
+    Null and empty texts, and those with too few words, have no stretch; an empty
+    table gives none.
+    """
     kind = docs.select(column_of(docs, id_col)).schema[0].dataType
     body = docs.select(column_of(docs, id_col).cast("string").alias("doc_id"), content_key(text_of(docs, text)).alias("key"), text_of(docs, text).alias("text"))
     columns = ["doc_id", "key", "print", "spot", "first", "last", "run"]
@@ -107,20 +111,24 @@ def _kept(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later repeated runs cut out of the text; every row stays, and other columns as they are.
 
-    Null texts stay null; a text that is all repetition becomes empty. Only texts
-    that lose lines pass through Python.
+    Null texts stay null; a text that is all repetition becomes empty; an empty
+    table stays empty. Columns may have any name. Only texts that lose lines pass
+    through Python.
     """
-    spans = later_runs(docs, id_col, text).select(
-        F.col("doc_id").alias("_run_id"), F.col("key").alias("_run_key"), F.col("firsts").alias("_firsts"), F.col("lasts").alias("_lasts")
-    )
+    run_id, run_key, firsts, lasts, cut = names = unused(docs, "run_id", "run_key", "firsts", "lasts", "cut")
+    spans = later_runs(docs, id_col, text).toDF(run_id, run_key, firsts, lasts)
     body = column_of(docs, text)
-    joined = docs.join(spans, column_of(docs, id_col).eqNullSafe(F.col("_run_id")) & (content_key(text_of(docs, text)) == F.col("_run_key")), "left")
-    cut = joined.withColumn("_cut", _kept(F.when(F.col("_firsts").isNotNull(), body), F.col("_firsts"), F.col("_lasts")))
-    return cut.withColumn(text, F.coalesce("_cut", body)).drop("_run_id", "_run_key", "_firsts", "_lasts", "_cut")
+    joined = docs.join(spans, column_of(docs, id_col).eqNullSafe(F.col(run_id)) & (content_key(text_of(docs, text)) == F.col(run_key)), "left")
+    joined = joined.withColumn(cut, _kept(F.when(F.col(firsts).isNotNull(), body), F.col(firsts), F.col(lasts)))
+    return joined.withColumn(text, F.coalesce(F.col(cut), body)).drop(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines) and the text that is left, per document."""
+    """doc_id, n_lines, n_removed (lines) and the text that is left, per document.
+
+    A null text counts as one empty line. Every row is answered, repeated ones
+    too; an empty table gives no rows, and other columns are not read.
+    """
     rows = docs.select(column_of(docs, "doc_id").alias("doc_id"), F.size(F.split(text_of(docs), "\n", -1)).cast("bigint").alias("n_lines"), text_of(docs).alias("text"))
     whole_gone = (F.col("text") == "") & (F.col("n_chars") > 0)
     left = F.when(whole_gone, 0).otherwise(F.size(F.split("text", "\n", -1)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
-from asofspark.llm.common import checkpointed, column_of, content_key, text_of
+from asofspark.llm.common import checkpointed, column_of, content_key, text_of, unused
 from asofspark.llm.components import components
 
 SEED = 42
@@ -234,11 +234,12 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, simil
     Components are those of :func:`grouped` or, where a similarity is given, of
     :func:`similar_groups`. Rows that repeat both id and text are one document, and
     the smallest text key decides between rows that repeat an id alone. Columns are
-    those of ``docs``.
+    those of ``docs``, whatever their names.
     """
     rows = grouped(docs, width=width, radius=radius) if similarity is None else similar_groups(docs, width, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    chosen = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias("_chosen_id"), F.col("o.key").alias("_chosen_key"))
-    keyed = docs.withColumn("_chosen_key", content_key(text_of(docs))).join(chosen, "_chosen_key")
-    same = column_of(keyed, "doc_id").eqNullSafe(F.col("_chosen_id"))
-    return keyed.filter(same).dropDuplicates(["_chosen_key"]).select([column_of(keyed, c) for c in docs.columns])
+    chosen_id, chosen_key = unused(docs, "chosen_id", "chosen_key")
+    chosen = rows.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.id").alias(chosen_id), F.col("o.key").alias(chosen_key))
+    keyed = docs.withColumn(chosen_key, content_key(text_of(docs))).join(chosen, chosen_key)
+    same = column_of(keyed, "doc_id").eqNullSafe(F.col(chosen_id))
+    return keyed.filter(same).dropDuplicates([chosen_key]).select([column_of(keyed, c) for c in docs.columns])
