@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from asofspark.catalog import features as ft
 from asofspark.catalog import models as md
 from asofspark.catalog import prices as pr
-from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, play_sums, r6, rounded, table
+from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, games, implied_sql, play_sums, r6, rounded, table
 from asofspark.fixed_values import ELIGIBLE_CLOSE_STATUS
 from asofspark.functions import scalars as sc
 from asofspark.operators import asof
@@ -20,6 +20,7 @@ from asofspark.operators import matchup as mu
 from asofspark.operators import observe as obs
 from asofspark.operators import rank as rk
 from asofspark.operators import temporal as tmp
+from asofspark.operators import trees as tr
 from asofspark.plans import predict as pd_
 from asofspark.plans import selection as sel
 from asofspark.plans import settle as se
@@ -261,6 +262,7 @@ def _week_predictions(spark, sf_dir):
     return c.filter("contract_valid").select(
         "*", F.lit("DECISION").alias("snapshot_purpose"), F.lit(ELIGIBLE_CLOSE_STATUS).alias("eligibility_status"), F.lit("v1").alias("model_version"),
         s.cast("string").alias("prediction_id"), F.col("snapshot_retrieved_at_utc").alias("prediction_created_at_utc"),
+        (F.col("snapshot_retrieved_at_utc") - F.expr("INTERVAL 2 HOURS")).alias("feature_as_of_utc"),
         (F.col("anchor_line") + (s % 7 - 3) / 4).alias("final_projection"), (0.5 + (s % 9 - 4) / 50).alias("calibrated_non_push_win_probability"),
         F.lit(0.45).alias("model_win_probability"), F.lit(0.1).alias("model_push_probability"), F.lit(0.45).alias("model_loss_probability"),
     )
@@ -383,13 +385,40 @@ def prediction_ledger(spark, sf_dir):
                       "model_win_probability", "model_push_probability", "model_loss_probability", "eligibility_status")
 
 
+_CLOSING = ["closing_contract_win_probability", "closing_contract_push_probability", "closing_contract_loss_probability", "decision_price_clv", "closing_contract_ev"]
+
+
 def closing_distribution(spark, sf_dir):
     """Settlement with the closing-anchored distribution of each decision line."""
     rows = checkpointed(md._distribution_rows(spark, sf_dir))
     model = ds.fit_distribution(rows, ["market"])
-    return _settled(spark, sf_dir, model).select(
-        "game_id", "market", "decision_line", "closing_line", "closing_contract_win_probability", "closing_contract_push_probability",
-        "closing_contract_loss_probability", "decision_price_clv", "closing_contract_ev", "clv_status",
+    return rounded(_settled(spark, sf_dir, model).select("game_id", "market", "decision_line", "closing_line", *_CLOSING, "clv_status"))
+
+
+_CLOSING_SQL = f"""{_WQ_SQL}, {md.RESIDUAL_ROWS_SQL},
+two AS (SELECT game_id, market, which, CASE which WHEN 'close' THEN closing_line ELSE decision_line END AS line, closing_line AS base
+  FROM settled, (VALUES ('close'), ('decision')) v(which) WHERE clv_status = 'AVAILABLE'),
+asked AS (SELECT game_id, which, market, line, line - base AS t, CASE WHEN market = 'spreads' THEN abs(base) ELSE base END AS sv FROM two),
+{md.distribution_sql('d', 'asked', 'game_id, which')},
+side AS (SELECT game_id, market, max(CASE WHEN which = 'close' THEN w / (w + l) END) AS c, max(CASE WHEN which = 'decision' THEN w / (w + l) END) AS e, max(CASE WHEN which = 'decision' THEN p END) AS push FROM mix GROUP BY 1, 2),
+lgt AS (SELECT game_id, market, push, {', '.join(f'ln({c} / (1 - {c})) AS l{c[0]}' for c in ('c', 'e', 'f'))} FROM (
+  SELECT s.game_id, s.market, push, {', '.join(f'greatest(1e-8, least(1 - 1e-8, {c})) AS {n}' for c, n in (('c', 'c'), ('e', 'e'), ('closing_market_probability', 'f')))} FROM side s JOIN settled USING (game_id, market))),
+cp AS (SELECT game_id, market, push, (1 - push) / (1 + exp(-(le + lf - lc))) AS win FROM lgt),
+fin AS (SELECT s.*, x.win, x.push, 1 - x.push - x.win AS loss, d.p1 AS price FROM settled s LEFT JOIN cp x USING (game_id, market) LEFT JOIN dec d ON d.game_id = s.game_id AND d.market = s.market)"""
+
+
+def settlement_records(spark, sf_dir):
+    """What a settled record says of its origin, and that its hash covers all but the time of settlement."""
+    cutoff, through = F.lit("2024-01-02").cast("timestamp_ntz"), F.lit("2024-02-10").cast("timestamp_ntz")
+    out = se.settle(
+        _week_games(spark, sf_dir), _week_predictions(spark, sf_dir), _week_quotes(spark, sf_dir), cutoff=cutoff, through=through,
+        settled_at=F.lit("2024-02-11 06:00:00").cast("timestamp_ntz"), **_SETTLE_ARGS,
+    )
+    again = out.withColumn("settled_at_utc", F.lit("2024-03-01").cast("timestamp_ntz"))
+    holds = again.withColumn("hash_holds", sc.content_hash(out.drop("content_hash"), se.TRANSIENT) == F.col("content_hash"))
+    return holds.select(
+        "game_id", "market", "selection_rule_version", F.col("canonical_snapshot_id").cast("double").alias("canonical_snapshot_id"),
+        "prediction_created_at_utc", "feature_as_of_utc", "settled_at_utc", "hash_holds",
     )
 
 
@@ -438,13 +467,99 @@ cand AS (SELECT *, cp - fair AS ce, (1 - push) * cp * net - (1 - push) * (1 - cp
   CASE WHEN wa = 0 THEN 'NEUTRAL' WHEN pos = (wa > 0) THEN 'SUPPORTS_SELECTION' ELSE 'OPPOSES_SELECTION' END AS dir FROM cd)"""
 
 
+# a small forest and a line held as tables: nodes are (feature, threshold, left, right, value)
+_X = ["l_quantity", "l_discount", "l_tax"]
+_FOREST = [
+    [(0, 24.0, 1, 2, 0.0), (1, 0.045, 3, 4, 0.0), (2, 0.035, 5, 6, 0.0), (-1, 0.0, -1, -1, -1.75), (-1, 0.0, -1, -1, -0.5), (-1, 0.0, -1, -1, 0.625), (-1, 0.0, -1, -1, 2.0)],
+    [(2, 0.055, 1, 2, 0.0), (-1, 0.0, -1, -1, 0.375), (0, 37.0, 3, 4, 0.0), (-1, 0.0, -1, -1, -0.25), (-1, 0.0, -1, -1, 1.125)],
+    [(1, 0.025, 1, 2, 0.0), (0, 10.0, 3, 4, 0.0), (-1, 0.0, -1, -1, 0.125), (-1, 0.0, -1, -1, -0.875), (-1, 0.0, -1, -1, 0.75)],
+]
+_BASE, _LINE = 0.5, (1.0, [0.0625, -7.5, 9.25])
+
+
+def _models(spark, rows):
+    """Rows with the model table at their side: it has one row, so the join is a broadcast of it."""
+    model = spark.createDataFrame([(_BASE, 2, _FOREST, *_LINE)], f"base double, depth int, trees array<{tr._NODE}>, intercept double, coefs array<double>")
+    return rows.withColumns({"_forest": model.select(F.struct("base", "depth", "trees")).scalar(), "_line": model.select(F.struct("intercept", "coefs")).scalar()})
+
+
+def _by_tree(x):
+    return tr.ensemble(F.col("_forest.base"), F.col("_forest.trees"), F.col("_forest.depth"), x)
+
+
+def _by_line(x):
+    return rk.linear(x, F.col("_line.intercept"), F.col("_line.coefs"))
+
+
+def _tree_sql(nodes, cols, at=0):
+    f, threshold, left, right, value = nodes[at]
+    return f"{value}e0" if f < 0 else f"(CASE WHEN {cols[f]} <= {threshold}e0 THEN {_tree_sql(nodes, cols, left)} ELSE {_tree_sql(nodes, cols, right)} END)"
+
+
+def _forest_sql(cols):
+    return f"({_BASE}e0 + " + " + ".join(_tree_sql(t, cols) for t in _FOREST) + ")"
+
+
+def _line_sql(cols):
+    return f"({_LINE[0]}e0 + " + " + ".join(f"{c} * {k}e0" for k, c in zip(_LINE[1], cols, strict=True)) + ")"
+
+
+def _half(cols):
+    return f"0.5e0 * {_line_sql(cols)} + 0.5e0 * {_forest_sql(cols)}"
+
+
+def component_scores(rows):
+    """Projections of every model of a row: ridge, tree and their blends."""
+    x = F.array(*[F.col(c).cast("double") for c in _X])
+    out = rows.withColumns({"ridge": _by_line(x), "tree": _by_tree(x)})
+    return out.withColumns({b: tr.blend("ridge", "tree", b) for b in ("blend_25", "blend_50", "blend_75")})
+
+
 def feature_drift(spark, sf_dir):
-    """Drift of later facts against the profile of the earlier ones."""
+    """Drift of later facts against the profile of the earlier ones, and how far their models disagree."""
     li = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    prof = ck.moments(li.filter("year < 1999"), cols)
-    out = rk.feature_drift(li.filter("year >= 1999"), cols, prof, ["l_returnflag", "year"])
-    return rounded(out.groupBy("l_returnflag", "year").agg(F.max("feature_drift_max_abs_z").alias("max_z"), F.sum("feature_outside_training_range").alias("outside")))
+    prof = ck.moments(li.filter("year < 1999"), _X)
+    rows = component_scores(_models(spark, li.filter("year >= 1999")))
+    out = rk.feature_drift(rows, _X, prof, ["l_returnflag", "year"], ("ridge", "tree", "blend_25", "blend_50", "blend_75"))
+    return rounded(out.groupBy("l_returnflag", "year").agg(
+        F.max("feature_drift_max_abs_z").alias("max_z"), F.sum("feature_outside_training_range").alias("outside"),
+        F.avg("component_disagreement").alias("mean_disagreement"), F.max("component_disagreement").alias("max_disagreement"),
+    ))
+
+
+def tree_attribution(spark, sf_dir):
+    """Drivers of tree and blend projections: every feature set to its mean, the ensemble table scored again."""
+    li = _models(spark, table(spark, sf_dir, "lineitem"))
+    means = F.array(F.lit(25.0), F.lit(0.05), F.lit(0.04))
+    families = {"tree": _by_tree, "blend_25": lambda x: tr.blend(_by_line(x), _by_tree(x), "blend_25")}
+    parts = [
+        rk.model_attribution(li.withColumn("family", F.lit(name)), _X, means, predict, ["l_orderkey", "l_linenumber", "family"], top=2)
+        for name, predict in families.items()
+    ]
+    out = parts[0].unionByName(parts[1])
+    return rounded(out.groupBy("family", "driver_rank", "feature").agg(F.count(F.lit(1)).alias("rows"), F.avg("projection_contribution").alias("mean_contribution")))
+
+
+def candidate_diagnostics(spark, sf_dir):
+    """Candidates that carry drift, the models' disagreement and the strongest drivers of their contract."""
+    e = F.col("provider_event_id")
+    contracts = mk.complete_contracts(pr.priced_quotes(spark, sf_dir)).withColumns({
+        "game_id": e, "book": F.col("bookmaker_key"), "p_non_push": 0.5 + (e % 13 - 6) / 50, "p_push": (e % 4) / 40,
+        "raw_adjustment": (e % 9 - 4) / 2, "adjustment_weight": F.when(e % 5 == 0, 0.0).otherwise(0.2), "probability_margin": F.lit(0.015),
+        "l_quantity": (e % 60).cast("double"), "l_discount": (e % 11) / 100, "l_tax": (e % 9) / 100,
+    })
+    prof = ck.moments(table(spark, sf_dir, "lineitem"), _X)
+    carried = ["game_id", "book", "canonical_line", "probability_margin"]
+    scored = component_scores(_models(spark, contracts))
+    told = scored.withColumn("drivers", rk.model_drivers(_X, F.array(F.lit(25.0), F.lit(0.05), F.lit(0.04)), lambda x: tr.blend(_by_line(x), _by_tree(x), "blend_50")))
+    told = rk.feature_drift(told, _X, prof, told.columns, ("ridge", "tree"))
+    diagnostics = ["feature_drift_max_abs_z", "feature_outside_training_range", "component_disagreement", "drivers"]
+    cands = rk.conservative(rk.candidates(told, [*carried, *diagnostics]))
+    return rounded(cands.select(
+        "game_id", "book", "canonical_line", "market", "selection", "conservative_roi", *diagnostics[:3],
+        F.array_join(F.transform("drivers", lambda d: d.feature), ",").alias("driver_names"),
+        F.get("drivers", F.lit(0)).projection_contribution.alias("first_contribution"),
+    ))
 
 
 def driver_attribution(spark, sf_dir):
@@ -514,6 +629,7 @@ QUERIES = {
     "illegal_transitions": illegal_transitions,
     "latest_decision_snapshot": latest_decision_snapshot,
     "settlement": settlement,
+    "settlement_records": settlement_records,
     "prospective_summary": prospective_summary,
     "prospective_reliability": prospective_reliability,
     "exclusion_reasons": exclusion_reasons,
@@ -528,6 +644,8 @@ QUERIES = {
     "evidence_counts": evidence_counts,
     "feature_drift": feature_drift,
     "driver_attribution": driver_attribution,
+    "tree_attribution": tree_attribution,
+    "candidate_diagnostics": candidate_diagnostics,
     "power_ratings": power_ratings,
     "diagnostics_overlay": diagnostics_overlay,
     "joint_selection": joint_selection,
@@ -601,9 +719,35 @@ ORACLES = {
     "ranked_candidates": f"""WITH {_CAND_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY game_id, market ORDER BY croi DESC, ce DESC, selection, book) AS rn FROM cand WHERE ce >= 0.02 AND croi > 0)
       SELECT game_id, market, selection, book, {r6('ce')} AS conservative_edge, {r6('croi')} AS conservative_roi FROM x WHERE rn = 1 ORDER BY croi DESC, ce DESC, game_id, market, selection, book LIMIT 5""",
     "evidence_counts": f"""WITH {_CAND_SQL} SELECT market, {', '.join(f"count(*) FILTER ({c} = '{v}') AS {v.lower()}" for c, v in (('src', 'MARKET_CALIBRATION_ONLY'), ('src', 'FOOTBALL_ADJUSTED'), ('dir', 'SUPPORTS_SELECTION'), ('dir', 'OPPOSES_SELECTION'), ('dir', 'NEUTRAL')))} FROM cand GROUP BY 1""",
-    "feature_drift": f"""WITH t AS (SELECT * FROM lineitem WHERE year(l_shipdate) < 1999), p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) AS a_{c}, max({c}) AS b_{c}' for c in ('l_quantity', 'l_discount', 'l_tax'))} FROM t)
-      SELECT l_returnflag, CAST(year(l_shipdate) AS INT) AS year, {r6('max(greatest(' + ', '.join(f'abs(({c} - m_{c}) / s_{c})' for c in ('l_quantity', 'l_discount', 'l_tax')) + '))')} AS max_z,
-      CAST(sum({' + '.join(f'CASE WHEN {c} < a_{c} OR {c} > b_{c} THEN 1 ELSE 0 END' for c in ('l_quantity', 'l_discount', 'l_tax'))}) AS BIGINT) AS outside FROM lineitem, p WHERE year(l_shipdate) >= 1999 GROUP BY 1, 2""",
+    "feature_drift": f"""WITH t AS (SELECT * FROM lineitem WHERE year(l_shipdate) < 1999), p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) AS a_{c}, max({c}) AS b_{c}' for c in _X)} FROM t),
+      s AS (SELECT *, {_line_sql(_X)} AS r, {_forest_sql(_X)} AS f FROM lineitem WHERE year(l_shipdate) >= 1999),
+      d AS (SELECT *, greatest(r, f, 0.25e0 * r + 0.75e0 * f, 0.5e0 * r + 0.5e0 * f, 0.75e0 * r + 0.25e0 * f) - least(r, f, 0.25e0 * r + 0.75e0 * f, 0.5e0 * r + 0.5e0 * f, 0.75e0 * r + 0.25e0 * f) AS apart FROM s)
+      SELECT l_returnflag, CAST(year(l_shipdate) AS INT) AS year, {r6('max(greatest(' + ', '.join(f'abs(({c} - m_{c}) / s_{c})' for c in _X) + '))')} AS max_z,
+      CAST(sum({' + '.join(f'CASE WHEN {c} < a_{c} OR {c} > b_{c} THEN 1 ELSE 0 END' for c in _X)}) AS BIGINT) AS outside,
+      {r6('avg(apart)')} AS mean_disagreement, {r6('max(apart)')} AS max_disagreement FROM d, p GROUP BY 1, 2""",
+    "tree_attribution": f"""WITH n AS (SELECT *, row_number() OVER () AS rid FROM lineitem), c AS ({' UNION ALL '.join(
+      f"SELECT rid, '{family}' AS family, '{f}' AS feature, ({of(_X)}) - ({of([m if c == f else c for c in _X])}) AS v FROM n"
+      for family, of in (('tree', _forest_sql), ('blend_25', lambda cols: f'0.25e0 * {_line_sql(cols)} + 0.75e0 * {_forest_sql(cols)}'))
+      for f, m in zip(_X, ('25e0', '0.05e0', '0.04e0')))}),
+      r AS (SELECT *, row_number() OVER (PARTITION BY rid, family ORDER BY abs(v) DESC, feature) AS k FROM c)
+      SELECT family, CAST(k AS INT) AS driver_rank, feature, count(*) AS rows, {r6('avg(v)')} AS mean_contribution FROM r WHERE k <= 2 GROUP BY 1, 2, 3""",
+    "settlement_records": f"""WITH {_WQ_SQL} SELECT s.game_id, s.market, '{se.SELECTION_RULE}' AS selection_rule_version, decision_snapshot_id AS canonical_snapshot_id,
+      d.snapshot_retrieved_at_utc AS prediction_created_at_utc, d.snapshot_retrieved_at_utc - INTERVAL 2 HOUR AS feature_as_of_utc,
+      TIMESTAMP '2024-03-01 00:00:00' AS settled_at_utc, true AS hash_holds FROM settled s LEFT JOIN dec d ON d.game_id = s.game_id AND d.market = s.market""",
+    "closing_distribution": f"""WITH {_CLOSING_SQL} SELECT game_id, market, {r6('decision_line')} AS decision_line, {r6('closing_line')} AS closing_line, {r6('win')} AS closing_contract_win_probability,
+      {r6('push')} AS closing_contract_push_probability, {r6('loss')} AS closing_contract_loss_probability, {r6(f"win / (win + loss) - {implied_sql('price')}")} AS decision_price_clv,
+      {r6('win * CASE WHEN price > 0 THEN price / 100e0 ELSE 100e0 / abs(price) END - loss')} AS closing_contract_ev, clv_status FROM fin""",
+    "candidate_diagnostics": f"""WITH {_CAND_SQL}, p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, min({c}) AS a_{c}, max({c}) AS b_{c}' for c in _X)} FROM lineitem),
+      g AS (SELECT DISTINCT game_id, CAST(game_id % 60 AS DOUBLE) AS l_quantity, (game_id % 11) / 100e0 AS l_discount, (game_id % 9) / 100e0 AS l_tax FROM cand),
+      s AS (SELECT *, {_line_sql(_X)} AS r, {_forest_sql(_X)} AS f FROM g),
+      c AS ({' UNION ALL '.join(f"SELECT game_id, '{c}' AS feature, {_half(_X)} - ({_half([m if k == c else k for k in _X])}) AS v FROM g" for c, m in zip(_X, ('25e0', '0.05e0', '0.04e0')))}),
+      k AS (SELECT game_id, string_agg(feature, ',' ORDER BY abs(v) DESC, feature) AS driver_names, arg_min(v, rn) AS first_contribution
+        FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(v) DESC, feature) AS rn FROM c) GROUP BY 1)
+      SELECT game_id, book, {r6('canonical_line')} AS canonical_line, market, selection, {r6('croi')} AS conservative_roi,
+        {r6('greatest(' + ', '.join(f'abs((l_{c[2:]} - m_{c}) / s_{c})' for c in _X) + ')')} AS feature_drift_max_abs_z,
+        CAST({' + '.join(f'CASE WHEN {c} < a_{c} OR {c} > b_{c} THEN 1 ELSE 0 END' for c in _X)} AS INT) AS feature_outside_training_range,
+        {r6('abs(r - f)')} AS component_disagreement, driver_names, {r6('first_contribution')} AS first_contribution
+      FROM cand JOIN s USING (game_id) JOIN k USING (game_id), p""",
     "driver_attribution": f"""WITH n AS (SELECT *, row_number() OVER () AS rid FROM lineitem), c AS ({' UNION ALL '.join(f"SELECT rid, '{f}' AS feature, {a}e0 * ({f} - {m}e0) AS v FROM n" for f, (a, m) in _DRV.items())}),
       r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(v) DESC, feature) AS k FROM c)
       SELECT CAST(k AS INT) AS driver_rank, feature, count(*) AS rows, {r6('avg(v)')} AS mean_contribution FROM r WHERE k <= 2 GROUP BY 1, 2""",

@@ -184,9 +184,13 @@ def residual_probabilities(spark, sf_dir):
 
 
 _KEYLIST = "(-14), (-10), (-7), (-6), (-3), (3), (6), (7), (10), (14)"
-_DIST_SQL = f"""{MATRIX_SQL},
-d AS (SELECT *, line + 0.25e0 * rest_difference AS final, CASE WHEN market = 'spreads' THEN abs(line) ELSE line END AS sv FROM mk WHERE half_life = 2 AND prior_strength = 0.5e0),
-tr AS (SELECT market, target AS a, target - final AS res, sv FROM d WHERE season < 1999),
+
+
+def distribution_sql(rows: str, asked: str, ids: str) -> str:
+    """CTEs of the residual distribution: learned from ``rows`` (market, target, final, sv), asked by ``asked`` (ids, market, line, t, sv)."""
+    q = ", ".join(f"q.{c.strip()}" for c in ids.split(","))
+    return f"""
+tr AS (SELECT market, target AS a, target - final AS res, sv FROM {rows}),
 ed AS (SELECT market, quantile_cont(sv, 1e0 / 3) AS q0, quantile_cont(sv, 2e0 / 3) AS q1 FROM tr GROUP BY 1),
 loc AS (SELECT tr.*, CASE WHEN sv > q0 THEN 1 ELSE 0 END + CASE WHEN sv > q1 THEN 1 ELSE 0 END AS st FROM tr JOIN ed USING (market)),
 both_st AS (SELECT market, a, res, st FROM loc UNION ALL SELECT market, a, res, -1 FROM loc),
@@ -195,8 +199,8 @@ flag AS (SELECT *, market = 'spreads' AND a IN (SELECT k FROM keyk) AS onkey FRO
 prof AS (SELECT market, st, count(*) AS n, count(*) FILTER (NOT onkey) AS np FROM flag GROUP BY 1, 2 HAVING count(*) >= 30),
 mass AS (SELECT f.market, f.st, k.k, count(*) FILTER (f.a = k.k AND f.market = 'spreads') / count(*)::DOUBLE AS m FROM flag f CROSS JOIN keyk k GROUP BY 1, 2, 3),
 pts AS (SELECT market, st, res, count(*) AS c FROM flag WHERE NOT onkey GROUP BY 1, 2, 3),
-qs AS (SELECT d.game_id, d.market, d.line, d.line - d.final AS t, 1e-8 + 1e-5 * abs(d.line) AS tol,
-  CASE WHEN sv > q0 THEN 1 ELSE 0 END + CASE WHEN sv > q1 THEN 1 ELSE 0 END AS st FROM d JOIN ed USING (market) WHERE season >= 1999),
+qs AS (SELECT {ids}, market, line, t, 1e-8 + 1e-5 * abs(line) AS tol,
+  CASE WHEN sv > q0 THEN 1 ELSE 0 END + CASE WHEN sv > q1 THEN 1 ELSE 0 END AS st FROM {asked} JOIN ed USING (market)),
 qx AS (SELECT *, st AS us FROM qs UNION ALL SELECT *, -1 FROM qs),
 uq AS (SELECT DISTINCT market, us, t, tol, line FROM qx),
 cnt AS (SELECT u.market, u.us, u.t, u.tol, u.line, sum(CASE WHEN p.res > u.t THEN c ELSE 0 END) AS gt, sum(CASE WHEN p.res < u.t THEN c ELSE 0 END) AS lt,
@@ -207,11 +211,17 @@ km AS (SELECT u.market, u.us, u.t, u.tol, u.line, sum(m) AS allm, sum(CASE WHEN
 raw3 AS (SELECT c.market, c.us, c.t, c.tol, c.line, pr.n, greatest(0, 1 - allm) * gt / np + mg AS w, greatest(0, 1 - allm) * eq / np + me AS p, greatest(0, 1 - allm) * lt / np + ml AS l
   FROM cnt c JOIN km USING (market, us, t, tol, line) JOIN prof pr ON pr.market = c.market AND pr.st = c.us),
 u3 AS (SELECT market, us, t, tol, line, n, w / (w + p + l) AS w, p / (w + p + l) AS p, l / (w + p + l) AS l FROM raw3),
-mix AS (SELECT q.game_id, q.market, {', '.join(f"CASE WHEN s.n IS NULL THEN g.{c} ELSE s.n / (s.n + 200e0) * s.{c} + (1 - s.n / (s.n + 200e0)) * g.{c} END AS {c}" for c in 'wpl')}
+mix AS (SELECT {q}, q.market, {', '.join(f"CASE WHEN s.n IS NULL THEN g.{c} ELSE s.n / (s.n + 200e0) * s.{c} + (1 - s.n / (s.n + 200e0)) * g.{c} END AS {c}" for c in 'wpl')}
   FROM qs q JOIN u3 g ON g.market = q.market AND g.us = -1 AND g.t = q.t AND g.tol = q.tol AND g.line = q.line
   LEFT JOIN u3 s ON s.market = q.market AND s.us = q.st AND s.t = q.t AND s.tol = q.tol AND s.line = q.line)"""
 
 
+RESIDUAL_ROWS_SQL = f"""{MATRIX_SQL},
+d AS (SELECT *, line + 0.25e0 * rest_difference AS final, CASE WHEN market = 'spreads' THEN abs(line) ELSE line END AS sv FROM mk WHERE half_life = 2 AND prior_strength = 0.5e0)"""
+_DIST_SQL = f"""{RESIDUAL_ROWS_SQL},
+early AS (SELECT * FROM d WHERE season < 1999), late AS (SELECT *, line - final AS t FROM d WHERE season >= 1999),{distribution_sql('early', 'late', 'game_id')}"""
+
+
 def calibrated_probabilities(spark, sf_dir):
     """Calibration of the fact-level probabilities per market, by Spark ML."""
     return rounded(cal.fit_by_group(scored(spark, sf_dir), "market", "model_probability", "outcome"))

@@ -16,6 +16,7 @@ from asofspark.fixed_values import KEY_NUMBERS, MIN_STRATUM_ROWS, SHRINKAGE
 from asofspark.functions.prices import signed_keys
 from asofspark.functions.scalars import logistic, logit
 from asofspark.operators.scan import exact_quantiles, running_totals
+from asofspark.session import checkpointed
 
 GLOBAL = -1
 
@@ -24,20 +25,18 @@ def is_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(b)
 
 
-def threshold_counts(points: DataFrame, probes: DataFrame, keys: list[str], probe_id: list[str]) -> DataFrame:
-    """For each probe, how many points of its key lie below (or at) its threshold.
+def counts_up_to(points: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, at_most, below) for every distinct probed value: how many points of its key lie up to and below it.
 
-    points: keys, value, cnt. probes: keys, probe_id, threshold, inclusive.
-    Equal values keep the order probe(<), points, probe(<=).
+    points: keys, value, cnt. probes: keys, value. Points and probes are merged to
+    distinct values map-side before the ordered scan, so a value that is asked
+    for very often, or that very many points share, is one row of it and the order is total.
     """
-    p = points.select(*keys, F.col("value").alias("_v"), F.lit(1).alias("_tag"), F.col("cnt").alias("_cnt"))
-    q = probes.select(
-        *keys, F.col("threshold").alias("_v"), F.when(F.col("inclusive"), 2).otherwise(0).alias("_tag"),
-        F.lit(0).cast("bigint").alias("_cnt"), F.struct(*probe_id).alias("_probe"),
-    )
-    stacked = p.unionByName(q, allowMissingColumns=True)
-    ranked = running_totals(stacked, [F.col("_v"), F.col("_tag")], {"below": F.col("_cnt")}, keys)
-    return ranked.filter(F.col("_probe").isNotNull()).select(*keys, "_probe.*", "below")
+    q = probes.select(*keys, "value", F.lit(0).cast("bigint").alias("cnt"), F.lit(1).alias("_asked"))
+    stacked = points.select(*keys, "value", "cnt", F.lit(0).alias("_asked")).unionByName(q)
+    merged = stacked.groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt"), F.max("_asked").alias("_asked"))
+    ranked = running_totals(merged, [F.col("value")], {"at_most": F.col("cnt")}, keys)
+    return ranked.filter("_asked = 1").select(*keys, "value", "at_most", (F.col("at_most") - F.col("cnt")).alias("below"))
 
 
 @dataclass
@@ -120,27 +119,26 @@ def score_distribution(
     keyed = keyed if keyed is not None else F.col("market") == "spreads"
     sets = model.sets
     ids = list(dict.fromkeys([*sets, *row_id]))
-    placed = queries.join(model.edges, sets).withColumn("_st", _stratum(_strata_value(F.col(stratum), keyed)))
-    asked = placed.select(
-        *ids, F.col(line).alias("_line"), (F.col(line) - F.col(projection)).alias("_t"), "_st",
-        F.explode(F.array(F.lit(GLOBAL), F.col("_st"))).alias("stratum"),
+    keys = [*sets, "stratum"]
+    placed = queries.join(model.edges, sets).select(
+        *ids, F.col(line).alias("_line"), (F.col(line) - F.col(projection)).alias("_t"), _stratum(_strata_value(F.col(stratum), keyed)).alias("_st"),
     )
+    # rows are merged to what is asked for: a line and a threshold of a stratum; only these are scanned
+    asked = placed.select(*sets, "_st", "_line", "_t").distinct().withColumn("stratum", F.explode(F.array(F.lit(GLOBAL), F.col("_st"))))
+    asked = checkpointed(asked.select(*keys, "_line", "_t").distinct())
     tol = F.lit(1e-8) + F.lit(1e-5) * F.abs(F.col("_line"))
     kinds = F.array(
-        F.struct(F.lit("lt").alias("kind"), F.col("_t").alias("threshold"), F.lit(False).alias("inclusive")),
-        F.struct(F.lit("le").alias("kind"), F.col("_t").alias("threshold"), F.lit(True).alias("inclusive")),
-        F.struct(F.lit("lo").alias("kind"), (F.col("_t") - tol).alias("threshold"), F.lit(False).alias("inclusive")),
-        F.struct(F.lit("hi").alias("kind"), (F.col("_t") + tol).alias("threshold"), F.lit(True).alias("inclusive")),
-    )
-    probes = asked.select(*ids, "stratum", F.inline(kinds))
-    extra = [c for c in ids if c not in sets]
-    counted = threshold_counts(model.points, probes, [*sets, "stratum"], [*extra, "kind"])
-    wide = counted.groupBy(*ids, "stratum").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("below"))).alias(f"_{k}") for k in ("lt", "le", "lo", "hi")]
+        F.struct(F.lit("at").alias("kind"), F.col("_t").alias("value")),
+        F.struct(F.lit("lo").alias("kind"), (F.col("_t") - tol).alias("value")),
+        F.struct(F.lit("hi").alias("kind"), (F.col("_t") + tol).alias("value")),
     )
-    known = asked.select(*ids, "stratum", "_line", "_st").join(wide, [*ids, "stratum"]).join(
-        model.profile, [*sets, "stratum"]
+    probes = asked.select(*keys, "_line", "_t", F.inline(kinds))
+    counted = probes.join(counts_up_to(model.points, probes, keys), [*keys, "value"])
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    wide = counted.groupBy(*keys, "_line", "_t").agg(
+        pick("at", "below").alias("_lt"), pick("at", "at_most").alias("_le"), pick("lo", "below").alias("_lo"), pick("hi", "at_most").alias("_hi")
     )
+    known = wide.join(model.profile, keys)
     plain = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate("mass", F.lit(0.0), lambda a, m: a + m))
     signed = F.array(*[F.lit(float(k)) for k in signed_keys(model.keys)])
     zipped = F.arrays_zip(signed.alias("k"), F.col("mass").alias("m"))
@@ -150,20 +148,19 @@ def score_distribution(
 
     n = F.col("n_points")
     raw = known.select(
-        *ids, "stratum", "n_rows",
+        *keys, "_line", "_t", "n_rows",
         (plain * (n - F.col("_le")) / n + key_mass(lambda k: k > F.col("_line"))).alias("w"),
         (plain * (F.col("_hi") - F.col("_lo")) / n + key_mass(lambda k: k == F.col("_line"))).alias("p"),
         (plain * F.col("_lt") / n + key_mass(lambda k: k < F.col("_line"))).alias("l"),
     )
     total = F.col("w") + F.col("p") + F.col("l")
-    unit = raw.withColumns({c: F.col(c) / total for c in ("w", "p", "l")})
-    local = F.col("stratum") >= 0
+    unit = checkpointed(raw.withColumns({c: F.col(c) / total for c in ("w", "p", "l")}))
     share = F.col("n_rows") / (F.col("n_rows") + F.lit(float(shrinkage)))
-    sides = unit.groupBy(*ids).agg(
-        *[F.max(F.when(~local, F.col(c))).alias(f"_g{c}") for c in ("w", "p", "l")],
-        *[F.max(F.when(local, F.col(c))).alias(f"_s{c}") for c in ("w", "p", "l")],
-        F.max(F.when(local, share)).alias("_share"),
+    overall = unit.filter(F.col("stratum") == GLOBAL).select(*sets, "_line", "_t", *[F.col(c).alias(f"_g{c}") for c in ("w", "p", "l")])
+    local = unit.filter(F.col("stratum") >= 0).select(
+        *sets, F.col("stratum").alias("_st"), "_line", "_t", share.alias("_share"), *[F.col(c).alias(f"_s{c}") for c in ("w", "p", "l")]
     )
+    sides = placed.join(overall, [*sets, "_line", "_t"], "left").join(local, [*sets, "_st", "_line", "_t"], "left")
     mixed = sides.select(
         *ids,
         *[

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +91,23 @@ def evidence_counts(cands: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def feature_drift(rows: DataFrame, features: list[str], profile: DataFrame, row_id: list[str]) -> DataFrame:
+def linear(x: Column, intercept: Column, coefs: Column) -> Column:
+    """Projection of a linear model for an array of features."""
+    return F.aggregate(F.zip_with(x, coefs, lambda v, c: v * c), intercept.cast("double"), lambda acc, v: acc + v)
+
+
+def component_disagreement(*projections: str) -> Column:
+    """Spread between the projections of several models of one row."""
+    return F.greatest(*projections) - F.least(*projections)
+
+
+def feature_drift(rows: DataFrame, features: list[str], profile: DataFrame, row_id: list[str], components: tuple[str, ...] = ()) -> DataFrame:
     """Largest |z| and number of features outside the training range per row.
 
     ``profile`` (feature, mean, std, min, max) has one row per feature: it is
-    folded into one map row and read by the rows as a scalar.
+    folded into one map row and read by the rows as a scalar. ``components`` name
+    columns with the projections of the row's models; their spread is added as
+    component_disagreement.
     """
     packed = profile.agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std", "min", "max").alias("p")))).alias("m")
@@ -108,11 +122,25 @@ def feature_drift(rows: DataFrame, features: list[str], profile: DataFrame, row_
     for o in outside[1:]:
         total = total + o
     largest = F.greatest(*z) if len(z) > 1 else z[0]
+    spread = [component_disagreement(*components).alias("component_disagreement")] if components else []
     return rows.withColumn("_m", packed.scalar()).select(
-        *row_id, largest.alias("feature_drift_max_abs_z"), total.alias("feature_outside_training_range")
+        *row_id, largest.alias("feature_drift_max_abs_z"), total.alias("feature_outside_training_range"), *spread
     )
 
 
+def strongest(entries: Column, top: int) -> Column:
+    """The entries (feature, contribution) of the greatest size, then by name, as an array."""
+    def key(e: Column) -> Column:
+        return F.struct((-F.abs(e["contribution"])).alias("a"), e["feature"].alias("b"), e["contribution"].alias("c"))
+
+    ordered = F.slice(F.array_sort(F.transform(entries, key)), 1, top)
+    return F.transform(ordered, lambda e: F.struct(e["b"].alias("feature"), e["c"].alias("projection_contribution")))
+
+
+def _driver_rows(rows: DataFrame, drivers: Column, row_id: list[str]) -> DataFrame:
+    return rows.select(*row_id, F.posexplode(drivers).alias("pos", "_e")).select(*row_id, (F.col("pos") + 1).alias("driver_rank"), "_e.*")
+
+
 def attribution(rows: DataFrame, features: list[str], coefs: dict[str, float] | Column, means: dict[str, float] | Column, row_id: list[str], top: int = 3) -> DataFrame:
     """Change of a linear projection when each feature is set to its training mean.
 
@@ -128,14 +156,29 @@ def attribution(rows: DataFrame, features: list[str], coefs: dict[str, float] |
             for f in sorted(features)
         ]
     )
+    return _driver_rows(rows, strongest(entries, top), row_id)
 
-    def key(e: Column) -> Column:
-        return F.struct((-F.abs(e["contribution"])).alias("a"), e["feature"].alias("b"), e["contribution"].alias("c"))
 
-    ordered = F.slice(F.array_sort(F.transform(entries, key)), 1, top)
-    return rows.select(*row_id, F.posexplode(ordered).alias("pos", "_e")).select(
-        *row_id, (F.col("pos") + 1).alias("driver_rank"), F.col("_e.b").alias("feature"), F.col("_e.c").alias("projection_contribution")
-    )
+def model_drivers(features: list[str], means: Column, predict: Callable[[Column], Column], top: int = 3) -> Column:
+    """The strongest drivers of any model's projection, as an array column.
+
+    ``predict`` maps an array of feature values to a projection: a linear model,
+    a tree ensemble held as a table, or a blend. Every feature is set to its training
+    mean in turn and the row is scored again; all of it stays in the row's own arrays.
+    """
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    names = F.array(*[F.lit(f) for f in features])
+
+    def entry(i: Column) -> Column:
+        changed = F.transform(x, lambda v, j: F.when(i == j, F.get(means, i)).otherwise(v))
+        return F.struct(F.get(names, i).alias("feature"), (predict(x) - predict(changed)).alias("contribution"))
+
+    return strongest(F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), entry), top)
+
+
+def model_attribution(rows: DataFrame, features: list[str], means: Column, predict: Callable[[Column], Column], row_id: list[str], top: int = 3) -> DataFrame:
+    """One row per driver of :func:`model_drivers`."""
+    return _driver_rows(rows, model_drivers(features, means, predict, top), row_id)
 
 
 def against_average(latest: DataFrame, metrics: list[str], entity: str = "team_id") -> DataFrame:

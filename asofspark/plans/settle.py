@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from asofspark.fixed_values import CLOSE_WINDOW_EARLIEST, CLOSE_WINDOW_LATEST, FRESHNESS_MINUTES
 from asofspark.functions import prices as px
-from asofspark.functions.scalars import first_reason, stable_id
+from asofspark.functions.scalars import content_hash, first_reason, stable_id
 from asofspark.operators import distribution as ds
 from asofspark.operators import evaluate as ev
 from asofspark.operators import market as mk
 from asofspark.session import checkpointed
 
+SELECTION_RULE = "latest-decision-in-window"
+"""Names the rule of ``canonical_predictions`` on every record."""
+TRANSIENT = ("settled_at_utc", "content_hash")
+
+
+def hashed(records: DataFrame) -> DataFrame:
+    return records.withColumn("content_hash", content_hash(records, TRANSIENT))
+
 
 def settle(
     games: DataFrame,
@@ -26,9 +34,15 @@ def settle(
     earliest: float = CLOSE_WINDOW_EARLIEST,
     latest: float = CLOSE_WINDOW_LATEST,
     max_age_minutes: float = FRESHNESS_MINUTES,
+    settled_at: Column | None = None,
+    selection_rule: str = SELECTION_RULE,
 ) -> DataFrame:
     """One evaluation per finished game and market.
 
+    A record names its prediction and feature times, the rule that selected the
+    decision snapshot, and the time of settlement; ``content_hash`` covers all of it but
+    the settlement time, so a repeated settlement of the same facts has the same hash.
+
     A missing close only makes the closing-line values null; it never removes
     a scored row. Pushes and excluded rows carry no scores.
     """
@@ -42,7 +56,7 @@ def settle(
     ))
     rows = final.select("game_id", "season", "week", "kickoff_utc", outcomes)
     d_cols = [
-        "prediction_id", "snapshot_id", "provider_event_id", "snapshot_retrieved_at_utc", "prediction_created_at_utc",
+        "prediction_id", "snapshot_id", "provider_event_id", "snapshot_retrieved_at_utc", "prediction_created_at_utc", "feature_as_of_utc",
         "anchor_line", "anchor_orientation_price", "anchor_other_price", "anchor_orientation_no_vig_probability",
         "final_projection", "calibrated_non_push_win_probability",
         "model_win_probability", "model_push_probability", "model_loss_probability",
@@ -51,6 +65,8 @@ def settle(
         "snapshot_id", "provider_event_id", "snapshot_retrieved_at_utc", "anchor_line", "anchor_orientation_price",
         "anchor_other_price", "anchor_orientation_no_vig_probability",
     ]
+    if "feature_as_of_utc" not in predictions.columns:
+        predictions = predictions.withColumn("feature_as_of_utc", F.lit(None).cast("timestamp_ntz"))
     mine = predictions.filter(F.col("model_version") == version)
     decisions = mk.canonical_predictions(mine, latest=latest, earliest=earliest, max_age_minutes=max_age_minutes)
     closes = mk.canonical_closes(quotes, books=books, latest=latest, earliest=earliest, max_age_minutes=max_age_minutes)
@@ -85,6 +101,9 @@ def settle(
         stable_id(F.lit(version), "game_id", "market").alias("evaluation_id"),
         F.lit(version).alias("model_version"), "game_id", "season", "week", "kickoff_utc", "market", "orientation",
         F.col("d.prediction_id").alias("prediction_id"),
+        (F.lit(None).cast("timestamp_ntz") if settled_at is None else settled_at).alias("settled_at_utc"),
+        F.lit(selection_rule).alias("selection_rule_version"), F.col("d.snapshot_id").alias("canonical_snapshot_id"),
+        F.col("d.prediction_created_at_utc").alias("prediction_created_at_utc"), F.col("d.feature_as_of_utc").alias("feature_as_of_utc"),
         F.col("d.snapshot_id").alias("decision_snapshot_id"), F.col("c.snapshot_id").alias("closing_snapshot_id"),
         line.alias("decision_line"), F.col("d.anchor_orientation_price").alias("decision_orientation_price"),
         F.col("d.anchor_other_price").alias("decision_other_price"), q.alias("decision_market_probability"),
@@ -109,9 +128,9 @@ def settle(
     )
     null = F.lit(None).cast("double")
     if model is None:
-        return out.withColumns({c: null for c in (
+        return hashed(out.withColumns({c: null for c in (
             "closing_contract_win_probability", "closing_contract_push_probability", "closing_contract_loss_probability",
-            "decision_price_clv", "closing_contract_ev")})
+            "decision_price_clv", "closing_contract_ev")}))
     out = checkpointed(out)  # read by the pricing and by the final join
     priced = ds.closing_anchored(
         model,
@@ -123,7 +142,7 @@ def settle(
     full = out.join(priced, keys, "left")
     price = F.col("decision_orientation_price")
     fair = F.try_divide(F.col("closing_win"), F.col("closing_win") + F.col("closing_loss"))
-    return full.withColumns(
+    return hashed(full.withColumns(
         {
             "closing_contract_win_probability": F.col("closing_win"),
             "closing_contract_push_probability": F.col("closing_push"),
@@ -131,4 +150,4 @@ def settle(
             "decision_price_clv": fair - px.implied_probability(price),
             "closing_contract_ev": F.col("closing_win") * (px.decimal_price(price) - 1.0) - F.col("closing_loss"),
         }
-    ).drop("closing_win", "closing_push", "closing_loss")
+    ).drop("closing_win", "closing_push", "closing_loss"))
