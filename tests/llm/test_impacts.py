@@ -76,7 +76,7 @@ def test_segments_come_in_descending_impact():
 def test_a_stop_rests_on_proof_and_spares_most_rows():
     """Sparse rows are settled before all segments are added."""
     rng = np.random.default_rng(1)
-    x = np.where(rng.random((400, 64)) < 0.05, 1000, rng.integers(-3, 4, (400, 64))).astype(float)
+    x = np.where(rng.random((400, 64)) < 0.05, rng.integers(5 * 10**5, 10**6, (400, 64)), rng.integers(-3, 4, (400, 64))).astype(float)
     places, ends = impacts.segments(x)
 
     class Record:
