@@ -108,9 +108,9 @@ def nested_evaluation(spark, sf_dir):
 _STATS = ("n", "see", "sy", "syy", "sdd", "sdr", "srr")
 
 
-def _choice_sql(adjusted: bool) -> str:
+def _choice_sql(adjusted: bool, oof: str = _OOF_SQL) -> str:
     sse = "srr - 2 * mw * sdr + mw * mw * sdd" if adjusted else "see"
-    return f"""{_OOF_SQL},
+    return f"""{oof},
 st AS (SELECT market, half_life, prior_strength, alpha, season, count(*) AS n, sum((target - raw) * (target - raw)) AS see, sum(target) AS sy, sum(target * target) AS syy,
   sum((raw - line) * (raw - line)) AS sdd, sum((raw - line) * (target - line)) AS sdr, sum((target - line) * (target - line)) AS srr FROM oof GROUP BY 1, 2, 3, 4, 5),
 pool AS (SELECT * FROM (SELECT market, half_life, prior_strength, alpha, season, {', '.join(f'sum({c}) OVER w AS {c}' for c in _STATS)} FROM st
@@ -131,10 +131,10 @@ _CHOICE_OUT = f"""SELECT season, half_life, prior_strength, {r6('score')} AS sco
 
 
 def training_sums(spark, sf_dir):
-    """Prefix sums of the Gram blocks over seasons."""
-    rows = mu.by_market(matrix(spark, sf_dir, [2.0], [0.5]))
+    """Counts, means and centred products of all earlier seasons, combined from the seasons' blocks."""
+    rows = mu.by_market(matrix(spark, sf_dir))
     blocks = rg.training_blocks(rg.gram_blocks(rows, KEYS, _ONE), KEYS)
-    return rounded(blocks.select("market", "season", "cell", F.round("v", 3).alias("v")))
+    return rounded(blocks.select(*KEYS, F.posexplode("block").alias("cell", "v")).withColumn("v", F.round("v", 3)))
 
 
 def full_walk_forward(spark, sf_dir):
@@ -145,29 +145,70 @@ def full_walk_forward(spark, sf_dir):
     oof = checkpointed(oof)
     choice = rg.select_configuration(rg.season_stats(oof, ["market", *CONFIG, "alpha", "season"]), CONFIG)
     nested = rg.nested_predictions(oof, choice, CONFIG)
-    return nested.select("game_id", "season", "market", *CONFIG, "alpha", "market_weight", "raw", "final", "line", "target")
+    return rounded(nested.select("game_id", "season", "market", *CONFIG, "alpha", "market_weight", "raw", "final", "line", "target"))
 
 
 def coefficient_table(spark, sf_dir):
-    rows = mu.by_market(matrix(spark, sf_dir, [2.0], [0.5]))
+    """Standardised coefficients of every fold, configuration and penalty."""
+    rows = mu.by_market(matrix(spark, sf_dir))
     names = list(base_features())
     train = rg.training_blocks(rg.gram_blocks(rows, KEYS, names), KEYS)
-    return rg.coefficient_table(rg.solve_folds(train, KEYS, names), names)
+    return rounded(rg.coefficient_table(rg.solve_folds(train, KEYS, names), names))
 
 
-def feature_set_grid(spark, sf_dir):
-    """Feature subsets from one Gram block: market weights of the residual fits."""
-    rows = mu.by_market(matrix(spark, sf_dir, [1.0, 2.0], [0.5]))
-    names = list(base_features())
-    sets = {
+def _feature_sets() -> dict[str, list[str]]:
+    names = _FEATURE_NAMES
+    return {
         "passing": [n for n in names if n.startswith("pass")],
         "rushing": [n for n in names if n.startswith("rush")],
         "passing+rushing": [n for n in names if n != "rest_difference"],
         "all": names,
     }
+
+
+def feature_set_grid(spark, sf_dir):
+    """Feature subsets from one block, for every configuration: market weights of the residual fits."""
+    rows = mu.by_market(matrix(spark, sf_dir))
+    names = list(base_features())
     train = rg.training_blocks(rg.gram_blocks(rows, KEYS, names), KEYS)
-    coefs = rg.solve_folds(train, KEYS, names, feature_sets=sets, min_train=30, residual_target=True)
-    return coefs.select(*KEYS, "feature_set", "n_features", "alpha", "n_train", "train_weight")
+    coefs = rg.solve_folds(train, KEYS, names, feature_sets=_feature_sets(), min_train=30, residual_target=True)
+    return rounded(coefs.select(*KEYS, "feature_set", "n_features", "alpha", "n_train", "train_weight"))
+
+
+def ridge_sql(rows: str, features: list[str], sets: dict[str, list[str]], min_train: int = 100, residual: bool = False, name: str = "fit") -> str:
+    """Recursive CTEs: standardised ridge of every fold, set and penalty over ``rows``, by elimination on centred products."""
+    y = "(k.target - k.line)" if residual else "k.target"
+    x = [f"k.{f}" for f in features]
+    n = len(features)
+    cov = lambda a, b: f"count(*) * covar_pop({a}, {b})"
+    c = ", ".join("[" + ", ".join(cov(x[min(i, j)], x[max(i, j)]) for j in range(n)) + "]" for i in range(n))
+    chosen = ", ".join(f"('{s}', [{', '.join(str(features.index(f) + 1) for f in fs)}])" for s, fs in sets.items())
+    keys = "market, half_life, prior_strength, season"
+    return f"""
+{name}_folds AS (SELECT DISTINCT {keys} FROM {rows}),
+{name}_g AS (SELECT f.market, f.half_life, f.prior_strength, f.season, count(*) AS n, [{', '.join(f'avg({v})' for v in x)}] AS mu, avg({y}) AS ym, [{c}] AS c, [{', '.join(cov(v, y) for v in x)}] AS b
+  FROM {name}_folds f JOIN {rows} k ON k.market = f.market AND k.half_life = f.half_life AND k.prior_strength = f.prior_strength AND k.season < f.season
+  GROUP BY 1, 2, 3, 4 HAVING count(*) >= {min_train}),
+{name}_s AS (SELECT *, list_transform(range(1, {n + 1}), lambda i: sqrt(c[i][i] / n)) AS sd FROM {name}_g),
+{name}_elim(k, {keys}, feature_set, idx, alpha, m) AS (
+  SELECT 0, {keys}, feature_set, idx, alpha, list_transform(idx, lambda i: list_concat(list_transform(idx, lambda j: c[i][j] / (sd[i] * sd[j]) + CASE WHEN i = j THEN alpha ELSE 0e0 END), [b[i] / sd[i]]))
+  FROM {name}_s, (VALUES {chosen}) v(feature_set, idx), (VALUES (0.1e0), (1e0), (10e0), (100e0)) al(alpha)
+  UNION ALL
+  SELECT k + 1, {keys}, feature_set, idx, alpha, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1])
+    ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM {name}_elim WHERE k < len(idx)),
+{name} AS (SELECT e.market, e.half_life, e.prior_strength, e.season, e.feature_set, len(e.idx) AS n_features, e.alpha, s.n AS n_train, s.sd,
+  list_transform(range(1, {n + 1}), lambda i: coalesce(m[list_position(idx, i)][len(idx) + 1] / s.sd[i], 0e0)) AS coef, s.mu, s.ym
+  FROM {name}_elim e JOIN {name}_s s USING ({keys}) WHERE k = len(idx))"""
+
+
+def fitted_sql(features: list[str], row: str = "k", fit: str = "f") -> str:
+    """A row's projection under a fit of :func:`ridge_sql`."""
+    return f"{fit}.ym + " + " + ".join(f"{fit}.coef[{i}] * ({row}.{f} - {fit}.mu[{i}])" for i, f in enumerate(features, 1))
+
+
+_ALL_OOF_SQL = f"""{MATRIX_SQL},{ridge_sql('mk', _FEATURE_NAMES, {'all': _FEATURE_NAMES})},
+oof AS (SELECT k.game_id, k.market, k.half_life, k.prior_strength, k.season, k.target, k.line, f.alpha, f.n_train, {fitted_sql(_FEATURE_NAMES)} AS raw
+  FROM mk k JOIN fit f USING (market, half_life, prior_strength, season))"""
 
 
 def _distribution_rows(spark, sf_dir):
@@ -376,7 +417,7 @@ def _ll(p: str, y: str = "outcome") -> str:
 
 
 _BIN = "CAST(least(floor(greatest(0, least(1, {p})) * 10), 9) + 1 AS INT)"
-_CELLS = ["1e0", "x", "target", "line", "x*x", "x*target", "x*line", "target*target", "target*line", "line*line"]
+_CELLS = [("x", "x"), ("x", "target"), ("x", "line"), ("target", "target"), ("target", "line"), ("line", "line")]
 _CLIPPED = f"greatest({CALIBRATOR_CLIP}, least(1 - {CALIBRATOR_CLIP}, model_probability))"
 # Newton steps on merged pairs, damped as in the operator; the CTEs need WITH RECURSIVE
 _FIT_SQL = f"""pairs AS (SELECT market, ln({_CLIPPED} / (1 - {_CLIPPED})) AS x, outcome AS y, count(*)::DOUBLE AS w FROM scored GROUP BY 1, 2, 3),
@@ -403,9 +444,22 @@ ORACLES = {
         [*_FEATURE_NAMES, "target_margin", "target_total", "spread_line", "total_line", "market_spread_probability", "market_total_probability"],
         "matrix",
     ),
-    "training_sums": f"WITH {MATRIX_SQL}, x AS (SELECT *, {_ONE[0]} AS x FROM mk WHERE half_life = 2 AND prior_strength = 0.5e0), c AS ("
-    + " UNION ALL ".join(f"SELECT market, season, {i} AS cell, sum({e}) AS v FROM x GROUP BY 1, 2" for i, e in enumerate(_CELLS))
-    + ") SELECT market, season, CAST(cell AS INT) AS cell, round(v, 3) + 0e0 AS v FROM (SELECT market, season, cell, sum(v) OVER (PARTITION BY market, cell ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM c) y WHERE v IS NOT NULL",
+    "training_sums": f"""WITH {MATRIX_SQL}, x AS (SELECT *, {_ONE[0]} AS x FROM mk), se AS (SELECT DISTINCT market, half_life, prior_strength, season FROM x),
+      g AS (SELECT s.market, s.half_life, s.prior_strength, s.season, [count(*), avg(x), avg(target), avg(line), {', '.join(f'count(*) * covar_pop({a}, {b})' for a, b in _CELLS)}] AS v
+        FROM se s JOIN x ON x.market = s.market AND x.half_life = s.half_life AND x.prior_strength = s.prior_strength AND x.season < s.season GROUP BY 1, 2, 3, 4)
+      SELECT market, half_life, prior_strength, season, CAST(i - 1 AS INT) AS cell, round(v[i], 3) + 0e0 AS v FROM g, unnest(range(1, 11)) u(i)""",
+    "full_walk_forward": f"""WITH RECURSIVE {_choice_sql(False, _ALL_OOF_SQL)}
+      SELECT o.game_id, o.season, o.market, o.half_life, o.prior_strength, o.alpha, {r6('c.market_weight')} AS market_weight, {r6('o.raw')} AS raw,
+        {r6('c.market_weight * o.raw + (1 - c.market_weight) * o.line')} AS final, {r6('o.line')} AS line, {r6('o.target')} AS target
+      FROM oof o JOIN choice c USING (season, market, half_life, prior_strength, alpha)""",
+    "coefficient_table": f"""WITH RECURSIVE {MATRIX_SQL},{ridge_sql('mk', _FEATURE_NAMES, {'all': _FEATURE_NAMES})},
+      named AS (SELECT *, unnest([{', '.join(f"'{f}'" for f in _FEATURE_NAMES)}]) AS feature, unnest(range(1, {len(_FEATURE_NAMES) + 1})) AS i FROM fit)
+      SELECT market, half_life, prior_strength, season, feature_set, CAST(n_features AS INT) AS n_features, alpha, n_train, feature, {r6('coef[i] * sd[i]')} AS standardized_coefficient FROM named""",
+    "feature_set_grid": f"""WITH RECURSIVE {MATRIX_SQL},{ridge_sql('mk', _FEATURE_NAMES, _feature_sets(), 30, True)},
+      w AS (SELECT f.market, f.half_life, f.prior_strength, f.season, f.feature_set, f.n_features, f.alpha, f.n_train, {fitted_sql(_FEATURE_NAMES)} AS d, k.target - k.line AS r
+        FROM fit f JOIN mk k ON k.market = f.market AND k.half_life = f.half_life AND k.prior_strength = f.prior_strength AND k.season < f.season)
+      SELECT market, half_life, prior_strength, season, feature_set, CAST(n_features AS INT) AS n_features, alpha, n_train,
+        {r6('CASE WHEN sum(d * d) <= 1e-12 THEN 0 ELSE greatest(0, least(1, sum(d * r) / sum(d * d))) END')} AS train_weight FROM w GROUP BY 1, 2, 3, 4, 5, 6, 7, 8""",
     "walk_forward": f"WITH {_OOF_SQL} SELECT game_id, market, half_life, prior_strength, season, alpha, n_train, {r6('raw')} AS raw FROM oof",
     "configuration_choice": f"WITH {_choice_sql(False)} {_CHOICE_OUT}",
     "adjusted_choice": f"WITH {_choice_sql(True)} {_CHOICE_OUT}",

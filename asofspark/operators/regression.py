@@ -1,9 +1,11 @@
-"""Walk-forward ridge regression from distributed sufficient statistics.
-
-One pass turns the rows into a small Gram block per (market, configuration,
-season). Prefix sums of the blocks over seasons are the training data of every
-fold; each fold, penalty and feature subset is a tiny solve on its block. The
-rows are read a second time only to score them.
+"""Walk-forward ridge regression from distributed moments.
+
+One pass turns the rows into a small block per (market, configuration, season):
+row count, means and centred products, which combine pairwise without
+cancellation, however far the means lie from zero. Combined over the seasons
+before it, the blocks are the training data of every fold; each fold, penalty
+and feature subset is a tiny solve on its block. The rows are read a second time
+only to score them.
 """
 
 from __future__ import annotations
@@ -18,59 +20,115 @@ from pyspark.sql import types as T
 
 from asofspark.fixed_values import RIDGE_GRID
 
+BLOCK = "block"
+"""Array column: count, means, and the upper triangle of the centred products."""
+SALTS = 32
+
+
+class Moments:
+    """Count, means and centred products of some columns."""
+
+    def __init__(self, n: float, mean: np.ndarray, products: np.ndarray):
+        self.n, self.mean, self.products = n, mean, products
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        mean = x.mean(axis=0)
+        z = x - mean
+        return cls(float(len(x)), mean, z.T @ z)
+
+    @classmethod
+    def unpacked(cls, block) -> Moments:
+        block = np.asarray(block, float)
+        size = int((np.sqrt(9 + 8 * (len(block) - 1)) - 3) / 2 + 0.5)
+        products = np.zeros((size, size))
+        products[np.triu_indices(size)] = block[1 + size :]
+        return cls(block[0], block[1 : 1 + size], products + np.triu(products, 1).T)
+
+    def packed(self) -> list[float]:
+        return [self.n, *self.mean.tolist(), *self.products[np.triu_indices(len(self.mean))].tolist()]
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        gap = other.mean - self.mean
+        products = self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n)
+        return Moments(n, self.mean + gap * (other.n / n), products)
+
+    def of_forms(self, a: np.ndarray, a0: float, b: np.ndarray, b0: float) -> float:
+        """Sum over the rows of (a0 + a·x) (b0 + b·x)."""
+        return float(self.n * (a0 + a @ self.mean) * (b0 + b @ self.mean) + a @ self.products @ b)
+
+    def transformed(self, t: np.ndarray) -> Moments:
+        return Moments(self.n, t @ self.mean, t @ self.products @ t.T)
 
-def gram_blocks(
-    df: DataFrame, keys: list[str], features: list[str], target: str = "target", line: str = "line"
-) -> DataFrame:
-    """Upper triangle of Σ z·zᵀ with z = (1, features, target, line), in long form.
 
-    Each task folds its rows into one block per key with matrix products, so
-    the shuffle carries blocks, not rows. Keys are few: markets x
-    configurations x seasons.
+def _block_schema(df: DataFrame, keys: list[str], *more: T.StructField) -> T.StructType:
+    return T.StructType([*(df.schema[k] for k in keys), *more, T.StructField(BLOCK, T.ArrayType(T.DoubleType()))])
+
+
+def merged_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """One block per key. Blocks of a key meet in two steps, so a key that every task has seen is folded by many tasks first."""
+    schema = _block_schema(blocks, keys)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted(pdf[BLOCK].map(tuple))  # one order of addition
+        total = Moments.unpacked(parts[0])
+        for part in parts[1:]:
+            total = total + Moments.unpacked(part)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), total.packed()]], columns=[*keys, BLOCK])
+
+    salted = blocks.withColumn("_salt", F.pmod(F.xxhash64(BLOCK), F.lit(SALTS)))
+    return salted.groupBy(*keys, "_salt").applyInPandas(fold, schema).groupBy(*keys).applyInPandas(fold, schema)
+
+
+def gram_blocks(df: DataFrame, keys: list[str], features: list[str], target: str = "target", line: str = "line") -> DataFrame:
+    """A block of (features, target, line) per key.
+
+    Each task folds its rows into one block per key, so the shuffle carries
+    blocks, not rows. Keys are few: markets x configurations x seasons.
     """
-    size = len(features) + 3
-    upper = np.triu_indices(size)
     cols = [*features, target, line]
-    fields = [df.schema[k] for k in keys]
-    schema = T.StructType([*fields, T.StructField("g", T.ArrayType(T.DoubleType()))])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks: dict[tuple, np.ndarray] = {}
+        blocks: dict[tuple, Moments] = {}
         for pdf in batches:
             for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                z = np.column_stack([np.ones(len(part)), part[cols].to_numpy(dtype=float)])
-                blocks[key] = blocks.get(key, 0.0) + z.T @ z
+                new = Moments.of(part[cols].to_numpy(dtype=float))
+                blocks[key] = blocks[key] + new if key in blocks else new
         if blocks:
-            rows = [(*k, m[upper].tolist()) for k, m in blocks.items()]
-            yield pd.DataFrame(rows, columns=[*keys, "g"])
+            yield pd.DataFrame([(*k, m.packed()) for k, m in blocks.items()], columns=[*keys, BLOCK])
 
-    partial = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fold, schema)
-    cells = partial.select(*keys, F.posexplode("g").alias("cell", "v"))
-    return cells.groupBy(*keys, "cell").agg(F.sum("v").alias("v"))
+    partial = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(fold, _block_schema(df, keys))
+    return merged_blocks(partial, keys)
 
 
 def training_blocks(blocks: DataFrame, keys: list[str], season: str = "season") -> DataFrame:
-    """Sum of the blocks of all earlier seasons, for each season present."""
+    """The combined block of all earlier seasons, for each season present but the first."""
     rest = [k for k in keys if k != season]
-    w = Window.partitionBy(*rest, "cell").orderBy(season).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("v", F.sum("v").over(w)).filter(F.col("v").isNotNull())
 
+    def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(season)
+        total, rows = None, []
+        for _, r in pdf.iterrows():
+            if total is not None:
+                rows.append([*(r[k] for k in keys), total.packed()])
+            here = Moments.unpacked(r[BLOCK])
+            total = here if total is None else total + here
+        return pd.DataFrame(rows, columns=[*keys, BLOCK])
+
+    return blocks.select(*keys, BLOCK).groupBy(*rest).applyInPandas(prefix, _block_schema(blocks, keys))
 
-def ridge_from_block(g: np.ndarray, columns: list[int], alpha: float) -> tuple[float, np.ndarray]:
+
+def ridge_from_block(m: Moments, columns: list[int], alpha: float, target: int = -2) -> tuple[float, np.ndarray]:
     """Intercept and coefficients of standardised ridge on a subset of columns."""
-    n = g[0, 0]
     idx = np.asarray(columns)
-    y = g.shape[0] - 2
-    mean = g[0, idx] / n
-    y_mean = g[0, y] / n
-    cov = g[np.ix_(idx, idx)] - n * np.outer(mean, mean)
-    var = np.diag(cov) / n
-    flat = var <= 1e-12 * np.maximum(1.0, mean**2)
+    cov = m.products[np.ix_(idx, idx)]
+    var, mean, eps = np.diag(cov) / m.n, m.mean[idx], np.finfo(float).eps
+    flat = var <= m.n * eps * var + (m.n * mean * eps) ** 2  # no more than rounding
     scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, var)))
     a = cov / np.outer(scale, scale) + alpha * np.eye(len(idx))
-    b = (g[idx, y] - n * mean * y_mean) / scale
-    coef = np.linalg.solve(a, b) / scale
-    return float(y_mean - coef @ mean), coef
+    coef = np.linalg.solve(a, m.products[idx, target] / scale) / scale
+    return float(m.mean[target] - coef @ mean), coef
 
 
 def clipped_weight(num: float, den: float) -> float:
@@ -93,57 +151,45 @@ def solve_folds(
     weight of the fold's own training projections comes from the same block.
     """
     sets = feature_sets or {"all": features}
-    size = len(features) + 3
-    upper = np.triu_indices(size)
-    position = {f: i + 1 for i, f in enumerate(features)}
-    fields = [train.schema[k] for k in keys]
-    schema = T.StructType(
-        [
-            *fields,
-            T.StructField("feature_set", T.StringType()),
-            T.StructField("n_features", T.IntegerType()),
-            T.StructField("alpha", T.DoubleType()),
-            T.StructField("n_train", T.LongType()),
-            T.StructField("intercept", T.DoubleType()),
-            T.StructField("coef", T.ArrayType(T.DoubleType())),
-            T.StructField("scaled_coef", T.ArrayType(T.DoubleType())),
-            T.StructField("train_weight", T.DoubleType()),
-        ]
+    size = len(features) + 2
+    position = {f: i for i, f in enumerate(features)}
+    made = T.StructType.fromDDL(
+        "feature_set string, n_features int, alpha double, n_train bigint, intercept double, coef array<double>, scaled_coef array<double>, train_weight double"
     )
+    schema = T.StructType([*(train.schema[k] for k in keys), *made.fields])
+    names = schema.names
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.zeros(len(upper[0]))
-        flat[pdf["cell"].to_numpy()] = pdf["v"].to_numpy()
-        g = np.zeros((size, size))
-        g[upper] = flat
-        g = g + np.triu(g, 1).T
-        n = int(round(g[0, 0]))
-        rows = []
-        if n >= min_train:
-            key = [pdf[k].iloc[0] for k in keys]
-            y, m = size - 2, size - 1
-            h = g
-            if residual_target:
-                t = np.eye(size)
-                t[m, y] = -1.0  # y becomes y - line
-                h = t.T @ g @ t
-            sd = np.sqrt(np.maximum(np.diag(g)[1 : size - 2] / n - (g[0, 1 : size - 2] / n) ** 2, 0.0))
-            for name, subset in sets.items():
-                idx = [position[f] for f in subset]
-                for alpha in alphas:
-                    intercept, b = ridge_from_block(h, idx, alpha)
-                    coef = np.zeros(len(features))
-                    coef[[i - 1 for i in idx]] = b
-                    delta = np.concatenate([[intercept], coef, [0.0, 0.0]])
-                    if not residual_target:
-                        delta[m] = -1.0
-                    gap = np.zeros(size)
-                    gap[y], gap[m] = 1.0, -1.0
-                    weight = clipped_weight(delta @ g @ gap, delta @ g @ delta)
-                    rows.append((*key, name, len(idx), float(alpha), n, intercept, coef.tolist(), (coef * sd).tolist(), weight))
-        return pd.DataFrame(rows, columns=schema.names)
-
-    return train.groupBy(*keys).applyInPandas(solve, schema)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                m = Moments.unpacked(getattr(r, BLOCK))
+                if round(m.n) < min_train:
+                    continue
+                key = [getattr(r, k) for k in keys]
+                y, line = size - 2, size - 1
+                gap = np.zeros(size)
+                gap[y], gap[line] = 1.0, -1.0
+                h = m
+                if residual_target:
+                    t = np.eye(size)
+                    t[y, line] = -1.0  # the target becomes target - line
+                    h = m.transformed(t)
+                sd = np.sqrt(np.maximum(np.diag(m.products)[: size - 2] / m.n, 0.0))
+                for name, subset in sets.items():
+                    idx = [position[f] for f in subset]
+                    for alpha in alphas:
+                        intercept, b = ridge_from_block(h, idx, alpha)
+                        delta = np.zeros(size)
+                        delta[idx] = b
+                        coef = delta[: size - 2].copy()
+                        if not residual_target:
+                            delta[line] = -1.0
+                        weight = clipped_weight(m.of_forms(delta, intercept, gap, 0.0), m.of_forms(delta, intercept, delta, intercept))
+                        rows.append((*key, name, len(idx), float(alpha), int(round(m.n)), intercept, coef.tolist(), (coef * sd).tolist(), weight))
+            yield pd.DataFrame(rows, columns=names)
+
+    return train.select(*keys, BLOCK).mapInPandas(solve, schema)
 
 
 def projection(features: list[str], intercept: str = "intercept", coef: str = "coef"):

@@ -54,7 +54,7 @@ def final_coefficients(rows: DataFrame, choice: DataFrame, features: list[str],
     chosen = choice.filter(F.col("season").isNull()).select("market", *CONFIG, "alpha", F.col("market_weight").alias("weight"))
     keys = ["market", *CONFIG]
     blocks = rg.gram_blocks(rows.join(chosen.select(*keys), keys, "left_semi"), KEYS, features)
-    whole = blocks.groupBy(*keys, "cell").agg(F.sum("v").alias("v"))
+    whole = rg.merged_blocks(blocks, keys)
     coefs = rg.solve_folds(whole, keys, features, residual_target=residual_target)
     return coefs.join(chosen, [*keys, "alpha"]).select("market", *CONFIG, "alpha", "intercept", "coef", "weight")
 

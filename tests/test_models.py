@@ -74,6 +74,27 @@ def test_residual_target_subset_and_constant_feature(rows, matrix):
     assert got["one"]["train_weight"] == pytest.approx(np.clip(a @ r / (a @ a), 0, 1), abs=1e-9)
 
 
+def test_moments_combine_without_cancellation(spark):
+    """Mean 1e6, standard deviation 1: raw sums of squares would lose all digits that count."""
+    rng = np.random.default_rng(11)
+    x = 1e6 + rng.normal(0, 1, (900, 2))
+    y = 3.0 * (x[:, 0] - 1e6) - (x[:, 1] - 1e6) + rng.normal(0, 0.5, 900)
+    season = np.repeat([1, 2, 3], 300)
+    rows = [("spreads", int(s), float(a), float(b), float(t), 0.0) for s, (a, b), t in zip(season, x, y, strict=True)]
+    df = spark.createDataFrame(rows, "market string, season int, x1 double, x2 double, target double, line double").repartition(7)
+    train = rg.training_blocks(rg.gram_blocks(df, KEYS, FEATURES), KEYS)
+    got = {r["season"]: r for r in rg.solve_folds(train, KEYS, FEATURES, (1.0,)).collect()}
+    assert set(got) == {2, 3}
+    for s in (2, 3):
+        b0, w = sklearn_style(x[season < s], y[season < s], 1.0)
+        assert got[s]["coef"] == pytest.approx(w.tolist(), rel=1e-8)
+        assert got[s]["intercept"] + 1e6 * sum(got[s]["coef"]) == pytest.approx(b0 + 1e6 * w.sum(), abs=1e-6)
+    direct = rg.Moments.of(x)
+    halves = rg.Moments.of(x[:100]) + rg.Moments.of(x[100:])
+    assert np.allclose(direct.products, halves.products, rtol=1e-9, atol=1e-6)
+    assert np.allclose(rg.Moments.unpacked(direct.packed()).products, direct.products)
+
+
 def test_market_weight_of_a_perfect_adjustment_is_one(spark):
     df = spark.createDataFrame([(1.0, 4.0, 3.0), (-2.0, 0.0, 2.0)], "d double, y double, m double")
     assert df.agg(rg.market_weight(F.col("d"), F.col("y") - F.col("m"))).head()[0] == pytest.approx(1.0)
