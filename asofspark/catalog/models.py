@@ -331,17 +331,17 @@ def version_comparison(spark, sf_dir):
 
 def season_bootstrap(spark, sf_dir):
     """Season-block bootstrap interval of the RMSE difference per market."""
-    return bs.rmse_difference(scored(spark, sf_dir), None, "actual", "projection", "line", "season")
+    return rounded(bs.rmse_difference(scored(spark, sf_dir), None, "actual", "projection", "line", "season"))
 
 
 def paired_bootstrap(spark, sf_dir):
-    return bs.paired_scores(scored(spark, sf_dir), None, "outcome", "model_probability", "market_probability")
+    return rounded(bs.paired_scores(scored(spark, sf_dir), None, "outcome", "model_probability", "market_probability"))
 
 
 def ablation_acceptance(spark, sf_dir):
     rows = scored(spark, sf_dir)
     deltas = ev.ablation_deltas(rows, "outcome", "market_probability", "model_probability")
-    return ev.ablation_acceptance(deltas, bs.paired_scores(rows, None, "outcome", "model_probability", "market_probability", 2_000, 202603))
+    return rounded(ev.ablation_acceptance(deltas, bs.paired_scores(rows, None, "outcome", "model_probability", "market_probability", 2_000, 202603)))
 
 
 def market_weights(spark, sf_dir):
@@ -437,7 +437,77 @@ _GATES_SQL = f"""WITH RECURSIVE {SCORED_SQL}, {_FIT_SQL}, m AS (SELECT market, a
     UNION ALL SELECT CASE market WHEN 'spreads' THEN 'spread' ELSE 'total' END || '_log_loss_beats_market', ml < kl FROM m
     UNION ALL SELECT CASE market WHEN 'spreads' THEN 'spread' ELSE 'total' END || '_calibration_acceptable', abs(icpt) <= 0.2 AND slope BETWEEN 0.5 AND 1.5 FROM m)"""
 
+_2_64 = "18446744073709551616::UHUGEINT"
+
+
+def _mixed_sql(x: str) -> list[str]:
+    """The generator's mixer, a step of CTE columns at a time."""
+    times = lambda c: f"((z::UHUGEINT * {c}::UHUGEINT) % {_2_64})::UBIGINT"
+    return [f"{x}", "xor(z, z >> 30)", times(bs.MIX_1), "xor(z, z >> 27)", times(bs.MIX_2), "xor(z, z >> 31)"]
+
+
+def _poisson_sql(powers: int) -> str:
+    """The fixed Poisson tables as rows (k, word, v), from the words where the value steps up."""
+    rows = []
+    for k in range(powers):
+        table = bs.poisson_table(float(1 << k)).astype(int)
+        starts = [0, *(int(i) + 1 for i in (table[1:] != table[:-1]).nonzero()[0]), 65536]
+        rows += [f"({k}, {a}, {b}, {table[a]})" for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return f"ptab AS (SELECT k, unnest(range(a, b)) AS word, v FROM (VALUES {', '.join(rows)}) p(k, a, b, v))"
+
+
+def replicates_sql(values: dict[str, str], identity: list[str], samples: int, seed: int, block: str | None = None, powers: int = 9) -> str:
+    """CTEs up to ``reps`` (r, weight, values): the draws of ``bootstrap.replicate_sums`` over ``scored``."""
+    chain = lambda name, source, keep, x: ", ".join(
+        f"{name}{i} AS (SELECT {keep}, {e} AS z FROM {source if i == 0 else f'{name}{i - 1}'})" for i, e in enumerate(_mixed_sql(x)))
+    word = "CAST((z >> (16 * j)) & 65535 AS INT)"
+    hexed = lambda t: f"('0x' || substr(md5({t}), 1, 16))"
+    step = f"((g::UHUGEINT * {bs.STEP}::UHUGEINT) % {_2_64})::UBIGINT"
+    power = f"((h::UHUGEINT + (k::UHUGEINT * {bs.POWER_STEP}::UHUGEINT) % {_2_64}) % {_2_64})::UBIGINT"
+    b = f"substr(md5(concat_ws('|', '{seed}', 'block', CAST({block} AS VARCHAR))), 1, 16)" if block else "'0'"
+    ids = ", ".join(f"CAST(round({c} * 1e9) AS BIGINT) AS i{i}" for i, c in enumerate(identity))
+    marks = ", ".join(f"i{i}" for i in range(len(identity)))
+    text = f"concat_ws('|', '{seed}', b, {', '.join(f'CAST(i{i} AS VARCHAR)' for i in range(len(identity)))})"
+    reps = f"range(0, {-(-samples // 4)})"
+    return f"""{_poisson_sql(powers)},
+tup AS (SELECT b, {marks}, count(*) AS n, {', '.join(f'min({v}) AS {v}' for v in values)} FROM (SELECT {b} AS b, {ids}, {', '.join(f'{e} AS {v}' for v, e in values.items())} FROM scored) s0 GROUP BY b, {marks}),
+tid AS (SELECT row_number() OVER (ORDER BY b, {marks}) AS t, b, n, {', '.join(values)}, {hexed(text)}::UBIGINT AS h FROM tup),
+blk AS (SELECT DISTINCT b, ('0x' || b)::UBIGINT AS h FROM tup),
+{chain('bz', f'(SELECT b, h, g FROM blk, unnest({reps}) g1(g))', 'b, g', f'xor(h, {step})')},
+times AS (SELECT b, 4 * g + j AS r, {'v' if block else '1'} AS m FROM (SELECT b, g, j, {word} AS word FROM bz5, unnest(range(0, 4)) j1(j)) x JOIN ptab ON ptab.k = 0 AND ptab.word = x.word),
+need AS (SELECT t, k, g, h, max(((n * m) >> k) & 1) AS used FROM tid JOIN (SELECT b, r, m, r // 4 AS g FROM times WHERE r < {samples}) USING (b), unnest(range(0, {powers})) k1(k) WHERE n * m >= (1 << k) GROUP BY 1, 2, 3, 4),
+{chain('rz', '(SELECT * FROM need WHERE used = 1)', 't, k, g', f'xor({power}, {step})')},
+wrd AS (SELECT t, k, 4 * g + j AS r, {word} AS word FROM rz5, unnest(range(0, 4)) j1(j)),
+reps AS (SELECT w.r, sum(p.v)::DOUBLE AS weight, {', '.join(f'sum(p.v * tid.{v}) AS {v}' for v in values)}
+  FROM wrd w JOIN tid USING (t) JOIN times m ON m.b = tid.b AND m.r = w.r JOIN ptab p ON p.k = w.k AND p.word = w.word
+  WHERE w.r < {samples} AND (((tid.n * m.m) >> w.k) & 1) = 1 GROUP BY 1)"""
+
+
+def _interval_sql(statistics: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS metric, {r6(f'quantile_cont({e}, 0.025)')} AS lower_95, {r6(f'quantile_cont({e}, 0.5)')} AS median, {r6(f'quantile_cont({e}, 0.975)')} AS upper_95 FROM reps WHERE weight > 0"
+        for n, e in statistics.items())
+
+
+_PAIRED = {
+    "brier": f"{_brier('model_probability')} - {_brier('market_probability')}",
+    "log_loss": f"{_ll('model_probability')} - ({_ll('market_probability')})",
+}
+_PAIR_IDS = ["outcome", "model_probability", "market_probability"]
+_DELTAS_SQL = f"""r AS (SELECT 'baseline' AS role, market_probability AS p, outcome AS y FROM scored UNION ALL SELECT 'candidate', model_probability, outcome FROM scored),
+      b AS (SELECT role, {_BIN.format(p='p')} AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS r, sum(pow(p - y, 2)) AS sb, sum(-(y * ln(p) + (1 - y) * ln(1 - p))) AS sl FROM r GROUP BY 1, 2),
+      s AS (SELECT role, sum(sb) / sum(n) AS brier, sum(sl) / sum(n) AS log_loss, sum(n * abs(mp - r)) / sum(n) AS calibration_error, CAST(sum(n) AS BIGINT) AS rows FROM b GROUP BY 1)"""
+_DELTAS = ", ".join(f"{r6(f'b.{m}')} AS baseline_{m}, {r6(f'c.{m}')} AS candidate_{m}, {r6(f'c.{m} - b.{m}')} AS {m}_delta" for m in ("brier", "log_loss", "calibration_error"))
+
 ORACLES = {
+    "season_bootstrap": f"""WITH {SCORED_SQL}, {replicates_sql({'ef': 'pow(actual - projection, 2)', 'el': 'pow(actual - line, 2)'}, ['actual', 'projection', 'line'], 1000, 20_260_913, 'season')}
+      {_interval_sql({'final_minus_market_rmse': 'sqrt(ef / weight) - sqrt(el / weight)'})}""",
+    "paired_bootstrap": f"WITH {SCORED_SQL}, {replicates_sql(_PAIRED, _PAIR_IDS, 1000, 20_260_913)} {_interval_sql({'brier': 'brier / weight', 'log_loss': 'log_loss / weight'})}",
+    "ablation_acceptance": f"""WITH {SCORED_SQL}, {replicates_sql(_PAIRED, _PAIR_IDS, 2000, 202603)}, {_DELTAS_SQL},
+      u AS (SELECT quantile_cont(brier / weight, 0.975) AS bu, quantile_cont(log_loss / weight, 0.975) AS lu FROM reps WHERE weight > 0)
+      SELECT c.rows, {_DELTAS}, {r6('bu')} AS brier_upper, {r6('lu')} AS log_loss_upper,
+        c.brier < b.brier AND c.log_loss < b.log_loss AND bu < 0 AND lu < 0 AND c.calibration_error <= b.calibration_error AS meets_research_acceptance
+      FROM s c JOIN s b ON c.role = 'candidate' AND b.role = 'baseline', u""",
     "training_matrix": f"WITH {MATRIX_SQL} "
     + ft._rounded_sql(
         "game_id, season, week, half_life, prior_strength",

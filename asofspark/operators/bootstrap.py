@@ -1,13 +1,15 @@
 """Bootstrap intervals from map-side replicate sums.
 
-Row i of replicate r gets a Poisson weight drawn from a hash of (seed, r, row
-id), so a repeated task draws the same weights. Without a row id, rows with
-equal values are merged first and n of them draw one Poisson(n) weight, which
-has the distribution of n weights drawn apart. A block is drawn m times by a
-hash of (seed, r, block) in the task that holds its row, and its rows then draw
-Poisson(m) weights; blocks are neither collected nor limited. Only weighted
-sums per replicate leave a task; the shuffle carries replicates x statistics
-numbers, whatever the row count.
+Row i of replicate r gets a Poisson weight by a counter-based generator: 64 bits of
+the MD5 of (seed, row id), mixed with the number of the replicate, give a 16-bit
+word that is looked up in a fixed Poisson table. Any engine with MD5 and 64-bit
+arithmetic draws the same weights, and a repeated task does. Without a row id, rows
+that agree in some columns (to nine decimals) are merged first and n of them draw one
+Poisson(n) weight, which has the distribution of n weights drawn apart. A block is
+drawn m times by the hash of (seed, block) in the task that holds its row, and its
+rows then draw Poisson(m) weights; blocks are neither collected nor limited. Only
+weighted sums per replicate leave a task; the shuffle carries replicates x
+statistics numbers, whatever the row count.
 """
 
 from __future__ import annotations
@@ -17,25 +19,27 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asofspark.fixed_values import BOOTSTRAP_SAMPLES, BOOTSTRAP_SEED
 
 _CHUNK = 512
+# constants of the generator: replicate step, the mixer's multipliers, step of the powers of two
+STEP, MIX_1, MIX_2, POWER_STEP = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03
 
 
 def _hash_words(ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Four 16-bit words per (row, group of four replicates)."""
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64)[:, None] ^ (groups.astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = ids.astype(np.uint64)[:, None] ^ (groups.astype(np.uint64)[None, :] * np.uint64(STEP))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
         x ^= x >> np.uint64(31)
     return x.view(np.uint16)
 
 
-def _poisson_table(mean: float) -> np.ndarray:
+def poisson_table(mean: float) -> np.ndarray:
     """Poisson quantiles at the 65,536 midpoints of a 16-bit word; by the normal limit for large means."""
     at = (np.arange(65536) + 0.5) / 65536
     if mean > 1024:
@@ -61,13 +65,19 @@ class _Draws:
             if not some.any():
                 continue
             if k not in self.tables:
-                self.tables[k] = _poisson_table(float(1 << k))
+                self.tables[k] = poisson_table(float(1 << k))
             with np.errstate(over="ignore"):
-                words = _hash_words(ids.astype(np.uint64) + np.uint64(k) * np.uint64(0xD1B54A32D192ED03), groups)[:, :samples]
+                words = _hash_words(ids.astype(np.uint64) + np.uint64(k) * np.uint64(POWER_STEP), groups)[:, :samples]
             out[some] += self.tables[k][words[some]]
         return out
 
 
+def draw_id(seed: int, *parts: Column) -> Column:
+    """The first 16 hex digits of the MD5 of seed and parts; null parts count as the word null."""
+    texts = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *texts).cast("binary")), 1, 16)
+
+
 def replicate_sums(
     df: DataFrame,
     row_id: str | None,
@@ -75,10 +85,12 @@ def replicate_sums(
     block: str | None = None,
     samples: int = BOOTSTRAP_SAMPLES,
     seed: int = BOOTSTRAP_SEED,
+    identity: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per replicate: Σ weight and Σ weight·value for every named SQL expression.
 
-    ``row_id`` names a unique column, or is None to merge rows with equal values.
+    ``row_id`` names a unique column, or is None to merge rows that agree in
+    ``identity`` (the values, where it is empty).
     """
     names = list(values)
     reps = np.arange(samples)
@@ -89,7 +101,8 @@ def replicate_sums(
         draw = _Draws()
         for pdf in batches:
             x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
-            ids, blocks, n = pdf["_h"].to_numpy(), pdf["_b"].to_numpy(), pdf["_n"].to_numpy(dtype=np.int64)
+            ids, blocks = (np.array([int(h, 16) for h in pdf[c]], np.uint64) for c in ("_h", "_b"))
+            n = pdf["_n"].to_numpy(dtype=np.int64)
             for start in range(0, len(pdf), _CHUNK):
                 part = slice(start, start + _CHUNK)
                 means = np.broadcast_to(n[part][:, None], (len(ids[part]), samples))
@@ -102,12 +115,14 @@ def replicate_sums(
 
     schema = ", ".join(["replicate int", "weight double", *[f"{n} double" for n in names]])
     exprs = [F.expr(e).cast("double").alias(n) for n, e in values.items()]
-    where = F.xxhash64(F.lit(seed), F.lit("block"), F.col(block)).alias("_b") if block else F.lit(0).cast("bigint").alias("_b")
+    where = (draw_id(seed, F.lit("block"), F.col(block)) if block else F.lit("0")).alias("_b")
     if row_id is None:
-        prepared = df.select(where, *exprs).groupBy("_b", *names).agg(F.count(F.lit(1)).alias("_n"))
-        prepared = prepared.withColumn("_h", F.xxhash64(F.lit(seed), "_b", *names))
+        same = [F.round(F.expr(e).cast("double") * 1e9).cast("bigint").alias(f"_i{i}") for i, e in enumerate(identity or values.values())]
+        marks = [f"_i{i}" for i in range(len(same))]
+        prepared = df.select(where, *same, *exprs).groupBy("_b", *marks).agg(F.count(F.lit(1)).alias("_n"), *[F.min(n).alias(n) for n in names])
+        prepared = prepared.withColumn("_h", draw_id(seed, F.col("_b"), *[F.col(m) for m in marks]))
     else:
-        prepared = df.select(where, *exprs, F.lit(1).cast("bigint").alias("_n"), F.xxhash64(F.lit(seed), F.col(row_id)).alias("_h"))
+        prepared = df.select(where, *exprs, F.lit(1).cast("bigint").alias("_n"), draw_id(seed, F.lit("row"), F.col(row_id)).alias("_h"))
     partial = prepared.mapInPandas(fold, schema)
     return partial.groupBy("replicate").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(n) for n in names])
 
@@ -125,7 +140,7 @@ def interval(replicates: DataFrame, statistics: dict[str, str]) -> DataFrame:
 def rmse_difference(df: DataFrame, row_id: str | None, actual: str, final: str, line: str, season: str, samples: int = BOOTSTRAP_SAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Season-block bootstrap of RMSE(final) - RMSE(line)."""
     sums = replicate_sums(
-        df, row_id, {"ef": f"pow({actual} - {final}, 2)", "el": f"pow({actual} - {line}, 2)"}, season, samples, seed
+        df, row_id, {"ef": f"pow({actual} - {final}, 2)", "el": f"pow({actual} - {line}, 2)"}, season, samples, seed, (actual, final, line)
     )
     return interval(sums, {"final_minus_market_rmse": "sqrt(ef / weight) - sqrt(el / weight)"})
 
@@ -145,6 +160,6 @@ def paired_scores(df: DataFrame, row_id: str | None, outcome: str, model: str, m
             "brier": f"pow({clipped(model)} - {outcome}, 2) - pow({clipped(market)} - {outcome}, 2)",
             "log_loss": f"{loss(model)} - ({loss(market)})",
         },
-        None, samples, seed,
+        None, samples, seed, (outcome, model, market),
     )
     return interval(sums, {"brier": "brier / weight", "log_loss": "log_loss / weight"})
