@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from asofspark.fixed_values import CLOSE_WINDOW_EARLIEST, CLOSE_WINDOW_LATEST, FRESHNESS_MINUTES
+from asofspark.fixed_values import FRESHNESS_MINUTES
 from asofspark.functions.scalars import local_week_start
 from asofspark.operators import market as mk
 from asofspark.operators.ledger import Ledger
-from asofspark.session import checkpointed
 from asofspark.sources.readers import BOARD
 
 
@@ -65,50 +64,17 @@ def once_per_key(captures: DataFrame, key: list[str], ts: str, delay: str = "8 d
     return captures.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def weekly_counts(captures: DataFrame, ts: str, zone: str, limit: int, keys: list[str] | None = None) -> DataFrame:
-    """Captures per local Tuesday week and whether the quota is reached."""
-    return captures.groupBy(local_week_start(ts, zone).alias("bucket"), *(keys or [])).agg(
-        F.count(F.lit(1)).alias("captures"), (F.count(F.lit(1)) >= limit).alias("quota_reached")
-    )
-
-
-def latest_in_window(
-    quotes: DataFrame, keys: list[str], start: str, at: str, payload: list[str],
-    latest: float = CLOSE_WINDOW_LATEST, earliest: float = CLOSE_WINDOW_EARLIEST, tie: str | None = None,
-) -> DataFrame:
-    """Running latest quote per contract inside the pre-event window.
+def weekly_counts(captures: DataFrame, ts: str, zone: str, limit: int, keys: list[str] | None = None, delay: str = "1 day") -> DataFrame:
+    """Captures per local Tuesday week and whether the quota is reached.
 
-    A plain aggregate: the state per contract is one row.
+    The weeks are event-time windows over local time, so in update mode a week's
+    state goes once the watermark has passed its end.
     """
-    inside = quotes.filter(mk.in_close_window(start, at, latest, earliest))
-    order = F.struct(at, tie) if tie else F.col(at)
-    best = inside.groupBy(*keys).agg(F.max_by(F.struct(at, *payload), order).alias("_r"))
-    return best.select(*keys, "_r.*")
-
-
-def line_movement_batches(out: str, state: str, keys: list[str], ts: str, line: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: change of the line against the contract's previous snapshot.
-
-    The state is one row per contract (last time and line), written per batch
-    id, so a repeated batch reads the same state and rewrites the same files.
-    Inside a batch the batch operator splits a hot contract over time; no
-    contract's rows are gathered in one task.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*keys, ts, line).withColumn("_new", F.lit(True))
-        known = rows
-        if batch_id > 0:
-            held = spark.read.schema(rows.drop("_new").schema).parquet(f"{state}/{batch_id - 1}")
-            known = rows.unionByName(held.withColumn("_new", F.lit(False)))
-        known = checkpointed(known)
-        moved = mk.line_movement(known, keys, ts, line).filter("_new").drop("_new")
-        moved.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = known.groupBy(*keys).agg(F.max_by(F.struct(ts, line), F.struct(ts, line)).alias("_r")).select(*keys, "_r.*")
-        last.write.mode("overwrite").parquet(f"{state}/{batch_id}")
-
-    return run
+    local = captures.withColumn("_local", F.from_utc_timestamp(F.col(ts), zone)).withWatermark("_local", delay)
+    week = F.window("_local", "7 days", startTime="5 days")  # the epoch fell on a Thursday
+    return local.groupBy(week.alias("_week"), *(keys or [])).agg(
+        F.count(F.lit(1)).alias("captures"), (F.count(F.lit(1)) >= limit).alias("quota_reached")
+    ).select(F.to_date("_week.start").alias("bucket"), *(keys or []), "captures", "quota_reached")
 
 
 def per_batch(transform: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

@@ -2,11 +2,14 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from asofspark.operators import market as mk
 from asofspark.operators.ledger import Ledger
 from asofspark.sources import readers as rd
 from asofspark.streaming import quotes as st
+from asofspark.streaming import stateful as stf
+from asofspark.streaming import upsert as ups
 
 T0 = datetime(2026, 9, 13, 12)
 
@@ -34,18 +37,6 @@ def test_boards_stream_to_the_batch_quotes(spark, tmp_path):
     assert sorted(spark.read.parquet(str(tmp_path / "out")).select(*batch.columns).collect()) == sorted(batch.collect())
 
 
-def test_line_movement_over_batches_equals_batch(spark, tmp_path):
-    schema = "k string, t timestamp, line double"
-    rows = [("a" if i % 3 else "b", T0 + timedelta(minutes=i), float((i * 7) % 5)) for i in range(30)]
-    land(spark, str(tmp_path / "in"), [rows[:10], rows[10:20], rows[20:]], schema)
-    body = st.line_movement_batches(str(tmp_path / "out"), str(tmp_path / "state"), ["k"], "t", "line")
-    st.drain_batches(stream(spark, str(tmp_path / "in"), schema), body, str(tmp_path / "ck"))
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    want = mk.line_movement(spark.createDataFrame(rows, schema), ["k"], "t", "line")
-    key = lambda r: (r["k"], r["t"])
-    assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
-
-
 def test_ledger_sink_survives_a_replayed_batch(spark, tmp_path):
     schema = "id string, value double"
     land(spark, str(tmp_path / "in"), [[("a", 1.0)], [("b", 2.0), ("a", 1.0)]], schema)
@@ -81,19 +72,67 @@ def test_consensus_per_micro_batch(spark, tmp_path):
     assert got == {"s1": "VALID", "s2": "INCOMPARABLE_POINTS"}
 
 
-def test_latest_in_window_and_weekly_quota(spark, tmp_path):
-    schema = "k string, start timestamp, t timestamp, v double"
+def feed(spark, tmp_path, schema, parts, start):
+    """Lands part after part and runs the stream to its end after each; state lives in the checkpoint."""
+    own = stf.stateful_session(spark)
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        start(own.readStream.schema(schema).parquet(str(tmp_path / "in")))
+
+
+def test_ordered_movement_corrects_late_rows_and_refuses_later_ones(spark, tmp_path):
+    schema = "k string, t timestamp, line double, closes timestamp"
+    at = lambda m: T0 + timedelta(minutes=m)
+    end = at(300)
+    parts = [
+        [("a", at(0), 1.0, end), ("b", at(1), 5.0, end), ("a", at(20), 3.0, end)],
+        [("a", at(10), 2.0, end), ("a", at(20), 2.5, end), ("b", at(60), 6.0, end)],  # late, but within the delay; equal times
+        [("a", at(5), 9.0, end), ("a", at(90), 4.0, end), ("a", at(299), 8.0, end)],  # refused: emitted beyond it
+        [("a", at(301), 7.0, end), ("z", at(900), 0.0, at(9000))],  # refused: closed
+        [("z", at(2000), 0.0, at(9000))],
+    ]
+    start = lambda s: st.drain(
+        stf.ordered_movement(s, ["k"], "t", "line", F.col("closes"), "30 minutes"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    feed(spark, tmp_path, schema, parts, start)
+    got = sorted((r.k, r.t, r.line, r.previous_line, r.late) for r in spark.read.parquet(str(tmp_path / "out")).filter("k <> 'z'").collect() if not r.late)
+    a = [(0, 1.0), (10, 2.0), (20, 2.5), (20, 3.0), (90, 4.0), (299, 8.0)]
+    expected = [("a", at(m), v, a[i - 1][1] if i else None, False) for i, (m, v) in enumerate(a)]
+    assert got == expected + [("b", at(1), 5.0, None, False), ("b", at(60), 6.0, 5.0, False)]
+    late = [(r.k, r.t, r.previous_line) for r in spark.read.parquet(str(tmp_path / "out")).filter("late").collect()]
+    assert set(late) <= {("a", at(5), None), ("a", at(301), None)} and ("a", at(301), None) in late
+
+
+def test_closing_quote_comes_out_once(spark, tmp_path):
+    schema = "k string, start timestamp, t timestamp, n bigint, v double"
     kick = T0 + timedelta(hours=5)
-    parts = [[("a", kick, kick - timedelta(minutes=100), 1.0), ("a", kick, kick - timedelta(minutes=60), 2.0)], [("a", kick, kick - timedelta(minutes=4), 3.0), ("a", kick, kick - timedelta(minutes=30), 4.0)]]
-    land(spark, str(tmp_path / "in"), parts, schema)
-    src = stream(spark, str(tmp_path / "in"), schema)
-    out = []
-    keep = st.per_batch(lambda df: df, lambda df, i: out.append([r.asDict() for r in df.collect()]))
-    st.drain_batches(st.latest_in_window(src, ["k"], "start", "t", ["v"]), keep, str(tmp_path / "ck1"), "complete")
-    assert [r["v"] for r in out[-1]] == [4.0]
-    out.clear()
-    st.drain_batches(st.weekly_counts(src, "t", "America/Toronto", 4), keep, str(tmp_path / "ck2"), "complete")
-    assert [(r["captures"], r["quota_reached"]) for r in out[-1]] == [(4, True)]
+    at = lambda m: kick - timedelta(minutes=m)
+    parts = [
+        [("a", kick, at(100), 1, 1.0), ("a", kick, at(60), 2, 2.0)],
+        [("a", kick, at(30), 3, 4.0), ("a", kick, at(30), 4, 5.0), ("b", kick, at(80), 5, 6.0)],
+        [("z", kick + timedelta(days=9), T0 + timedelta(days=2), 6, 0.0)],
+        [("a", kick, at(20), 7, 9.0), ("z", kick + timedelta(days=9), T0 + timedelta(days=3), 8, 0.0)],  # after the close: refused
+    ]
+    closes = F.col("start") - F.expr("INTERVAL 5 MINUTES")
+    start = lambda s: st.drain(stf.closing_quote(s, ["k", "start"], "t", closes, ["v"], "n"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    feed(spark, tmp_path, schema, parts, start)
+    got = sorted((r.k, r.t, r.v) for r in spark.read.parquet(str(tmp_path / "out")).filter("k <> 'z'").collect())
+    assert got == [("a", at(30), 5.0), ("b", at(80), 6.0)]
+
+
+def test_weekly_quota_by_update_into_a_keyed_sink(spark, tmp_path):
+    schema = "k string, t timestamp"
+    sink = ups.UpsertSink(str(tmp_path / "out"), ("bucket",))
+    parts = [[("a", T0), ("a", T0 + timedelta(hours=1))], [("b", T0 + timedelta(hours=2)), ("c", T0 + timedelta(days=20))]]
+    feed(spark, tmp_path, schema, parts, lambda s: st.drain_batches(st.weekly_counts(s, "t", "America/Toronto", 3), sink, str(tmp_path / "ck"), "update"))
+    want = [(3, True), (1, False)]
+    assert [(r.captures, r.quota_reached) for r in sink.read(spark).orderBy("bucket").collect()] == want
+    first = spark.read.parquet(str(tmp_path / "out" / "delta-000000000000"))
+    sink(spark.createDataFrame(first.collect(), first.schema), 0)  # a repeated batch id changes nothing
+    assert [(r.captures, r.quota_reached) for r in sink.read(spark).orderBy("bucket").collect()] == want
+    sink.compact(spark)
+    sink.compact(spark)
+    assert [(r.captures, r.quota_reached) for r in sink.read(spark).orderBy("bucket").collect()] == want
 
 
 def test_freshness_rule_on_a_stream(spark, tmp_path):
