@@ -4,13 +4,17 @@ A ledger is a folder of run folders plus a manifest folder with one row per
 published run; readers see only published runs, and publishing is the last
 step, so a failed run leaves the ledger as it was. One writer at a time is
 assumed: plain files offer no lock.
+
+A run is laid out by key bucket and period, and an index holds a bitmap of hashed keys
+for each part. An append compares the bitmaps of its own keys with those of the same
+bucket and period, and opens only the parts that may hold one of its keys.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +28,17 @@ MANIFEST = T.StructType(
         T.StructField("published_at", T.TimestampType(), False),
     ]
 )
+PART = ["_bucket", "_period"]
+INDEX = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("_bucket", T.IntegerType()),
+        T.StructField("_period", T.StringType()),
+        T.StructField("keys", T.BinaryType()),
+    ]
+)
+BITS = 32768
+"""Bits of a part's bitmap: those of Spark's bitmap functions."""
 
 
 class LedgerConflict(ValueError):
@@ -36,6 +51,9 @@ class Ledger:
     schema: T.StructType
     keys: tuple[str, ...]
     transient: tuple[str, ...] = ("retrieved_at_utc", "content_hash")
+    period: str | None = None
+    """A key column whose values come in runs, such as a season or a week."""
+    buckets: int = 16
 
     def runs(self, spark: SparkSession) -> DataFrame:
         return _read_or_empty(spark, f"{self.path}/manifest", MANIFEST)
@@ -45,10 +63,40 @@ class Ledger:
 
         The run id is the partition column, so unpublished folders are pruned.
         """
-        stored = T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType())])
+        stored = T.StructType([*self.schema.fields, *INDEX.fields[:3]])
         rows = _read_or_empty(spark, f"{self.path}/runs", stored)
         return rows.join(self.runs(spark).select("run_id"), "run_id", "left_semi").select(*self.schema.names)
 
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        period = F.lit("all") if self.period is None else F.coalesce(F.col(self.period).cast("string"), F.lit("none"))
+        return rows.withColumns({"_bucket": F.pmod(self._hash("bucket"), F.lit(self.buckets)).cast("int"), "_period": period})
+
+    def _hash(self, seed: str) -> Column:
+        return F.xxhash64(F.lit(seed), *[F.col(k) for k in self.keys])
+
+    def _bitmaps(self, placed: DataFrame) -> DataFrame:
+        """One bitmap of hashed keys per bucket and period; its size does not follow the rows."""
+        bit = F.bitmap_bit_position(F.pmod(self._hash("bit"), F.lit(BITS)) + 1)
+        return placed.groupBy(*PART).agg(F.bitmap_construct_agg(bit).alias("keys"))
+
+    def parts_that_may_hold(self, batch: DataFrame) -> list[tuple[str, int, str]]:
+        """(run, bucket, period) of the published parts that share a bit with the batch's keys; names alone reach the driver."""
+        spark = batch.sparkSession
+        mine = self._bitmaps(self._placed(batch.select(*self.schema.names)))
+        index = _read_or_empty(spark, f"{self.path}/index", INDEX)
+        near = index.join(self.runs(spark).select("run_id"), "run_id", "left_semi").join(mine.withColumnRenamed("keys", "_mine"), PART)
+        both = near.select("run_id", *PART, F.explode(F.array("keys", "_mine")).alias("k"))
+        shared = both.groupBy("run_id", *PART).agg(F.bitmap_count(F.bitmap_and_agg("k")).alias("n")).filter("n > 0")
+        return [(r[0], r[1], r[2]) for r in shared.select("run_id", *PART).collect()]
+
+    def candidates(self, batch: DataFrame) -> DataFrame:
+        """The rows of the parts that may hold a key of the batch; no other file is opened."""
+        spark = batch.sparkSession
+        folders = [f"{self.path}/runs/run_id={_escaped(spark, run)}/_bucket={b}/_period={_escaped(spark, p)}" for run, b, p in self.parts_that_may_hold(batch)]
+        if not folders:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*folders)
+
     def append(self, batch: DataFrame, run_id: str) -> dict[str, int]:
         """Insert new keys, count unchanged ones, fail when content differs.
 
@@ -58,14 +106,17 @@ class Ledger:
         done = self.runs(spark).filter(F.col("run_id") == run_id).select("rows").head()
         if done is not None:
             return {"inserted": 0, "unchanged": int(done["rows"])}
-        graded = checkpointed(classify(batch.select(*self.schema.names), self.read(spark), self.keys, self.transient))
+        batch = checkpointed(batch.select(*self.schema.names))
+        graded = checkpointed(classify(batch, self.candidates(batch), self.keys, self.transient))
         counts = graded.groupBy("_status").agg(F.count(F.lit(1)).alias("n")).collect()
         by = {r["_status"]: r["n"] for r in counts}
         if by.get("CONFLICT"):
             sample = graded.filter("_status = 'CONFLICT'").select(*self.keys).limit(3).collect()
             raise LedgerConflict(f"{by['CONFLICT']} rows differ from the ledger, e.g. {[tuple(r) for r in sample]}")
-        new = graded.filter("_status = 'NEW'").select(*self.schema.names)
-        new.write.mode("overwrite").parquet(f"{self.path}/runs/run_id={run_id}", compression="zstd")
+        new = self._placed(graded.filter("_status = 'NEW'").select(*self.schema.names))
+        new.hint("rebalance", *PART).write.mode("overwrite").partitionBy(*PART).parquet(f"{self.path}/runs/run_id={run_id}", compression="zstd")
+        marks = self._bitmaps(new).select(F.lit(run_id).alias("run_id"), *PART, "keys")
+        marks.coalesce(1).write.mode("append").parquet(f"{self.path}/index")
         row = spark.range(1).select(
             F.lit(run_id).alias("run_id"), F.lit(by.get("NEW", 0)).cast("long").alias("rows"), F.current_timestamp().alias("published_at")
         )
@@ -73,6 +124,11 @@ class Ledger:
         return {"inserted": by.get("NEW", 0), "unchanged": by.get("UNCHANGED", 0)}
 
 
+def _escaped(spark: SparkSession, name: str) -> str:
+    """A partition value as it stands in a folder's name."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
+
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofspark.functions.scalars import content_hash, dataset_digest
@@ -119,24 +119,66 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{row['f']}")
 
 
-def capture(tables: dict[str, tuple[DataFrame, str]], path: str, capture_id: str) -> DataFrame:
-    """Write several sources under one capture id with a profile row per dataset.
+class CaptureConflict(ValueError):
+    """A capture id that exists with other content."""
 
-    Each entry is (frame, availability time column or None).
+
+_CAPTURES = "capture_id string, dataset string, folder string, rows bigint, digest string, schema_hash string, available_at timestamp, captured_at timestamp"
+
+
+def captures(spark: SparkSession, path: str) -> DataFrame:
+    """The profile rows of every capture."""
+    if not _exists(spark, f"{path}/_profile"):
+        return spark.createDataFrame([], _CAPTURES)
+    return spark.read.schema(_CAPTURES).parquet(f"{path}/_profile")
+
+
+def capture(tables: dict[str, tuple[DataFrame, str]], path: str, capture_id: str, captured_at: Column | None = None) -> DataFrame:
+    """Keep several sources under one capture id, with a profile row per dataset; a capture never changes.
+
+    Each entry is (frame, availability time column or None). Data lie in a folder of
+    their own and count once the profile rows are written, in one file, at the end. A
+    capture id that exists is a repeat: the same content does nothing and returns the first
+    profile, other content is refused (CaptureConflict).
     """
+    spark = next(iter(tables.values()))[0].sparkSession
+    known = {r["dataset"]: r["digest"] for r in captures(spark, path).filter(F.col("capture_id") == capture_id).select("dataset", "digest").collect()}
+    if known:
+        differ = sorted(set(known) ^ set(tables)) + [n for n, (df, _) in tables.items() if n in known and _facts(df).head()["digest"] != known[n]]
+        if differ:
+            raise CaptureConflict(f"capture {capture_id} exists with other content of {differ}")
+        return captures(spark, path).filter(F.col("capture_id") == capture_id)
     rows = None
     for name, (df, available) in tables.items():
-        target = f"{path}/{name}/capture_id={capture_id}"
-        write_parquet(df, target, mode="overwrite")
-        stored = df.sparkSession.read.parquet(target)
+        stored, folder = _stage(df, f"{path}/{name}", "capture")
         signature = ",".join(f"{n}:{t}" for n, t in sorted(stored.dtypes))
-        latest = F.max(available).cast("timestamp") if available else F.lit(None).cast("timestamp")
-        row = stored.agg(F.count(F.lit(1)).alias("rows"), latest.alias("available_at")).select(
-            F.lit(capture_id).alias("capture_id"), F.lit(name).alias("dataset"), "rows", F.sha2(F.lit(signature), 256).alias("schema_hash"), "available_at"
+        latest = stored.agg((F.max(available).cast("timestamp") if available else F.lit(None).cast("timestamp")).alias("available_at"))
+        row = _facts(stored).select(
+            F.lit(capture_id).alias("capture_id"), F.lit(name).alias("dataset"), F.lit(folder).alias("folder"), "rows", "digest",
+            F.sha2(F.lit(signature), 256).alias("schema_hash"), latest.scalar().alias("available_at"),
+            (F.current_timestamp() if captured_at is None else captured_at.cast("timestamp")).alias("captured_at"),
         )
         rows = row if rows is None else rows.unionByName(row)
-    rows.write.mode("append").parquet(f"{path}/_profile")
-    return rows
+    rows.coalesce(1).write.mode("append").parquet(f"{path}/_profile")
+    return captures(spark, path).filter(F.col("capture_id") == capture_id)
+
+
+def as_known_at(spark: SparkSession, path: str, dataset: str, keys: list[str], known: Column, event_time: str | None = None, until: Column | None = None) -> DataFrame:
+    """A dataset as it was known at a time: per key the row of the latest capture taken by then.
+
+    With ``event_time`` and ``until``, of those rows the ones whose event lies no later: both times are cut on
+    their own. Captures taken later are not opened.
+    """
+    taken = captures(spark, path).filter((F.col("dataset") == dataset) & (F.col("captured_at") <= known.cast("timestamp")))
+    rows = None
+    for r in taken.select("folder", "capture_id", F.unix_micros("captured_at").alias("at")).orderBy("at", "capture_id").collect():
+        part = spark.read.parquet(f"{path}/{dataset}/{r['folder']}").withColumn("_known", F.struct(F.lit(r["at"]).alias("a"), F.lit(r["capture_id"]).alias("c")))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        raise FileNotFoundError(f"no capture of {dataset} was taken by then")
+    rest = [c for c in rows.columns if c not in (*keys, "_known")]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_known").alias("_r")).select(*keys, "_r.*")
+    return latest.filter(F.col(event_time) <= until) if event_time and until is not None else latest
 
 
 def dataset_profile(df: DataFrame, name: str) -> DataFrame:

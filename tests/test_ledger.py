@@ -33,7 +33,7 @@ def test_append_is_idempotent_and_refuses_changes(spark, tmp_path):
 def test_unpublished_runs_stay_invisible(spark, tmp_path):
     book = Ledger(str(tmp_path / "l"), ROW, ("id",))
     book.append(batch(spark, ("a", 1.0, "t")), "r1")
-    batch(spark, ("x", 1.0, "t")).write.parquet(f"{book.path}/runs/run_id=lost")
+    batch(spark, ("x", 1.0, "t")).write.parquet(f"{book.path}/runs/run_id=lost/_bucket=0/_period=all")
     assert [r["id"] for r in book.read(spark).collect()] == ["a"]
     assert book.append(batch(spark, ("x", 2.0, "t")), "lost")["inserted"] == 1
     assert sorted((r["id"], r["value"]) for r in book.read(spark).collect()) == [("a", 1.0), ("x", 2.0)]
@@ -234,3 +234,41 @@ def test_readiness_reasons(spark):
     assert ev.readiness(done, evals.limit(1), markets, 1).head()["verdict"] == "DEFERRED_MISSING_EVALUATIONS"
     assert ev.readiness(done, evals, markets, 2).head()["verdict"] == "DEFERRED_INSUFFICIENT_SAMPLE"
     assert ev.readiness(done, evals, markets, 1).head()["verdict"] == "READY"
+
+
+def test_an_append_opens_only_the_parts_that_may_hold_its_keys(spark, tmp_path):
+    """Files of other periods are spoilt; an append that opened one would fail."""
+    rows = spark.range(4000).select(F.col("id").cast("int").alias("id"), (F.col("id") % 4 + 2020).cast("int").alias("season"), F.lit(1.0).alias("v"))
+    book = Ledger(str(tmp_path / "l"), rows.schema, ("id", "season"), (), period="season", buckets=4)
+    for s in (2020, 2021, 2022):
+        assert book.append(rows.filter(F.col("season") == s), f"run {s}") == {"inserted": 1000, "unchanged": 0}
+    again = rows.filter("season = 2022 AND id < 400")
+    assert {(r, p) for r, _, p in book.parts_that_may_hold(again)} == {("run 2022", "2022")}
+    assert book.parts_that_may_hold(rows.filter("season = 2023")) == []
+    one = rows.filter("id = 2")
+    assert len(book.parts_that_may_hold(one)) == 1
+    for f in (tmp_path / "l" / "runs").rglob("*.parquet"):
+        if "_period=2022" not in str(f):
+            f.write_bytes(b"spoilt")
+    assert book.append(again, "again") == {"inserted": 0, "unchanged": again.count()}
+    assert book.append(rows.filter("season = 2023"), "new") == {"inserted": 1000, "unchanged": 0}
+    with pytest.raises(LedgerConflict):
+        book.append(again.withColumn("v", F.lit(2.0)), "other")
+
+
+def test_a_capture_never_changes(spark, tmp_path):
+    path = str(tmp_path / "c")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    second = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
+    one = pb.capture({"rows": (first, None)}, path, "c1", F.lit("2026-01-01")).collect()
+    pb.capture({"rows": (second, None)}, path, "c2", F.lit("2026-01-05"))
+    assert pb.capture({"rows": (first.repartition(3), None)}, path, "c1").collect() == one
+    assert pb.captures(spark, path).count() == 2
+    for tables in ({"rows": (second, None)}, {"rows": (first, None), "more": (second, None)}):
+        with pytest.raises(pb.CaptureConflict):
+            pb.capture(tables, path, "c1")
+    read = lambda t: sorted(map(tuple, pb.as_known_at(spark, path, "rows", ["id"], F.lit(t)).collect()))
+    assert read("2026-01-04") == [(1, "a"), (2, "b")]
+    assert read("2026-01-05") == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(FileNotFoundError):
+        read("2025-12-31")
