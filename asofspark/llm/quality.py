@@ -1,9 +1,16 @@
 """Line-first quality rules, in SQL expressions alone.
 
-Every line is judged on its own: closing punctuation, navigation and symbols,
-stutter, capitals, and boilerplate (known phrases, or a repetition of an earlier
-line). Failed lines go, and a document that loses too much of its text goes
-with them. A document is one row from scan to result; there is no shuffle.
+Every line is judged on its own: closing punctuation, symbols, stutter, capitals,
+navigation (``NAV_RUN`` short lines in a row without a sentence's end), and
+boilerplate: known phrases, a repetition of an earlier line, or a short line that the
+corpus shows among many different neighbours. Failed lines go, and a document
+that loses too much of its text goes with them.
+
+Boilerplate is learned from all documents, in any language: a line counts by the
+different pairs of lines around it, so copies of a text count once. A learned line needs
+one such pair for every ``DOCUMENTS_A_CONTEXT`` documents, which bounds the learned
+lines by that number times the lines of a mean document, however large the corpus.
+Texts are read and judged in one pass; only hashes of lines are shuffled.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofspark.llm.common import column_of, text_of
+from asofspark.llm.common import checkpointed, column_of, content_key, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -25,6 +32,13 @@ MIN_KEPT_SHARE = 0.5
 LONG_LINE = 60
 """From so many characters on a line must close like a sentence."""
 
+NAV_WORDS, NAV_RUN = 5, 5
+"""A line of so few words is short; so many short lines in a row are navigation."""
+LEARNED_WORDS = 15
+"""Longer lines are never learned as boilerplate."""
+LEAST_CONTEXTS, DOCUMENTS_A_CONTEXT = 20, 5_000
+"""Different neighbourhoods a learned line has at least, alone and by the number of documents."""
+
 # fixed values: phrases of site furniture, lower-cased
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "javascript is disabled", "lorem ipsum",
@@ -57,6 +71,32 @@ def measured(line: Column, suspect: Column) -> Column:
     )
 
 
+def navigation(measured_lines: Column) -> Column:
+    """For each measured line n, where it lies in a run of short open lines, or another letter."""
+    flags = F.array_join(F.transform(measured_lines, lambda m: F.when((m["words"]["all"] <= NAV_WORDS) & ~m["closed"], "s").otherwise("l")), "")
+    inside = "|".join(f"(?<=s{{{k}}})s(?=s{{{NAV_RUN - 1 - k}}})" for k in range(NAV_RUN))
+    return F.split(F.regexp_replace(flags, inside, "n"), "")
+
+
+def line_places(body: DataFrame) -> DataFrame:
+    """(key, h, around) of every line with a word that is short enough to be learned; written."""
+    has_word = lambda line: F.regexp_like(line, F.lit(_WORD_START))
+    lines = body.select("key", F.transform(F.filter(F.split("text", "\n", -1), has_word), lambda x: F.xxhash64(x)).alias("hs"), F.filter(F.split("text", "\n", -1), has_word).alias("lines"))
+    around = lambda i: F.xxhash64(F.coalesce(F.get("hs", i - 1), F.lit(1)), F.coalesce(F.get("hs", i + 1), F.lit(2)))
+    few = lambda line: F.array_size(words_of(line)) <= LEARNED_WORDS
+    found = F.transform("lines", lambda line, i: F.when(few(line), F.struct(F.get("hs", i).alias("h"), around(i).alias("around"))))
+    return checkpointed(lines.select("key", F.inline(F.filter(found, lambda p: p.isNotNull()))))
+
+
+def learned_lines(body: DataFrame) -> DataFrame:
+    """(key, learned): per text the hashes of its lines that the corpus shows to be boilerplate."""
+    places = line_places(body)
+    least = body.agg(F.greatest(F.lit(LEAST_CONTEXTS), F.ceil(F.count(F.lit(1)) / DOCUMENTS_A_CONTEXT)).alias("n"))
+    contexts = places.select("h", "around").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    common = contexts.filter(F.col("n") >= least.scalar()).select("h")
+    return places.join(common, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("learned"))
+
+
 def passes(m: Column) -> Column:
     """Whether a measured line with a word passes: closed if long, few symbols, letters, not shouting, no stutter, no phrase."""
     w = m["words"]
@@ -75,15 +115,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
     Null texts have no words: all counts are zero and the base rule fails. A
     line that equals an earlier line of its document is boilerplate. Every row
-    appears, equal rows too; other columns are not read.
+    appears, equal rows too; an empty table gives none; other columns are not read.
     """
-    body = docs.select(column_of(docs, id_col).alias("doc_id"), text_of(docs, text).alias("text"))
+    body = docs.select(column_of(docs, id_col).alias("doc_id"), content_key(text_of(docs, text)).alias("key"), text_of(docs, text).alias("text"))
+    learned = learned_lines(body)
     has_word = lambda line: F.regexp_like(line, F.lit(_WORD_START))
     suspect = F.lit(False)
     for p in BOILERPLATE:
         suspect = suspect | F.contains(F.lower("text"), F.lit(p))
     rows = body.select(
         "doc_id",
+        "key",
         "text",
         suspect.alias("suspect"),
         words_of(F.col("text")).alias("words"),
@@ -92,6 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     n = F.size("words")
     rows = rows.select(
         "doc_id",
+        "key",
         "suspect",
         "lines",
         F.array_distinct("lines").alias("first_lines"),
@@ -107,13 +150,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         F.when(F.size("hashes") > WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("windows"),
         F.transform("first_lines", lambda line: measured(line, F.col("suspect"))).alias("measured"),
     )
+    rows = rows.withColumn("nav", navigation(F.col("measured")))
     rows = rows.select(
         "doc_id",
+        "key",
         "n_words",
         "word_chars",
         "n_symbols",
         (F.size("lines") - F.size("first_lines")).cast("bigint").alias("n_dup_lines"),
-        F.transform(F.filter("measured", passes), lambda m: m["line"]).alias("good_lines"),
+        F.transform(
+            F.filter("measured", lambda m, i: passes(m) & (F.get("nav", i) != "n")),
+            lambda m: F.struct(m["line"].alias("line"), F.when(m["words"]["all"] <= LEARNED_WORDS, F.xxhash64(m["line"])).alias("h"), m["chars"].alias("chars")),
+        ).alias("good"),
         "windows",
         F.length(F.array_join("lines", "")).alias("n_chars"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("placed"),
@@ -135,10 +183,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         lambda acc, i: F.struct((acc["total"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("total"), i.alias("last")),
         lambda acc: acc["total"],
     )
-    rows = rows.select("*", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"), F.array_join("good_lines", "\n").alias("kept_text"))
+    chars = lambda entries: F.aggregate(entries, F.lit(0), lambda acc, g: acc + g["chars"])
+    rows = rows.select(
+        "doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_chars", "good",
+        F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        chars(F.col("good")).alias("good_chars"),
+        F.transform(F.filter("good", lambda g: g["h"].isNotNull()), lambda g: F.struct(g["h"].alias("h"), g["chars"].alias("chars"))).alias("short"),
+    )
+    rows = rows.join(learned, "key", "left")
+    found = lambda g: F.coalesce(F.array_contains("learned", g["h"]), F.lit(False))
+    lost = F.when(F.col("learned").isNull(), 0).otherwise(chars(F.filter("short", found)))
+    kept_text = F.array_join(F.transform(F.filter("good", lambda g: ~found(g)), lambda g: g["line"]), "\n")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    enough = F.length(F.array_join("good_lines", "")) >= MIN_KEPT_SHARE * F.col("n_chars")
+    enough = F.col("good_chars") - lost >= MIN_KEPT_SHARE * F.col("n_chars")
     return rows.select(
-        "doc_id", "kept_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", kept_text.alias("kept_text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & enough).alias("kept"),
     )

@@ -116,17 +116,24 @@ windows AS (SELECT uid, i, list_slice(ws, i, i + 7) AS w FROM d, unnest(range(1,
 twice AS (SELECT uid, w FROM windows GROUP BY uid, w HAVING count(*) > 1),
 hit AS (
   SELECT uid, count(DISTINCT p) AS n FROM windows JOIN twice USING (uid, w), unnest(range(i, i + 8)) u(p) GROUP BY uid),
-firsts AS (SELECT DISTINCT uid, unnest(lines) AS line FROM d),
+placed AS (SELECT uid, i, lines[i] AS line, CASE WHEN i > 1 THEN lines[i - 1] END AS before, lines[i + 1] AS after FROM d, unnest(range(1, len(lines) + 1)) u(i)),
+learned AS (
+  SELECT line FROM (SELECT DISTINCT line, before, after FROM placed WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) <= {quality.LEARNED_WORDS})
+  GROUP BY line HAVING count(*) >= greatest({quality.LEAST_CONTEXTS}, (SELECT ceil(count(*) / {quality.DOCUMENTS_A_CONTEXT}e0) FROM documents))),
+firsts AS (SELECT uid, line, min(i) AS i FROM placed GROUP BY uid, line),
 measured AS (
-  SELECT uid, length(line) AS chars, {_CHARS.format(chr(92) + "P{L}+")} AS letters, {_CHARS.format(chr(92) + "P{Lu}+")} AS capitals,
+  SELECT uid, line, row_number() OVER (PARTITION BY uid ORDER BY i) AS k, length(line) AS chars, {_CHARS.format(chr(92) + "P{L}+")} AS letters, {_CHARS.format(chr(92) + "P{Lu}+")} AS capitals,
     length(regexp_replace(line, '[^#*$%&|<>{{}}\\[\\]=_~^»›•·]+', '', 'g')) AS symbols,
     regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw,
     regexp_matches(line, '[.!?…:;"''”’»)\\]。！？]\\s*$') AS closed, {_PHRASES_SQL} AS phrase
   FROM firsts),
+shorts AS (SELECT uid, k, k - row_number() OVER (PARTITION BY uid ORDER BY k) AS island FROM measured WHERE len(lw) <= {quality.NAV_WORDS} AND NOT closed),
+nav AS (SELECT uid, unnest(list(k)) AS k FROM shorts GROUP BY uid, island HAVING count(*) >= {quality.NAV_RUN}),
 good AS (
   SELECT uid, sum(chars) AS kept_chars FROM measured
   WHERE (chars < {quality.LONG_LINE} OR closed) AND symbols * 20 <= chars AND letters * 2 >= chars AND (letters < 20 OR capitals * 2 <= letters)
     AND (len(lw) < 12 OR len(list_distinct(lw)) * 5 >= least(len(lw), 60) * 2) AND NOT phrase
+    AND NOT EXISTS (SELECT 1 FROM nav WHERE nav.uid = measured.uid AND nav.k = measured.k) AND line NOT IN (SELECT line FROM learned)
   GROUP BY uid),
 base AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
