@@ -62,15 +62,15 @@ def test_empty_table(spark):
 def test_navigation_is_no_text(spark):
     """A document of menu entries and category lines is kept out; a short list within prose stays."""
     entries = "\n".join(f"Menu entry {i}" for i in range(14)) + "\n" + "\n".join(f"Category {c}" for c in "abcdefg")
-    prose = "\n".join(f"Sentence number {i} of a text goes on for quite a while and ends here." for i in range(8))
-    rows = [(1, entries), (2, f"{prose}\nOne\nTwo\n{prose.replace('Sentence', 'Remark')}"), (3, f"{entries}\n{prose}"), (4, None), (5, "")]
+    prose = "\n".join(" ".join(f"wort{chr(97 + i)}{chr(97 + k)}" for k in range(12)) + "." for i in range(8))
+    rows = [(1, entries), (2, f"{prose}\nOne\nTwo\n{prose.replace('wort', 'mot')}"), (3, f"{entries}\n{prose}"), (4, None), (5, "")]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert {d: r.kept for d, r in got.items()} == {1: False, 2: True, 3: True, 4: False, 5: False}
     assert got[1].kept_text == "" and "One\nTwo" in got[2].kept_text and got[3].kept_text == prose
 
 
 def test_boilerplate_is_learned_by_neighbourhoods_not_by_copies(spark):
-    say = lambda i, k: f"Satz {i} und {k} eines Textes, der noch lange nicht zu Ende ist."
+    say = lambda i, k: " ".join(f"wort{i}x{k}y{j}" for j in range(8)) + "."
     line = "Alle Rechte vorbehalten durch den Verlag."
     rows = [(i, f"{say(i, 1)}\n{line}\n{say(i, 2)}\n{say(i, 3)}") for i in range(quality.LEAST_CONTEXTS)]
     rows += [(1000 + i, "\n".join(say("kopie", k) for k in range(5))) for i in range(60)]
