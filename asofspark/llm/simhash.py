@@ -11,9 +11,12 @@ node; links through the smallest one keep all components whole.
 Texts of 5-word similarity 0.8 differ in some ten of 64 bits, beyond any ball that
 can be emitted. :func:`similar_links` therefore takes the ball on blocks of a wider
 fingerprint: each of 16 blocks of 28 bits emits the points that flip any of its
-three least certain bits. Texts that meet in a block are candidates, and only those
-whose shingle sets are similar enough are linked. The recall at the threshold is
-below one; the README has figures.
+three least certain bits. Texts that meet in a point are candidates, and only those
+whose shingle sets are similar enough are linked. A point's members are compared in
+rounds: one leads, is compared with all members it is not yet connected to, and leaves;
+points whose members are all connected are done. So no pair is formed between texts that
+are connected anyway, and no link between the components of a point is lost. The recall
+at the threshold is below one, since texts need to meet; the README has figures.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ LOOSE_BITS = 3
 FAR_SHARE = 0.3
 """Candidates that differ in a larger share of the wide fingerprint are not compared; texts of similarity 0.8 differ in 0.15."""
 NODE_BITS, FAR_NODE_BITS = 28, 10
+BROADCAST_KEYS = 200_000
+"""So many text keys are sent to all tasks; more are joined by shuffle."""
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -156,8 +161,8 @@ def alike(left: Column, right: Column, width: int, similarity: float) -> Column:
     return jaccard(left, right)
 
 
-def _meetings(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a point, with the smallest and the next smaller one of it."""
+def _points(nodes: DataFrame) -> DataFrame:
+    """(node, point) of the points that several nodes share, written."""
     block = nodes.select("node", F.posexplode("blocks").alias("at", "block"))
     flips = [F.lit(0).cast("bigint")]
     for i in range(LOOSE_BITS):
@@ -165,10 +170,16 @@ def _meetings(nodes: DataFrame) -> DataFrame:
         flips += [f.bitwiseXOR(bit) for f in flips]
     base = F.expr(f"shiftleft(CAST(at AS BIGINT), {BLOCK_BITS}) | (block & {(1 << BLOCK_BITS) - 1}L)").alias("base")
     points = block.select("node", base, F.explode(F.array(*flips)).alias("flip")).select("node", F.col("base").bitwiseXOR(F.col("flip")).alias("point"))
-    w = Window.partitionBy("point").orderBy("node")
-    met = points.select("node", F.first("node").over(w).alias("least"), F.lag("node").over(w).alias("before"))
-    near = f"bit_count(shiftrightunsigned(a ^ b, {64 - NODE_BITS})) <= {FAR_NODE_BITS}"
-    return met.filter("least <> node").select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col("node").alias("b")).filter(near).distinct()
+    shared = checkpointed(points.groupBy("point").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("point"))
+    return checkpointed(points.join(shared, "point", "left_semi").distinct())
+
+
+def _first_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of the keys: copies are reduced within their partitions before anything is shuffled by key."""
+    few = keys.count() <= BROADCAST_KEYS
+    near = texts.join(F.broadcast(keys), "key", "left_semi") if few else texts
+    one = near.groupBy("key").agg(F.first("text").alias("text"))
+    return checkpointed(one if few else one.join(keys, "key", "left_semi"))
 
 
 def similar_links(texts: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -181,17 +192,39 @@ def similar_links(texts: DataFrame, distinct: DataFrame, width: int, similarity:
     low = (1 << (64 - NODE_BITS)) - 1
     node = F.expr(f"shiftleft(blocks[0] & {(1 << NODE_BITS) - 1}L, {64 - NODE_BITS}) | (xxhash64(key) & {low}L)").alias("node")
     nodes = checkpointed(distinct.select(node, "key", "blocks"))
-    a = nodes.select(F.col("node").alias("a"), F.col("key").alias("key_a"), F.col("blocks").alias("blocks_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("key").alias("key_b"), F.col("blocks").alias("blocks_b"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"), F.col("blocks").alias(f"blocks_{x}"))
+    near = f"bit_count(shiftrightunsigned(a ^ b, {64 - NODE_BITS})) <= {FAR_NODE_BITS}"
     mask = f"{(1 << BLOCK_BITS) - 1}L"
     far = "+".join(f"bit_count((blocks_a[{i}] ^ blocks_b[{i}]) & {mask})" for i in range(BLOCKS))
-    pairs = _meetings(nodes).join(a, "a").join(b, "b").filter(f"{far} <= {int(FAR_SHARE * BLOCKS * BLOCK_BITS)}")
-    pairs = checkpointed(pairs.select("key_a", "key_b"))
-    met = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
-    used = checkpointed(texts.join(met, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-    both = pairs.join(used.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
-    both = both.join(used.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-    return both.filter(alike(F.col("text_a"), F.col("text_b"), width, similarity)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    members, roots, asked, links = _points(nodes), None, None, None
+    while True:
+        placed = members.withColumn("root", F.col("node"))
+        if roots is not None:
+            placed = members.join(roots, "node", "left").select("node", "point", F.coalesce("root", "node").alias("root"))
+        per = placed.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+        lead = per.groupBy("point").agg(F.min(F.struct("n", "node", "root")).alias("l"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+        lead = checkpointed(lead.select("point", F.col("l.node").alias("leader"), F.col("l.root").alias("leader_root")))
+        if lead.isEmpty():
+            break
+        met = placed.join(lead, "point").filter("root <> leader_root")
+        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).filter(near).distinct()
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        pairs = checkpointed(pairs)
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        members = checkpointed(members.join(lead, "point").filter("node <> leader").select("node", "point"))
+        close = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{far} <= {int(FAR_SHARE * BLOCKS * BLOCK_BITS)}")
+        close = checkpointed(close.select("a", "b", "key_a", "key_b"))
+        if close.isEmpty():
+            continue
+        used = _first_texts(texts, checkpointed(close.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()))
+        both = close.join(used.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
+        both = both.join(used.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+        new = both.filter(alike(F.col("text_a"), F.col("text_b"), width, similarity)).select("a", "b", "key_a", "key_b")
+        links = checkpointed(new if links is None else links.unionByName(new))
+        roots = components(links.select("a", "b"))
+    empty = nodes.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
+    return empty if links is None else links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
 def similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:

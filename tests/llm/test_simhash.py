@@ -109,3 +109,51 @@ def test_links_are_verified(spark):
     docs = [(1, " ".join(words)), (2, " ".join(edited)), (3, None), (4, " \n"), (5, "Short text"), (6, "short  text"), (None, " ".join(words).upper()), (7, "short texts")]
     got = simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"), width=5, similarity=0.8)
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 5, 7]
+
+
+def test_every_accepted_link_between_members_of_a_point_is_found(spark):
+    """Components equal those of all pairs that share a point and pass the checks, chains and hot points included."""
+    rnd = random.Random(8)
+    base = [f"word{i}" for i in range(90)]
+    docs, words = [], list(base)
+    for _ in range(60):  # a chain: each text is near the one before it, the ends are not
+        words = list(words)
+        words[rnd.randrange(len(words))] = f"x{rnd.randrange(10**6)}"
+        docs.append(" ".join(words))
+    for _ in range(40):
+        docs.append(" ".join(f"w{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 30))))
+    docs += docs[:10]
+    ones = list(dict.fromkeys(docs))
+    blocks = [simhash.blocks_of(t, 5).tolist() for t in ones]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in ones]
+    low = (1 << simhash.BLOCK_BITS) - 1
+
+    def points(row):
+        out = set()
+        for at, b in enumerate(row):
+            flips = [0]
+            for i in range(simhash.LOOSE_BITS):
+                flips += [f ^ (1 << (b >> (simhash.BLOCK_BITS + 5 * i) & 31)) for f in flips]
+            out |= {((at << simhash.BLOCK_BITS) | (b & low)) ^ f for f in flips}
+        return out
+
+    reach = [points(b) for b in blocks]
+    root = list(range(len(ones)))
+    n_links = 0
+    for i in range(len(ones)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            apart = [((x ^ y) & low).bit_count() for x, y in zip(blocks[i], blocks[j], strict=True)]
+            if reach[i] & reach[j] and apart[0] <= simhash.FAR_NODE_BITS and sum(apart) <= int(simhash.FAR_SHARE * 448):
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    n_links += 1
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+    expected = {}
+    for t, r in zip(ones, root, strict=True):
+        expected.setdefault(r, set()).add(t)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    got = {}
+    for r in simhash.similar_groups(frame, 5, 0.8).collect():
+        got.setdefault(bytes(r.root), set()).add(docs[r.doc_id])
+    assert n_links > 50 and sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
