@@ -53,10 +53,6 @@ mk AS (SELECT game_id, season, week, half_life, prior_strength, {', '.join(_FEAT
   UNION ALL SELECT game_id, season, week, half_life, prior_strength, {', '.join(_FEATURE_NAMES)}, 'totals', target_total, total_line, market_total_probability FROM matrix)"""
 
 
-def training_matrix(spark, sf_dir):
-    return rounded(matrix(spark, sf_dir))
-
-
 _ONE = ["pass_epa_matchup_sum"]
 
 
@@ -375,7 +371,6 @@ def tree_projections(spark, sf_dir):
 
 
 QUERIES = {
-    "training_matrix": training_matrix,
     "training_sums": training_sums,
     "walk_forward": walk_forward,
     "configuration_choice": configuration_choice,
@@ -508,12 +503,6 @@ ORACLES = {
       SELECT c.rows, {_DELTAS}, {r6('bu')} AS brier_upper, {r6('lu')} AS log_loss_upper,
         c.brier < b.brier AND c.log_loss < b.log_loss AND bu < 0 AND lu < 0 AND c.calibration_error <= b.calibration_error AS meets_research_acceptance
       FROM s c JOIN s b ON c.role = 'candidate' AND b.role = 'baseline', u""",
-    "training_matrix": f"WITH {MATRIX_SQL} "
-    + ft._rounded_sql(
-        "game_id, season, week, half_life, prior_strength",
-        [*_FEATURE_NAMES, "target_margin", "target_total", "spread_line", "total_line", "market_spread_probability", "market_total_probability"],
-        "matrix",
-    ),
     "training_sums": f"""WITH {MATRIX_SQL}, x AS (SELECT *, {_ONE[0]} AS x FROM mk), se AS (SELECT DISTINCT market, half_life, prior_strength, season FROM x),
       g AS (SELECT s.market, s.half_life, s.prior_strength, s.season, [count(*), avg(x), avg(target), avg(line), {', '.join(f'count(*) * covar_pop({a}, {b})' for a, b in _CELLS)}] AS v
         FROM se s JOIN x ON x.market = s.market AND x.half_life = s.half_life AND x.prior_strength = s.prior_strength AND x.season < s.season GROUP BY 1, 2, 3, 4)

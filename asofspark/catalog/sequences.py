@@ -11,7 +11,6 @@ from asofspark.operators import market as mk
 from asofspark.operators import observe as obs
 from asofspark.operators import schedule as sched
 from asofspark.operators import temporal as tmp
-from asofspark.operators.matchup import BASE_PAIRS
 
 _ASOF = "1998-06-15 00:00:00"
 
@@ -121,39 +120,6 @@ def matched_events(spark, sf_dir):
     return asof.interval_match(left, right, ["user_id"], "click_ts", "signup_ts", "click_id", "signup_id", 8 * 3600)
 
 
-def opponent_adjusted(spark, sf_dir):
-    tg = ft.team_games(spark, sf_dir)
-    lags = tmp.build_lags(tg, ft.BASE)
-    pre = tmp.materialize(lags, ft.BASE)
-    return rounded(tmp.opponent_adjusted(lags, pre, _PAIRS))
-
-
-_PAIRS = BASE_PAIRS
-_ADJ = [f"{s}_opp_adj_{n}" for n in _PAIRS for s in ("off", "def")]
-
-
-def _opp_sql() -> str:
-    obs_cols = ", ".join(
-        f"t.{o} - m.{d} AS off_opp_adj_{n}, t.{d} - m.{o} AS def_opp_adj_{n}" for n, (o, d) in _PAIRS.items()
-    )
-    lag_cols = ", ".join(f"lag({a}, {k}) OVER w AS lag{k}_{a}" for a in _ADJ for k in range(1, 5))
-    avail = " + ".join(f"CASE WHEN lag{k}_{_ADJ[0]} IS NOT NULL THEN 1 ELSE 0 END" for k in range(1, 5))
-    w = "pow(2e0, -k / half_life)"
-    prior = ", ".join(
-        f"sum({a} * {w}) / nullif(sum(CASE WHEN {a} IS NOT NULL THEN {w} END), 0) AS team_prior_{a}" for a in _ADJ
-    )
-    return f"""WITH {ft.MATERIALIZED_SQL},
-ob AS (SELECT t.game_id, t.team_id, t.season, t.kickoff_dt, m.half_life, m.prior_strength, {obs_cols}
-  FROM team_games t JOIN materialized m ON m.game_id = t.game_id AND m.team_id = t.opponent_team_id),
-ol AS (SELECT *, {lag_cols} FROM ob WINDOW w AS (PARTITION BY team_id, half_life, prior_strength, season ORDER BY kickoff_dt, game_id)),
-oa AS (SELECT *, {avail} AS games_available FROM ol),
-ot AS (SELECT *, row_number() OVER (PARTITION BY team_id, half_life, prior_strength, season ORDER BY kickoff_dt DESC, game_id DESC) - 1 AS k FROM oa WHERE {_ADJ[0]} IS NOT NULL),
-op AS (SELECT team_id, season + 1 AS season, half_life, prior_strength, {prior} FROM ot WHERE k < 4 GROUP BY 1, 2, 3, 4),
-og AS (SELECT season, half_life, prior_strength, {', '.join(f'avg(team_prior_{a}) AS league_prior_{a}' for a in _ADJ)} FROM op GROUP BY 1, 2, 3)
-SELECT game_id, team_id, half_life, prior_strength, {', '.join(f'{r6(ft._blend_sql(a))} AS {a}' for a in _ADJ)}
-FROM oa LEFT JOIN op USING (team_id, season, half_life, prior_strength) LEFT JOIN og USING (season, half_life, prior_strength)"""
-
-
 def tercile_edges(spark, sf_dir):
     return rounded(scan.exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", [1 / 3, 2 / 3], ["l_returnflag"]))
 
@@ -315,7 +281,6 @@ QUERIES = {
     "split_lags": split_lags,
     "latest_view_asof": latest_view,
     "interval_matches": matched_events,
-    "opponent_adjusted": opponent_adjusted,
     "tercile_edges": tercile_edges,
     "equal_count_bins": equal_bins,
     "decayed_rates": decayed_rates,
@@ -364,7 +329,6 @@ ORACLES = {
         FROM events c JOIN events s ON s.user_id = c.user_id AND abs(date_diff('microsecond', c.ts, s.ts)) <= 28800000000
         WHERE c.event_type = 'click' AND s.event_type = 'signup')
       SELECT click_id, signup_id FROM m WHERE a = 1 AND b = 1""",
-    "opponent_adjusted": _opp_sql(),
     "tercile_edges": f"SELECT l_returnflag, {r6('quantile_cont(l_extendedprice, 1e0 / 3)')} AS q0, {r6('quantile_cont(l_extendedprice, 2e0 / 3)')} AS q1 FROM lineitem GROUP BY 1",
     "equal_count_bins": f"""SELECT CAST(bin AS INT) AS bin, count(*) AS rows, {r6('avg(edge)')} AS mean_edge, {r6('avg(outcome)')} AS observed_rate FROM (
       SELECT edge, outcome, ntile(5) OVER (ORDER BY edge, l_orderkey, l_linenumber, l_extendedprice, l_suppkey, l_partkey, l_quantity, l_shipdate, outcome) AS bin
