@@ -34,7 +34,7 @@ LONG_LINE = 60
 
 NAV_WORDS, NAV_RUN = 5, 5
 """A line of so few words is short; so many short lines in a row are navigation."""
-LEARNED_WORDS = 15
+LEARNED_CHARS = 120
 """Longer lines are never learned as boilerplate."""
 LEAST_CONTEXTS, DOCUMENTS_A_CONTEXT = 20, 5_000
 """Different neighbourhoods a learned line has at least, alone and by the number of documents."""
@@ -72,20 +72,20 @@ def measured(line: Column, suspect: Column) -> Column:
 
 
 def navigation(measured_lines: Column) -> Column:
-    """For each measured line n, where it lies in a run of short open lines, or another letter."""
+    """For each measured line n, where it lies in a run of short open lines, or another letter; null where there is no such run."""
     flags = F.array_join(F.transform(measured_lines, lambda m: F.when((m["words"]["all"] <= NAV_WORDS) & ~m["closed"], "s").otherwise("l")), "")
     inside = "|".join(f"(?<=s{{{k}}})s(?=s{{{NAV_RUN - 1 - k}}})" for k in range(NAV_RUN))
-    return F.split(F.regexp_replace(flags, inside, "n"), "")
+    return F.when(F.contains(flags, F.lit("s" * NAV_RUN)), F.split(F.regexp_replace(flags, inside, "n"), ""))
 
 
 def line_places(body: DataFrame) -> DataFrame:
     """(key, h, around) of every line with a word that is short enough to be learned; written."""
     has_word = lambda line: F.regexp_like(line, F.lit(_WORD_START))
-    lines = body.select("key", F.transform(F.filter(F.split("text", "\n", -1), has_word), lambda x: F.xxhash64(x)).alias("hs"), F.filter(F.split("text", "\n", -1), has_word).alias("lines"))
-    around = lambda i: F.xxhash64(F.coalesce(F.get("hs", i - 1), F.lit(1)), F.coalesce(F.get("hs", i + 1), F.lit(2)))
-    few = lambda line: F.array_size(words_of(line)) <= LEARNED_WORDS
-    found = F.transform("lines", lambda line, i: F.when(few(line), F.struct(F.get("hs", i).alias("h"), around(i).alias("around"))))
-    return checkpointed(lines.select("key", F.inline(F.filter(found, lambda p: p.isNotNull()))))
+    lines = body.select("key", F.filter(F.split("text", "\n", -1), has_word).alias("lines"))
+    hashed = lines.select("key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) <= LEARNED_CHARS).alias("few"))).alias("hs"))
+    at = lambda i, edge: F.coalesce(F.get("hs", i).h, F.lit(edge))
+    found = F.transform("hs", lambda p, i: F.when(p.few, F.struct(p.h.alias("h"), F.xxhash64(at(i - 1, 1), at(i + 1, 2)).alias("around"))))
+    return checkpointed(hashed.select("key", F.inline(F.filter(found, lambda p: p.isNotNull()))))
 
 
 def learned_lines(body: DataFrame) -> DataFrame:
@@ -159,8 +159,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         "n_symbols",
         (F.size("lines") - F.size("first_lines")).cast("bigint").alias("n_dup_lines"),
         F.transform(
-            F.filter("measured", lambda m, i: passes(m) & (F.get("nav", i) != "n")),
-            lambda m: F.struct(m["line"].alias("line"), F.when(m["words"]["all"] <= LEARNED_WORDS, F.xxhash64(m["line"])).alias("h"), m["chars"].alias("chars")),
+            F.filter("measured", lambda m, i: passes(m) & F.coalesce(F.get("nav", i) != "n", F.lit(True))),
+            lambda m: F.struct(m["line"].alias("line"), F.when(m["chars"] <= LEARNED_CHARS, F.xxhash64(m["line"])).alias("h"), m["chars"].alias("chars")),
         ).alias("good"),
         "windows",
         F.length(F.array_join("lines", "")).alias("n_chars"),

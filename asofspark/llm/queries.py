@@ -118,7 +118,7 @@ hit AS (
   SELECT uid, count(DISTINCT p) AS n FROM windows JOIN twice USING (uid, w), unnest(range(i, i + 8)) u(p) GROUP BY uid),
 placed AS (SELECT uid, i, lines[i] AS line, CASE WHEN i > 1 THEN lines[i - 1] END AS before, lines[i + 1] AS after FROM d, unnest(range(1, len(lines) + 1)) u(i)),
 learned AS (
-  SELECT line FROM (SELECT DISTINCT line, before, after FROM placed WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) <= {quality.LEARNED_WORDS})
+  SELECT line FROM (SELECT DISTINCT line, before, after FROM placed WHERE length(line) <= {quality.LEARNED_CHARS})
   GROUP BY line HAVING count(*) >= greatest({quality.LEAST_CONTEXTS}, (SELECT ceil(count(*) / {quality.DOCUMENTS_A_CONTEXT}e0) FROM documents))),
 firsts AS (SELECT uid, line, min(i) AS i FROM placed GROUP BY uid, line),
 measured AS (
