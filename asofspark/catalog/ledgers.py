@@ -385,6 +385,24 @@ def prediction_ledger(spark, sf_dir):
                       "model_win_probability", "model_push_probability", "model_loss_probability", "eligibility_status")
 
 
+_SCORED_MODELS = {"spreads": (0.5, 0.8, 0.4, 0.05, 0.9), "totals": (0.0, 0.25, 0.0, 0.1, 1.1)}
+"""Per market: intercept, coefficient, market weight, calibration intercept and slope."""
+
+
+def scored_contracts(spark, sf_dir):
+    """Contracts of later seasons under fixed models; the market passes through where its model has no weight."""
+    rows = checkpointed(md._distribution_rows(spark, sf_dir))
+    model = ds.fit_distribution(rows.filter("season < 1999"), ["market"])
+    coefs = spark.createDataFrame([(m, a, [b], w) for m, (a, b, w, _, _) in _SCORED_MODELS.items()], "market string, intercept double, coef array<double>, weight double")
+    fits = spark.createDataFrame([(m, c, d, None) for m, (_, _, _, c, d) in _SCORED_MODELS.items()], "market string, intercept double, slope double, constant double")
+    contracts = rows.filter("season >= 1999").select("game_id", "market", F.col("line").alias("anchor_line"), "market_probability", "rest_difference")
+    out = pd_.score_contracts(contracts, ["rest_difference"], coefs, fits, model, ["game_id"], market_probability="market_probability", market_only_at_zero=True)
+    return rounded(out.select(
+        "game_id", "market", "adjustment_weight", "final_projection", "calibrated_non_push_win_probability",
+        "model_win_probability", "model_push_probability", "model_loss_probability",
+    ))
+
+
 _CLOSING = ["closing_contract_win_probability", "closing_contract_push_probability", "closing_contract_loss_probability", "decision_price_clv", "closing_contract_ev"]
 
 
@@ -628,6 +646,7 @@ QUERIES = {
     "attempt_states": attempt_states,
     "illegal_transitions": illegal_transitions,
     "latest_decision_snapshot": latest_decision_snapshot,
+    "scored_contracts": scored_contracts,
     "settlement": settlement,
     "settlement_records": settlement_records,
     "prospective_summary": prospective_summary,
@@ -731,6 +750,15 @@ ORACLES = {
       for f, m in zip(_X, ('25e0', '0.05e0', '0.04e0')))}),
       r AS (SELECT *, row_number() OVER (PARTITION BY rid, family ORDER BY abs(v) DESC, feature) AS k FROM c)
       SELECT family, CAST(k AS INT) AS driver_rank, feature, count(*) AS rows, {r6('avg(v)')} AS mean_contribution FROM r WHERE k <= 2 GROUP BY 1, 2, 3""",
+    "scored_contracts": f"""WITH {md.RESIDUAL_ROWS_SQL},
+      fixed(market, a, b, w, ca, cb) AS (VALUES {', '.join(f"('{m}', {', '.join(f'{v}e0' for v in vs)})" for m, vs in _SCORED_MODELS.items())}),
+      early AS (SELECT * FROM d WHERE season < 1999),
+      late AS (SELECT game_id, market, line, market_probability, w, ca, cb, line + w * (a + b * rest_difference) AS fin, line - (line + w * (a + b * rest_difference)) AS t,
+        sv FROM d JOIN fixed USING (market) WHERE season >= 1999),{md.distribution_sql('early', 'late', 'game_id')},
+      j AS (SELECT l.*, x.p AS push, x.w / (x.w + x.l) AS raw FROM late l JOIN mix x USING (game_id, market)),
+      c AS (SELECT *, greatest(1e-8, least(1 - 1e-8, CASE WHEN w = 0 THEN market_probability ELSE 1 / (1 + exp(-(ca + cb * ln(greatest(1e-6, least(1 - 1e-6, raw)) / (1 - greatest(1e-6, least(1 - 1e-6, raw))))))) END)) AS q FROM j)
+      SELECT game_id, market, {r6('w')} AS adjustment_weight, {r6('fin')} AS final_projection, {r6('q')} AS calibrated_non_push_win_probability,
+        {r6('(1 - push) * q')} AS model_win_probability, {r6('push')} AS model_push_probability, {r6('(1 - push) * (1 - q)')} AS model_loss_probability FROM c""",
     "settlement_records": f"""WITH {_WQ_SQL} SELECT s.game_id, s.market, '{se.SELECTION_RULE}' AS selection_rule_version, decision_snapshot_id AS canonical_snapshot_id,
       d.snapshot_retrieved_at_utc AS prediction_created_at_utc, d.snapshot_retrieved_at_utc - INTERVAL 2 HOUR AS feature_as_of_utc,
       TIMESTAMP '2024-03-01 00:00:00' AS settled_at_utc, true AS hash_holds FROM settled s LEFT JOIN dec d ON d.game_id = s.game_id AND d.market = s.market""",

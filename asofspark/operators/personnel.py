@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from asofspark.functions.scalars import first_reason
 from asofspark.operators.asof import asof_join, crosswalk
-from asofspark.operators.scan import row_numbers, running_totals
+from asofspark.operators.scan import lags, row_numbers, running_totals
 
 
 def decayed_rates(
@@ -92,11 +92,9 @@ def last_full_share(
 
     Null unless all of those games exist and the member has a share in each.
     """
-    w = Window.partitionBy(entity).orderBy(ts, game)
-    recent = team_games.select(
-        entity, F.col(ts).alias("_seen"), F.col(game).alias("_g"),
-        *[F.lag(game, k).over(w).alias(f"_g{k}") for k in range(games)],
-    )
+    # an entity with very many games is split over time
+    named = team_games.select(entity, F.col(ts).alias("_seen"), F.col(game).alias("_g"), F.col(game).alias("_g0"))
+    recent = lags(named, [entity], [F.col("_seen"), F.col("_g")], ["_g"], games - 1, lambda k, c: f"_g{k}")
     picks = [f"_g{k}" for k in range(games)]
     looked = asof_join(requests, recent, [entity], cutoff, "_seen", picks, request_id, False, ["_g"])
     one = looked.select(request_id, entity, member, F.explode(F.array(*picks)).alias(game)).filter(F.col(game).isNotNull())

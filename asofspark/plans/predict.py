@@ -76,9 +76,12 @@ def prediction_rows(
     latest: float = CLOSE_WINDOW_LATEST,
     max_age_minutes: float = FRESHNESS_MINUTES,
     residual_target: bool = True,
+    market_only_at_zero: bool = True,
 ) -> DataFrame:
     """One ledger row per (snapshot, game, market) with its eligibility.
 
+    Where the model has no weight the market's own probability passes through.
+
     quotes carry game_id; games: game_id, season, week, kickoff_utc; features:
     game_id, feature_as_of_utc and the feature columns. A feature row must be
     older than the snapshot and complete, or the row is ineligible and carries
@@ -105,6 +108,7 @@ def prediction_rows(
     scored = score_contracts(
         graded.filter("_score").select(*keys, "anchor_line", "anchor_orientation_no_vig_probability", *feature_names),
         feature_names, coefs, calibration, model, ["snapshot_id", "provider_event_id", "game_id"], residual_target,
+        market_only_at_zero=market_only_at_zero,
     )
     values = [
         "raw_adjustment", "adjustment_weight", "final_projection", "raw_non_push_win_probability",
