@@ -118,7 +118,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     appears, equal rows too; an empty table gives none; other columns are not read.
     """
     body = docs.select(column_of(docs, id_col).alias("doc_id"), content_key(text_of(docs, text)).alias("key"), text_of(docs, text).alias("text"))
-    learned = learned_lines(body)
+    learned = checkpointed(learned_lines(body))  # a plain table, so that the rows of a hot text are split over tasks
     has_word = lambda line: F.regexp_like(line, F.lit(_WORD_START))
     suspect = F.lit(False)
     for p in BOILERPLATE:

@@ -13,9 +13,11 @@ can be emitted. :func:`similar_links` therefore takes the ball on blocks of a wi
 fingerprint: each of 16 blocks of 28 bits emits the points that flip any of its
 three least certain bits. Texts that meet in a point are candidates, and only those
 whose shingle sets are similar enough are linked. A point's members are compared in
-rounds: one leads, is compared with all members it is not yet connected to, and leaves;
-points whose members are all connected are done. So no pair is formed between texts that
-are connected anyway, and no link between the components of a point is lost. The recall
+rounds: one member, later up to ``LEADERS`` of the smallest components, lead, are
+compared with all members they are not yet connected to, and leave; points whose members
+are all connected are done. The first round connects near copies, so hardly a pair is
+formed between texts that are connected anyway, and no link between the components of a
+point is lost. The recall
 at the threshold is below one, since texts need to meet; the README has figures.
 """
 
@@ -44,6 +46,8 @@ LOOSE_BITS = 3
 FAR_SHARE = 0.3
 """Candidates that differ in a larger share of the wide fingerprint are not compared; texts of similarity 0.8 differ in 0.15."""
 NODE_BITS, FAR_NODE_BITS = 28, 10
+LEADERS = 32
+"""Members of a point that are compared with all others in a round."""
 BROADCAST_KEYS = 200_000
 """So many text keys are sent to all tasks; more are joined by shuffle."""
 
@@ -201,18 +205,21 @@ def similar_links(texts: DataFrame, distinct: DataFrame, width: int, similarity:
         placed = members.withColumn("root", F.col("node"))
         if roots is not None:
             placed = members.join(roots, "node", "left").select("node", "point", F.coalesce("root", "node").alias("root"))
-        per = placed.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        lead = per.groupBy("point").agg(F.min(F.struct("n", "node", "root")).alias("l"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-        lead = checkpointed(lead.select("point", F.col("l.node").alias("leader"), F.col("l.root").alias("leader_root")))
-        if lead.isEmpty():
+        per = placed.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = per.groupBy("point").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("point")
+        placed = checkpointed(placed.join(mixed, "point", "left_semi"))
+        if placed.isEmpty():
             break
+        order = Window.partitionBy("point").orderBy("n", "root", "node")
+        ranked = placed.join(per, ["point", "root"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= (1 if asked is None else LEADERS))
+        lead = checkpointed(ranked.select("point", F.col("node").alias("leader"), F.col("root").alias("leader_root")))
         met = placed.join(lead, "point").filter("root <> leader_root")
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).filter(near).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
         asked = pairs if asked is None else asked.unionByName(pairs)
-        members = checkpointed(members.join(lead, "point").filter("node <> leader").select("node", "point"))
+        members = checkpointed(placed.select("node", "point").join(lead.select("point", F.col("leader").alias("node")), ["node", "point"], "left_anti"))
         close = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{far} <= {int(FAR_SHARE * BLOCKS * BLOCK_BITS)}")
         close = checkpointed(close.select("a", "b", "key_a", "key_b"))
         if close.isEmpty():
