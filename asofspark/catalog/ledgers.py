@@ -606,17 +606,19 @@ def diagnostics_overlay(spark, sf_dir):
 
 
 def joint_selection(spark, sf_dir):
-    """Configuration, feature set and penalty by log-loss; the market alone as rival."""
+    """Configuration, feature set and penalty by log-loss, then the family: ridge, trees, blends or the market alone."""
     rows = checkpointed(mu.by_market(md.matrix(spark, sf_dir, [2.0], [0.5])))
     names = list(md.base_features())
     families = {"passing": [n for n in names if n.startswith("pass")], "context": ["rest_difference"], "rushing": [n for n in names if n.startswith("rush")]}
-    sets = sel.feature_set_grid(families, ["passing", "context"], ["rushing"])
-    oof = checkpointed(sel.candidate_probabilities(rows, names, sel.candidate_folds(rows, names, sets, (1.0, 100.0))))
-    best = sel.best_candidates(sel.candidate_scores(oof)).withColumn("family", F.lit("ridge"))
-    one = oof.join(best.select(*sel.CANDIDATE), sel.CANDIDATE, "left_semi")
-    rival = sel.market_only_scores(one).withColumn("family", F.lit("market_only"))
+    sets = sel.feature_set_grid(families, ["passing"], ["context", "rushing"])
+    oof = checkpointed(sel.candidate_probabilities(rows, names, sel.candidate_folds(rows, names, sets)))
+    best = checkpointed(sel.best_candidates(sel.candidate_scores(oof)))
+    under = checkpointed(sel.family_probabilities(rows, names, best, sets))
+    scores = ev.probability_bundle(under, ["market", "family"], "probability", "outcome", "target", "final", "line")
+    rival = sel.market_only_scores(under.filter("family = 'ridge'")).withColumn("family", F.lit("market_only"))
     cols = ["market", "family", "log_loss", "brier", "rmse"]
-    return sel.choose_family(best.select(*cols).unionByName(rival.select(*cols)))
+    picked = sel.choose_family(scores.select(*cols).unionByName(rival.select(*cols)))
+    return picked.join(best.select(*sel.CANDIDATE), "market")
 
 
 def nested_probabilities(spark, sf_dir):

@@ -11,6 +11,7 @@ from asofspark.fixed_values import RIDGE_GRID
 from asofspark.operators import distribution as ds
 from asofspark.operators import evaluate as ev
 from asofspark.operators import regression as rg
+from asofspark.operators import trees as tr
 from asofspark.operators.matchup import CONFIG
 from asofspark.session import checkpointed
 
@@ -74,6 +75,40 @@ def best_candidates(scores: DataFrame) -> DataFrame:
     return kept.groupBy("market").agg(F.min_by(F.struct(*rest), order).alias("b")).select("market", "b.*")
 
 
+def family_probabilities(rows: DataFrame, features: list[str], chosen: DataFrame, sets: dict[str, list[str]], min_train: int = 30, settings: tr.Boosting = tr.Boosting()) -> DataFrame:
+    """Out-of-fold probabilities of ridge, trees and their blends under the chosen candidate of every market.
+
+    ``chosen`` has one row a market (two in all). All folds of a market's trees grow in one job; every fold's
+    market weight and residuals come from its own training projections, of all families at once.
+    """
+    parts = []
+    for c in chosen.select(*CANDIDATE).collect():
+        same = rows.filter(F.col("market") == c["market"])
+        for k in CONFIG:
+            same = same.filter(F.col(k) == c[k])
+        same = checkpointed(same)
+        names = sets[c["feature_set"]]
+        coefs = candidate_folds(same, features, {c["feature_set"]: names}, (c["alpha"],), min_train)
+        ridge = coefs.select("market", F.col("season").alias("fold"), "intercept", "coef")
+        folds = [r[0] for r in same.select("season").distinct().collect()]
+        trees = tr.boost_folds(same, ["market"], names, folds, min_train=min_train, settings=settings).withColumnRenamed("season", "fold")
+        both = same.join(ridge, "market").filter(F.col("season") <= F.col("fold")).withColumn("ridge", rg.projection(features))
+        both = tr.score_trees(both, trees, ["market", "fold"], names, "tree")
+        families = F.array(*[F.struct(F.lit(f).alias("family"), tr.blend("ridge", "tree", f).alias("raw")) for f in tr.BLENDS])
+        parts.append(both.select("game_id", "market", "season", "fold", "target", "line", "market_probability", F.inline(families)))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = checkpointed(every)
+    gap = F.col("raw") - F.col("line")
+    weights = every.filter("season < fold").groupBy("market", "family", "fold").agg(rg.market_weight(gap, F.col("target") - F.col("line")).alias("weight"))
+    scored = checkpointed(every.join(weights, ["market", "family", "fold"]).withColumn("final", F.col("line") + F.col("weight") * gap))
+    model = ds.fit_distribution(scored.filter("season < fold"), ["market", "family", "fold"])
+    return ds.score_distribution(model, scored.filter("season = fold"), ["game_id"]).withColumns(
+        {"probability": ds.non_push(), "outcome": (F.col("target") > F.col("line")).cast("double")}
+    )
+
+
 def market_only_scores(oof: DataFrame) -> DataFrame:
     """The market's own probability scored on the same rows."""
     return oof.groupBy("market").agg(

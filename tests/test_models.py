@@ -9,6 +9,7 @@ from asofspark.operators import evaluate as ev
 from asofspark.operators import rank as rk
 from asofspark.operators import regression as rg
 from asofspark.operators import scan
+from asofspark.operators import trees as tr
 from asofspark.plans import selection as sel
 from asofspark.plans import training as trn
 
@@ -284,3 +285,36 @@ def test_merged_rows_draw_like_single_ones(spark):
     for m in ("brier", "log_loss"):
         width = single[m]["upper_95"] - single[m]["lower_95"]
         assert merged[m]["upper_95"] - merged[m]["lower_95"] == pytest.approx(width, rel=0.1)
+
+
+def test_drivers_of_any_model_and_disagreement(spark):
+    nodes = [(0, 1.5, 1, 2, 0.0), (-1, 0.0, -1, -1, 3.0), (1, 0.0, 3, 4, 0.0), (-1, 0.0, -1, -1, -1.0), (-1, 0.0, -1, -1, 7.0)]
+    rows = spark.createDataFrame([(1, 2.0, 5.0), (2, 1.0, -1.0)], "id int, a double, b double")
+    model = spark.createDataFrame([(0.0, 2, [nodes])], f"base double, depth int, trees array<{tr._NODE}>")
+    rows = rows.withColumn("m", model.select(F.struct("base", "depth", "trees")).scalar())
+    tree = lambda x: tr.ensemble(F.col("m.base"), F.col("m.trees"), F.col("m.depth"), x)
+    line = lambda x: rk.linear(x, F.lit(1.0), F.array(F.lit(2.0), F.lit(-1.0)))
+    means = F.array(F.lit(1.0), F.lit(0.0))
+    got = [(r.id, r.driver_rank, r.feature, r.projection_contribution) for r in rk.model_attribution(rows, ["a", "b"], means, tree, ["id"]).collect()]
+    # row 1 lies in leaf 7; with a = 1 it falls to 3, with b = 0 to -1
+    assert sorted(got) == [(1, 1, "b", 8.0), (1, 2, "a", 4.0), (2, 1, "a", 0.0), (2, 2, "b", 0.0)]
+    blend = rk.model_attribution(rows, ["a", "b"], means, lambda x: tr.blend(line(x), tree(x), "blend_50"), ["id"], top=1)
+    assert sorted((r.id, r.feature, r.projection_contribution) for r in blend.collect()) == [(1, "a", 3.0), (2, "b", 0.5)]
+    x = F.array("a", "b")
+    told = rows.select(line(x).alias("p"), tree(x).alias("q")).select(rk.component_disagreement("p", "q").alias("d"))
+    assert sorted(r.d for r in told.collect()) == [1.0, 7.0]
+
+
+def test_every_family_is_scored_under_the_chosen_candidate(rows):
+    sets = {"both": FEATURES}
+    chosen = rows.sparkSession.createDataFrame(
+        [(m, 1.0, 0.5, "both", 1.0) for m in ("spreads", "totals")], "market string, half_life double, prior_strength double, feature_set string, alpha double"
+    )
+    out = sel.family_probabilities(rows, FEATURES, chosen, sets, settings=tr.Boosting(rounds=5, min_leaf=10)).cache()
+    assert {(r["market"], r["family"]): r["n"] for r in out.groupBy("market", "family").agg(F.count(F.lit(1)).alias("n")).collect()} == {
+        (m, f): 300 for m in ("spreads", "totals") for f in tr.BLENDS
+    }
+    assert out.filter("season <> fold OR probability < 0 OR probability > 1").count() == 0
+    ridge = sel.candidate_probabilities(rows, FEATURES, sel.candidate_folds(rows, FEATURES, sets, (1.0,)))
+    both = ridge.select("game_id", "market", F.col("probability").alias("p")).join(out.filter("family = 'ridge'"), ["game_id", "market"])
+    assert both.count() == 600 and both.filter("abs(p - probability) > 1e-9").count() == 0

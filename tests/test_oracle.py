@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "base_observations", "blended_feature_grid", "opponent_adjusted", "consensus", "anchor_contracts", "latest_view_asof", "interval_matches",
     "split_lags", "decayed_rates", "member_continuity", "tercile_edges", "equal_count_bins", "configuration_choice", "residual_probabilities",
-    "settlement", "ranked_candidates", "table_checks", "stream_line_movement",
+    "settlement", "ranked_candidates", "table_checks", "stream_line_movement", "full_walk_forward", "tree_attribution", "paired_bootstrap", "known_at", "extended_matrix", "scored_contracts",
 ]
 
 
