@@ -150,12 +150,12 @@ GAMES_SQL = f"""games AS (
     FROM plays WHERE home_team <> away_team GROUP BY ALL) g0)"""
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided quotes of six books on two markets per event."""
-    ev = table(spark, sf_dir, "events")
+def quotes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Two-sided quotes of six books on two markets per event; ``carry`` names further columns of ``events``."""
+    ev = table(spark, sf_dir, "events") if events is None else events
     books = F.explode(F.array(*[F.struct(F.lit(i).alias("book"), F.lit(k).alias("bookmaker_key")) for i, k in BOOKS.items()]))
     markets = F.explode(F.array(F.lit("spreads"), F.lit("totals")))
-    rows = ev.select("event_id", "ts", "user_id", "event_type", "value", books.alias("_b")).select("*", "_b.*", markets.alias("market"))
+    rows = ev.select("event_id", "ts", "user_id", "event_type", "value", *carry, books.alias("_b")).select("*", "_b.*", markets.alias("market"))
     rows = rows.withColumn(
         "canonical_line",
         F.when(F.col("market") == "spreads", F.expr(QUOTE_LINE["spreads"])).otherwise(F.expr(QUOTE_LINE["totals"])),
@@ -187,6 +187,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_o.other_price",
         F.col("ts").alias("retrieved_at_utc"),
         F.when(F.expr("(event_id + book) % 23 <> 0"), F.col("ts") - age).alias("source_updated_at_utc"),
+        *carry,
     )
 
 

@@ -20,10 +20,10 @@ _SEGMENTS = {"AUTOMOBILE": "AUT", "BUILDING": "BLD", "FURNITURE": "FUR", "HOUSEH
 ZONE = "America/New_York"
 
 
-def priced_quotes(spark, sf_dir):
+def priced_quotes(spark, sf_dir, events=None, carry=()):
     """Quotes with margin-free probability and overround."""
     total = px.overround("american_price", "other_price")
-    return quotes(spark, sf_dir).select(
+    return quotes(spark, sf_dir, events, carry).select(
         "*",
         px.implied_probability("american_price").alias("implied_probability"),
         total.alias("overround"),

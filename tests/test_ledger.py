@@ -272,3 +272,15 @@ def test_a_capture_never_changes(spark, tmp_path):
     assert read("2026-01-05") == [(1, "a"), (2, "c"), (3, "d")]
     with pytest.raises(FileNotFoundError):
         read("2025-12-31")
+
+
+def test_weekly_quotes_never_broadcast_the_events(spark, tmp_path):
+    """Every event joins its game by shuffle, however small its file; repeated and missing ids count as in the SQL join."""
+    from asofspark.catalog import ledgers
+
+    rows = [(1, datetime(2024, 1, 2), 7), (1, datetime(2024, 1, 3), 7), (2, datetime(2024, 1, 4), 8), (None, datetime(2024, 1, 4), 9)]
+    events = spark.createDataFrame([(e, t, u, "view", 1.0, "") for e, t, u in rows], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    quotes = ledgers._week_quotes(spark, str(tmp_path))
+    assert "Broadcast" not in quotes._jdf.queryExecution().executedPlan().toString()
+    assert {r["snapshot_id"]: r["n"] for r in quotes.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 4 * 24, 2: 24}
