@@ -1,7 +1,8 @@
 """Registered queries: training matrices of the base, extended and advanced features.
 
-Matrices are wide (up to 56 features x 12 configurations a game), so the queries give every
-season's and configuration's row count and the sum of every feature.
+The base matrix and the opponent-adjusted rates come row by row. The other matrices are wide (up
+to 56 features x 12 configurations a game): their queries give every season's and configuration's
+row count and the sum of every feature.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from asofspark.catalog import features as ft
+from asofspark.catalog import models as md
 from asofspark.catalog.bindings import GAMES_SQL, PLAYS_SQL, implied_sql, r6, rounded
 from asofspark.operators import matchup as mu
 from asofspark.operators import observe as obs
@@ -65,9 +67,7 @@ def _summed(matrix, features):
 
 
 def training_matrix(spark, sf_dir):
-    from asofspark.catalog import models as md
-
-    return _summed(md.matrix(spark, sf_dir), list(md.base_features()))
+    return rounded(md.matrix(spark, sf_dir))
 
 
 def extended_matrix(spark, sf_dir):
@@ -79,12 +79,9 @@ def advanced_matrix(spark, sf_dir):
 
 
 def opponent_adjusted(spark, sf_dir):
-    """Own rates minus the opponent's pregame strength, lagged and blended again, summed per season and configuration."""
+    """Own rates minus the opponent's pregame strength, lagged and blended again, per game, team and configuration."""
     _, lags, grid = _grid(spark, sf_dir, obs.BASE_METRICS, True)
-    out = tmp.opponent_adjusted(lags, grid, mu.BASE_PAIRS).join(lags.select("game_id", "team_id", "season"), ["game_id", "team_id"])
-    names = [f"{s}_opp_adj_{n}" for n in mu.BASE_PAIRS for s in ("off", "def")]
-    known = [F.count(c).alias(f"n_{c}") for c in names] + [F.round(F.sum(c), 4).alias(c) for c in names]
-    return rounded(out.groupBy("season", *CONFIG).agg(F.count(F.lit(1)).alias("rows"), *known))
+    return rounded(tmp.opponent_adjusted(lags, grid, mu.BASE_PAIRS))
 
 
 # --- the same in SQL -------------------------------------------------------------
@@ -134,16 +131,14 @@ adjusted AS (SELECT game_id, team_id, season, half_life, prior_strength, {', '.j
   FROM oa LEFT JOIN op USING (team_id, season, half_life, prior_strength) LEFT JOIN og USING (season, half_life, prior_strength))"""
 
 
-def _matrix_sql(source: str, pairs: dict[str, tuple[str, str]], team: tuple[str, ...] = (), context: bool = True) -> str:
+def _matrix_sql(source: str, pairs: dict[str, tuple[str, str]], team: tuple[str, ...] = ()) -> str:
     cols = {}
     for n, (o, d) in pairs.items():
         home, away = f"(h.{o} + a.{d})", f"(a.{o} + h.{d})"
         cols |= {f"{n}_matchup_difference": f"{home} - {away}", f"{n}_matchup_sum": f"{home} + {away}"}
     for m in team:
         cols |= {f"{m}_difference": f"h.{m} - a.{m}", f"{m}_sum": f"h.{m} + a.{m}"}
-    cols["rest_difference"] = "g.home_rest - g.away_rest"
-    if context:
-        cols |= {"is_outdoors": "CAST(lower(g.roof) = 'outdoors' AS DOUBLE)", "is_grass": "CAST(lower(g.surface) LIKE '%grass%' AS DOUBLE)"}
+    cols |= {"rest_difference": "g.home_rest - g.away_rest", "is_outdoors": "CAST(lower(g.roof) = 'outdoors' AS DOUBLE)", "is_grass": "CAST(lower(g.surface) LIKE '%grass%' AS DOUBLE)"}
     fair = lambda x, y: f"{implied_sql(x)} / ({implied_sql(x)} + {implied_sql(y)})"
     told = {
         **cols, "target_margin": "g.home_score - g.away_score", "target_total": "g.home_score + g.away_score", "spread_line": "g.spread_line", "total_line": "g.total_line",
@@ -167,11 +162,16 @@ QUERIES = {
     "opponent_adjusted": opponent_adjusted,
 }
 ORACLES = {
-    "training_matrix": f"WITH {grid_sql(obs.BASE_METRICS, ft.BASE_HAVING)}, {_matrix_sql('materialized', mu.BASE_PAIRS, context=False)}",
+    "training_matrix": f"WITH {md.MATRIX_SQL} "
+    + ft._rounded_sql(
+        "game_id, season, week, half_life, prior_strength",
+        [*md._FEATURE_NAMES, "target_margin", "target_total", "spread_line", "total_line", "market_spread_probability", "market_total_probability"],
+        "matrix",
+    ),
     "extended_matrix": f"WITH {grid_sql(EXTENDED, ft.BASE_HAVING)}, {_matrix_sql('materialized', mu.EXTENDED_PAIRS)}",
     "advanced_matrix": f"""WITH {grid_sql(ADVANCED, '')}, {adjusted_sql(OPPONENT_PAIRS)},
       joined AS (SELECT m.*, {', '.join(f'x.{s}_opp_adj_{n}' for n in OPPONENT_PAIRS for s in ('off', 'def'))} FROM materialized m LEFT JOIN adjusted x USING (game_id, team_id, half_life, prior_strength)),
       filled AS (SELECT * REPLACE ({_FILLED}) FROM joined), {_matrix_sql('filled', mu.ADVANCED_PAIRS, mu.SPECIAL_TEAMS)}""",
-    "opponent_adjusted": f"""WITH {grid_sql(obs.BASE_METRICS, ft.BASE_HAVING)}, {adjusted_sql(mu.BASE_PAIRS)}
-      SELECT season, half_life, prior_strength, count(*) AS rows, {', '.join(f'count({a}) AS n_{a}' for a in _ADJ)}, {', '.join(f'{r6(f"round(sum({a}), 4)")} AS {a}' for a in _ADJ)} FROM adjusted GROUP BY 1, 2, 3""",
+    "opponent_adjusted": f"WITH {grid_sql(obs.BASE_METRICS, ft.BASE_HAVING)}, {adjusted_sql(mu.BASE_PAIRS)} "
+    + ft._rounded_sql("game_id, team_id, half_life, prior_strength", _ADJ, "adjusted"),
 }

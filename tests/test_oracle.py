@@ -38,6 +38,15 @@ def test_query_equals_sql(spark, con, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["training_matrix", "opponent_adjusted"])
+def test_matrices_give_every_row(spark, con, name):
+    """No sums in place of the rows: one row a game (and team) and configuration, equal to the SQL."""
+    got = entry.queries()[name](spark, SF).toPandas()
+    want = con.execute(entry.oracle_sql()[name]).df()
+    assert "game_id" in got.columns and len(got) > 12 * got["game_id"].nunique() - 1
+    assert rows(got[sorted(got.columns)]) == rows(want[sorted(want.columns)])
+
+
 def test_entry_and_registry(spark, con):
     assert entry.entry(spark).columns[:3] == ["game_id", "team_id", "season"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
