@@ -150,6 +150,20 @@ GAMES_SQL = f"""games AS (
     FROM plays WHERE home_team <> away_team GROUP BY ALL) g0)"""
 
 
+EVENTS_A_TASK = 50_000
+"""An event becomes 24 quotes; those of so many are grouped in a task's memory."""
+
+
+def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events dealt out by id before they become quotes, so boards and contracts are grouped without shuffling a quote.
+
+    The tasks grow with the table; its rows are counted from the file's footers.
+    """
+    ev = table(spark, sf_dir, "events")
+    parts = max(spark.sparkContext.defaultParallelism, -(-ev.count() // EVENTS_A_TASK))
+    return ev.repartition(parts, "event_id")
+
+
 def quotes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Two-sided quotes of six books on two markets per event; ``carry`` names further columns of ``events``."""
     ev = table(spark, sf_dir, "events") if events is None else events

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from asofspark.catalog.bindings import (
-    GAMES_SQL, PLAYS_SQL, QUOTES_SQL, games, implied_sql, play_sums, quotes, r6, rounded, table,
+    GAMES_SQL, PLAYS_SQL, QUOTES_SQL, dealt_events, games, implied_sql, play_sums, quotes, r6, rounded, table,
 )
 from asofspark.fixed_values import RETAIL_BOOKS
 from asofspark.functions import prices as px
@@ -240,7 +240,7 @@ def quote_freshness(spark, sf_dir):
 
 
 def consensus(spark, sf_dir):
-    c = mk.consensus(priced_quotes(spark, sf_dir))
+    c = mk.consensus(priced_quotes(spark, sf_dir, dealt_events(spark, sf_dir)))
     return rounded(c.withColumn("dislocated_books", F.array_join("dislocated_books", ",")))
 
 
@@ -271,7 +271,7 @@ consensus AS (SELECT cg.*, coalesce(dis.books, '') AS dislocated_books,
 
 
 def anchor_contracts(spark, sf_dir):
-    c = mk.anchor_contract(priced_quotes(spark, sf_dir))
+    c = mk.anchor_contract(priced_quotes(spark, sf_dir, dealt_events(spark, sf_dir)))
     prices = ("anchor_orientation_price", "anchor_other_price")
     return rounded(c.withColumns({p: F.col(p).cast("double") for p in prices}))
 
@@ -295,7 +295,7 @@ anchor AS (SELECT *, reason IS NULL AS contract_valid, (reason IS NULL OR reason
 
 
 def complete_contracts(spark, sf_dir):
-    c = mk.complete_contracts(priced_quotes(spark, sf_dir))
+    c = mk.complete_contracts(priced_quotes(spark, sf_dir, dealt_events(spark, sf_dir)))
     return rounded(
         c.select(
             "snapshot_id", "provider_event_id", "bookmaker_key", "market", "canonical_line", "overround", "fair_sum",

@@ -284,3 +284,13 @@ def test_weekly_quotes_never_broadcast_the_events(spark, tmp_path):
     quotes = ledgers._week_quotes(spark, str(tmp_path))
     assert "Broadcast" not in quotes._jdf.queryExecution().executedPlan().toString()
     assert {r["snapshot_id"]: r["n"] for r in quotes.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 4 * 24, 2: 24}
+
+
+def test_contracts_of_quotes_shuffle_events_only(spark):
+    """The event table is dealt out once; no quote and no contract is shuffled."""
+    from asofspark.catalog import ledgers, prices
+
+    sf = "/root/testdata/sf0.001"
+    plans = [prices.complete_contracts(spark, sf), ledgers._candidates(spark, sf)]
+    told = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert [t.count("Exchange ") for t in told] == [1, 1]
