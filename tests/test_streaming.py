@@ -154,3 +154,28 @@ def test_table_stream_reads_files_and_folders(spark, tmp_path):
         assert spark.read.schema(df.schema).parquet(f"{tmp_path}/out-{name}").count() == 100
     with pytest.raises(FileNotFoundError):
         st.table_stream(spark, f"{tmp_path}/none.parquet", df.schema)
+
+
+def test_contracts_share_the_state_keys_of_their_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stf, "BUCKETS", 2)
+    schema, big = "k bigint, t timestamp, n bigint, line double", 2**60 + 1  # no double holds these ids
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [(big + i, at(m), big + m, float(m + i)) for i in range(200) for m in (20, 0)]
+    parts = [rows, [(None, at(2000), None, 0.0)]]
+    end, told = F.lit(at(60)), []
+
+    def run(name, out):
+        def start(s):
+            made = stf.ordered_movement(s, ["k"], "t", "line") if name == "moved" else stf.closing_quote(s, ["k"], "t", F.when(F.col("k").isNull(), at(9000)).otherwise(end), ["n", "line"], "n")
+            q = made.writeStream.format("parquet").option("checkpointLocation", f"{out}/ck").trigger(availableNow=True).start(f"{out}/out")
+            q.awaitTermination()
+            told.append(q.recentProgress[0]["stateOperators"][0]["numRowsTotal"])
+        return start
+
+    for name in ("moved", "closed"):
+        (tmp_path / name).mkdir()
+        feed(spark, tmp_path / name, schema, parts, run(name, tmp_path / name))
+    got = spark.read.parquet(f"{tmp_path}/moved/out").select("k", "t", "line", "previous_line", "late").filter("k IS NOT NULL").collect()
+    assert sorted(got, key=lambda r: r[:2]) == [(big + i, at(m), float(m + i), None if m == 0 else float(i), False) for i in range(200) for m in (0, 20)]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/closed/out").collect()) == [(big + i, at(20), big + 20, 20.0 + i) for i in range(200)]
+    assert max(told) <= 20  # a few values a bucket, not a contract
