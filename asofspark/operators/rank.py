@@ -166,14 +166,13 @@ def model_drivers(features: list[str], means: Column, predict: Callable[[Column]
     a tree ensemble held as a table, or a blend. Every feature is set to its training
     mean in turn and the row is scored again; all of it stays in the row's own arrays.
     """
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    names = F.array(*[F.lit(f) for f in features])
+    x = [F.col(f).cast("double") for f in features]
 
-    def entry(i: Column) -> Column:
-        changed = F.transform(x, lambda v, j: F.when(i == j, F.get(means, i)).otherwise(v))
-        return F.struct(F.get(names, i).alias("feature"), (predict(x) - predict(changed)).alias("contribution"))
+    def entry(i: int) -> Column:
+        changed = F.array(*[F.get(means, F.lit(j)) if j == i else v for j, v in enumerate(x)])
+        return F.struct(F.lit(features[i]).alias("feature"), (predict(F.array(*x)) - predict(changed)).alias("contribution"))
 
-    return strongest(F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), entry), top)
+    return strongest(F.array(*[entry(i) for i in range(len(features))]), top)
 
 
 def model_attribution(rows: DataFrame, features: list[str], means: Column, predict: Callable[[Column], Column], row_id: list[str], top: int = 3) -> DataFrame:

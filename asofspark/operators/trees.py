@@ -258,6 +258,22 @@ def ensemble(base: str | Column, trees: str | Column, depth: str | Column, x: Co
     return F.aggregate(t, b.cast("double"), lambda acc, tree: acc + leaf_value(tree, x, d))
 
 
+def unrolled(base: float, trees: list, x: Column) -> Column:
+    """Projection of a small ensemble, given as node lists, for the features ``x``: plain conditions, which Spark compiles; null features go left."""
+
+    def value(nodes: list, at: int = 0) -> Column:
+        feature, threshold, left, right, leaf = nodes[at]
+        if feature < 0:
+            return F.lit(float(leaf))
+        v = F.get(x, F.lit(feature))
+        return F.when(v.isNull() | (v <= F.lit(float(threshold))), value(nodes, left)).otherwise(value(nodes, right))
+
+    total = F.lit(float(base))
+    for nodes in trees:
+        total = total + value(nodes)
+    return total
+
+
 def score_trees(rows: DataFrame, model: DataFrame, keys: list[str], features: list[str], name: str = "tree_raw") -> DataFrame:
     """``rows`` with the projection of the model that shares their keys; rows without a model are left out.
 

@@ -99,3 +99,21 @@ def test_jvm_scores_equal_the_tables(spark):
 
 def test_blends():
     assert tr.BLENDS["blend_25"] == 0.25 and tr.BLENDS["ridge"] == 1.0
+
+
+def test_an_unrolled_ensemble_equals_its_table_and_compiles(spark):
+    from asofspark.operators import rank as rk
+
+    nodes = [(0, 1.5, 1, 2, 0.0), (-1, 0.0, -1, -1, 3.0), (1, 0.0, 3, 4, 0.0), (-1, 0.0, -1, -1, -1.0), (-1, 0.0, -1, -1, 7.0)]
+    x = [(1.0, 0.0), (1.5, 9.0), (2.0, 0.0), (2.0, 0.1), (None, 5.0), (float("nan"), None)]
+    model = spark.createDataFrame([(10.0, 2, [nodes, nodes[1:2]])], f"base double, depth int, trees array<{tr._NODE}>")
+    rows = spark.createDataFrame(x, "a double, b double").withColumn("m", model.select(F.struct("base", "depth", "trees")).scalar())
+    plain = lambda x: tr.unrolled(10.0, [nodes, nodes[1:2]], x)
+    table = lambda x: tr.ensemble(F.col("m.base"), F.col("m.trees"), F.col("m.depth"), x)
+    means = F.array(F.lit(1.0), F.lit(0.0))
+    drivers = [rk.model_drivers(["a", "b"], means, p).alias(n) for n, p in (("p", plain), ("q", table))]
+    got = rows.select(plain(F.array("a", "b")).alias("u"), table(F.array("a", "b")).alias("v"), *drivers).collect()
+    assert [r.u for r in got] == [r.v for r in got] == [16.0, 16.0, 12.0, 20.0, 16.0, 12.0]
+    assert [r.p for r in got] == [r.q for r in got]
+    plan = rows.select(plain(F.array("a", "b")).alias("u"))._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "lambdafunction" not in plan
