@@ -12,8 +12,9 @@ The exchange is a barrier stage's gather, one message of models x features x bin
 numbers a task and step, whatever the rows; tasks hold ``ROWS_A_TASK`` rows, and more only
 where fewer tasks can run at once. Clusters with dynamic allocation refuse barrier stages.
 
-A model is a row of small arrays (its trees' nodes), so rows are scored by a join with
-the model table and array folds in the JVM.
+A model is a row of small arrays (its trees' nodes). Rows are joined with the number of their
+model and go through its trees in NumPy, batch by batch; :func:`ensemble` is an array fold in the JVM
+and :func:`unrolled` plain conditions, for a few trees.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from asofspark.session import checkpointed
 BLENDS = {"ridge": 1.0, "tree": 0.0, "blend_25": 0.25, "blend_50": 0.50, "blend_75": 0.75}
 ROWS_A_TASK = 50_000
 ROUNDS_A_JOB = 100
+ROWS_A_STEP = 500
+"""Rows that a task takes through all trees at once."""
 LEAST_GAIN = 1e-9
 
 _NODE = "array<struct<feature:int,threshold:double,left:int,right:int,value:double>>"
@@ -274,14 +277,53 @@ def unrolled(base: float, trees: list, x: Column) -> Column:
     return total
 
 
+def _packed(trees: list) -> tuple[np.ndarray, ...]:
+    """Feature, threshold, left, right and value of every node, one row a tree; unused places are leaves."""
+    made = [np.full((len(trees), max(map(len, trees), default=1)), x) for x in (-1, 0.0, -1, -1, 0.0)]
+    for t, nodes in enumerate(trees):
+        for into, column in zip(made, zip(*nodes, strict=True), strict=True):
+            into[t, : len(column)] = column
+    return tuple(made)
+
+
+def packed_values(base: float, packed: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """Projections of an ensemble for rows of features: all trees step down together, and are added up in order."""
+    feature, threshold, left, right, value = packed
+    tree, row = np.arange(len(feature))[None, :], np.arange(len(x))[:, None]
+    at = np.zeros((len(x), len(feature)), np.int64)
+    while True:
+        f = feature[tree, at]
+        inner = f >= 0
+        if not inner.any():
+            return np.add.accumulate(np.hstack([np.full((len(x), 1), base), value[tree, at]]), axis=1)[:, -1]
+        goes_left = x[row, np.maximum(f, 0)] <= threshold[tree, at]
+        at = np.where(inner, np.where(goes_left, left[tree, at], right[tree, at]), at)
+
+
 def score_trees(rows: DataFrame, model: DataFrame, keys: list[str], features: list[str], name: str = "tree_raw") -> DataFrame:
     """``rows`` with the projection of the model that shares their keys; rows without a model are left out.
 
-    The model table is bounded by the grid, so Catalyst broadcasts it.
+    The model table is bounded by the grid. Its trees go to the tasks once; rows are
+    joined with the number of their model only, so no row ever carries trees.
     """
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    told = model.select(*keys, F.col("base").alias("_base"), F.col("trees").alias("_trees"), F.col("depth").alias("_depth"))
-    return rows.join(told, keys).withColumn(name, ensemble("_base", "_trees", "_depth", x)).drop("_base", "_trees", "_depth")
+    spark = rows.sparkSession
+    models = model.select(*keys, "base", "trees").collect()
+    held = spark.sparkContext.broadcast([(m.base, _packed(m.trees)) for m in models])
+    schema = T.StructType([*(model.schema[k] for k in keys), T.StructField("_model", T.IntegerType())])
+    numbers = spark.createDataFrame([(*(m[k] for k in keys), i) for i, m in enumerate(models)], schema)
+
+    @F.pandas_udf("double")
+    def score(number: pd.Series, *x: pd.Series) -> pd.Series:
+        number, values, out = number.to_numpy(), np.column_stack([c.to_numpy(float) for c in x]), np.empty(len(number))
+        for i in np.unique(number):
+            own = np.flatnonzero(number == i)
+            for part in np.split(own, range(ROWS_A_STEP, len(own), ROWS_A_STEP)):
+                out[part] = packed_values(*held.value[i], values[part])
+        return pd.Series(out)
+
+    # a null goes left like the least number; other missing values are greater than any
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))) for f in features]
+    return rows.join(F.broadcast(numbers), keys).withColumn(name, score("_model", *x)).drop("_model")
 
 
 def tree_out_of_fold(

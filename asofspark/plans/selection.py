@@ -46,19 +46,22 @@ def candidate_probabilities(rows: DataFrame, features: list[str], coefs: DataFra
     Each fold's market weight and residual distribution come from the fold's
     own training projections. This is the expensive step: rows x candidates x
     folds; it is a join on (market, configuration) with the small coefficient
-    table and one distributed scan.
+    table and one distributed scan. A candidate's fold is one number in all
+    that is grouped and shuffled; its columns are joined again at the end.
     """
     fold = coefs.withColumnRenamed("season", "fold").select(
         *CANDIDATE, "fold", "n_features", "intercept", "coef", "train_weight"
     )
-    both = rows.join(fold, ["market", *CONFIG]).filter(F.col("season") <= F.col("fold"))
+    fold = checkpointed(fold.withColumn("_set", F.monotonically_increasing_id()))
+    both = rows.join(F.broadcast(fold), ["market", *CONFIG]).filter(F.col("season") <= F.col("fold"))
     scored = both.withColumn("raw", rg.projection(features)).withColumn(
         "final", F.col("line") + F.col("train_weight") * (F.col("raw") - F.col("line"))
-    ).select("game_id", *CANDIDATE, "fold", "season", "n_features", "target", "line", "market_probability", "raw", "final")
+    ).select("game_id", "_set", "market", "fold", "season", "target", "line", "market_probability", "raw", "final")
     scored = checkpointed(scored)
-    model = ds.fit_distribution(scored.filter("season < fold"), [*CANDIDATE, "fold"])
-    valid = scored.filter("season = fold")
-    return ds.score_distribution(model, valid, ["game_id"]).withColumns(
+    model = ds.fit_distribution(scored.filter("season < fold"), ["_set"])
+    valid = ds.score_distribution(model, scored.filter("season = fold"), ["game_id"]).drop("market", "fold")
+    named = fold.select("_set", *CANDIDATE, "fold", "n_features")
+    return valid.join(F.broadcast(named), "_set").drop("_set").withColumns(
         {"probability": ds.non_push(), "outcome": (F.col("target") > F.col("line")).cast("double")}
     )
 

@@ -117,3 +117,14 @@ def test_an_unrolled_ensemble_equals_its_table_and_compiles(spark):
     assert [r.p for r in got] == [r.q for r in got]
     plan = rows.select(plain(F.array("a", "b")).alias("u"))._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan and "lambdafunction" not in plan
+
+
+def test_scored_rows_never_carry_trees(spark):
+    """A model's 200 trees take hundreds of KB; beside every row of a join they filled an executor."""
+    nodes = [(0, 1.5, 1, 2, 0.0), (-1, 0.0, -1, -1, 3.0), (-1, 0.0, -1, -1, 4.0)]
+    model = spark.createDataFrame([("m", 1.0, 1, [nodes] * 3), ("n", 2.0, 1, [nodes])], f"market string, base double, depth int, trees array<{tr._NODE}>")
+    rows = spark.createDataFrame([(i, "mn"[i % 2], float(i % 4)) for i in range(1200)] + [(-1, "m", float("nan")), (-2, None, 1.0)], "i int, market string, a double")
+    out = tr.score_trees(rows, model, ["market"], ["a"])
+    assert "trees" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {i: (1.0, 2.0)[i % 2] + (3, 1)[i % 2] * (3.0 if i % 4 <= 1 else 4.0) for i in range(1200)} | {-1: 13.0}
+    assert {r.i: r.tree_raw for r in out.collect()} == want
