@@ -133,7 +133,7 @@ def strongest(entries: Column, top: int) -> Column:
     def key(e: Column) -> Column:
         return F.struct((-F.abs(e["contribution"])).alias("a"), e["feature"].alias("b"), e["contribution"].alias("c"))
 
-    ordered = F.slice(F.array_sort(F.transform(entries, key)), 1, top)
+    ordered = F.slice(F.sort_array(F.transform(entries, key)), 1, top)
     return F.transform(ordered, lambda e: F.struct(e["b"].alias("feature"), e["c"].alias("projection_contribution")))
 
 
