@@ -17,7 +17,11 @@ rounds: one member, later up to ``LEADERS`` of the smallest components, lead, ar
 compared with all members they are not yet connected to, and leave; points whose members
 are all connected are done. The first round connects near copies, so hardly a pair is
 formed between texts that are connected anyway, and no link between the components of a
-point is lost. The recall
+point is lost. Of points with the same members one is kept. After the first round, the
+shingles that no other text of the mixed points has bound what a text can share: the
+member with most room leads, which connects what lies around it, and from then on only
+pairs are formed whose sizes fit these bounds, so a large group of texts a little less
+similar than asked makes few. The recall
 at the threshold is below one, since texts need to meet; the README has figures.
 """
 
@@ -50,6 +54,7 @@ LEADERS = 32
 """Members of a point that are compared with all others in a round."""
 BROADCAST_KEYS = 200_000
 """So many text keys are sent to all tasks; more are joined by shuffle."""
+_AS_LEADER = {"node": "leader", "root": "leader_root", "size": "leader_size", "room": "leader_room"}
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -165,8 +170,21 @@ def alike(left: Column, right: Column, width: int, similarity: float) -> Column:
     return jaccard(left, right)
 
 
+def shingle_set(text: Column, width: int) -> Column:
+    """The different shingle hashes of a text."""
+
+    @pandas_udf("array<bigint>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for texts in batches:
+            yield pd.Series([np.unique(np.array(shingle_hashes(t, width), "<u8")).view("<i8") for t in texts], dtype="object")
+
+    return hashes(text)
+
+
 def _points(nodes: DataFrame) -> DataFrame:
-    """(node, point) of the points that several nodes share, written."""
+    """(node, point) of the points that several nodes share, one point for each set of members, written."""
     block = nodes.select("node", F.posexplode("blocks").alias("at", "block"))
     flips = [F.lit(0).cast("bigint")]
     for i in range(LOOSE_BITS):
@@ -174,10 +192,40 @@ def _points(nodes: DataFrame) -> DataFrame:
         flips += [f.bitwiseXOR(bit) for f in flips]
     base = F.expr(f"shiftleft(CAST(at AS BIGINT), {BLOCK_BITS}) | (block & {(1 << BLOCK_BITS) - 1}L)").alias("base")
     points = block.select("node", base, F.explode(F.array(*flips)).alias("flip")).select("node", F.col("base").bitwiseXOR(F.col("flip")).alias("point"))
-    shared = checkpointed(points.groupBy("point").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("point"))
+    shared = checkpointed(_one_each(points).select("point"))
     return checkpointed(points.join(shared, "point", "left_semi").distinct())
 
 
+def _one_each(placed: DataFrame) -> DataFrame:
+    """One point of all those that have the same members, the least and the greatest of them a and b."""
+    of = [F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("h")]
+    return placed.groupBy("point").agg(*of).filter("a <> b").groupBy("n", "a", "b", "h").agg(F.min("point").alias("point"))
+
+
+def _open(placed: DataFrame, bounded: bool) -> DataFrame:
+    """The rows of points whose members are not all connected; with bounds, of members that may be similar to one of their point."""
+    of = [F.min("root").alias("least_root"), F.max("root").alias("most_root")]
+    if bounded:
+        of += [F.min("size").alias("least_size"), F.max("room").alias("most_room")]
+    several = placed.groupBy("point").agg(*of).filter("least_root <> most_root").drop("least_root", "most_root")
+    kept = placed.join(several, "point")
+    return kept.filter("room >= least_size AND size <= most_room").drop("least_size", "most_room") if bounded else kept
+
+
+def _bounds(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, size, room) of (node, hashes): the shingles of a node, and how many a text that is similar to it can have.
+
+    Only shingles that another node has, too, can be common: with c of them and n in all, a text of m shingles has
+    a similarity of at most c / (n + m - c). Nodes that stand for several texts get what holds for all of these.
+    """
+    per = sets.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.min(F.size("hashes")).alias("size"), F.max(F.size("hashes")).alias("most"))
+    holders = sets.select("node", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    lone = holders.filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    own = F.when(F.col("texts") > 1, 0).otherwise(F.coalesce("lone", F.lit(0)))
+    room = ((1 + similarity) * (F.col("most") - own) - similarity * F.col("most")) / similarity + 1e-6
+    return checkpointed(per.join(lone, "node", "left").select("node", "size", room.alias("room")))
+
+
 def _first_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, text) of the keys: copies are reduced within their partitions before anything is shuffled by key."""
     few = keys.count() <= BROADCAST_KEYS
@@ -200,26 +248,33 @@ def similar_links(texts: DataFrame, distinct: DataFrame, width: int, similarity:
     near = f"bit_count(shiftrightunsigned(a ^ b, {64 - NODE_BITS})) <= {FAR_NODE_BITS}"
     mask = f"{(1 << BLOCK_BITS) - 1}L"
     far = "+".join(f"bit_count((blocks_a[{i}] ^ blocks_b[{i}]) & {mask})" for i in range(BLOCKS))
-    members, roots, asked, links = _points(nodes), None, None, None
+    members, turn = _points(nodes), 0
+    roots = asked = links = None
     while True:
         placed = members.withColumn("root", F.col("node"))
-        if roots is not None:
-            placed = members.join(roots, "node", "left").select("node", "point", F.coalesce("root", "node").alias("root"))
-        per = placed.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = per.groupBy("point").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1").select("point")
-        placed = checkpointed(placed.join(mixed, "point", "left_semi"))
+        if roots is not None:  # written, since it is read for its points and for its rows
+            placed = checkpointed(members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("root")))
+        if turn:
+            placed = checkpointed(_open(placed, turn > 1))
         if placed.isEmpty():
             break
-        order = Window.partitionBy("point").orderBy("n", "root", "node")
-        ranked = placed.join(per, ["point", "root"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= (1 if asked is None else LEADERS))
-        lead = checkpointed(ranked.select("point", F.col("node").alias("leader"), F.col("root").alias("leader_root")))
+        if turn == 1:
+            here = checkpointed(nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "key"))
+            texts = _first_texts(texts, here.select("key").distinct())  # later rounds hold no other texts
+            bounds = _bounds(checkpointed(here.join(texts, "key").select("node", shingle_set(F.col("text"), width).alias("hashes"))), similarity)
+            placed = checkpointed(_open(checkpointed(placed.join(bounds, "node")), True))
+            placed = checkpointed(placed.join(_one_each(placed).select("point"), "point", "left_semi"))
+        lead = checkpointed(_leaders(placed, turn))
         met = placed.join(lead, "point").filter("root <> leader_root")
+        if turn:
+            met = met.filter("size <= leader_room AND leader_size <= room")
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).filter(near).distinct()
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
         asked = pairs if asked is None else asked.unionByName(pairs)
-        members = checkpointed(placed.select("node", "point").join(lead.select("point", F.col("leader").alias("node")), ["node", "point"], "left_anti"))
+        members = checkpointed(placed.drop("root").join(lead.select("point", F.col("leader").alias("node")), ["node", "point"], "left_anti"))
+        turn += 1
         close = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"{far} <= {int(FAR_SHARE * BLOCKS * BLOCK_BITS)}")
         close = checkpointed(close.select("a", "b", "key_a", "key_b"))
         if close.isEmpty():
@@ -227,13 +282,27 @@ def similar_links(texts: DataFrame, distinct: DataFrame, width: int, similarity:
         used = _first_texts(texts, checkpointed(close.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()))
         both = close.join(used.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
         both = both.join(used.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
-        new = both.filter(alike(F.col("text_a"), F.col("text_b"), width, similarity)).select("a", "b", "key_a", "key_b")
-        links = checkpointed(new if links is None else links.unionByName(new))
+        new = checkpointed(both.filter(alike(F.col("text_a"), F.col("text_b"), width, similarity)).select("a", "b", "key_a", "key_b"))
+        if new.isEmpty():
+            continue
+        links = new if links is None else links.unionByName(new)
         roots = components(links.select("a", "b"))
     empty = nodes.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
     return empty if links is None else links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
+def _leaders(placed: DataFrame, turn: int) -> DataFrame:
+    """Who leads its point: first the smallest, then the one with most room, from then on those of the smallest components."""
+    if turn == 0:
+        return placed.groupBy("point").agg(F.min("node").alias("leader")).withColumn("leader_root", F.col("leader"))
+    if turn == 1:
+        best = placed.groupBy("point").agg(F.max_by(F.struct("node", "root", "size", "room"), F.struct("room", "node")).alias("m"))
+        return best.select("point", *[F.col(f"m.{x}").alias(y) for x, y in _AS_LEADER.items()])
+    per = placed.groupBy("point", "root").agg(F.count(F.lit(1)).alias("n"))
+    ranked = placed.join(per, ["point", "root"]).withColumn("rank", F.row_number().over(Window.partitionBy("point").orderBy("n", "root", "node")))
+    return ranked.filter(F.col("rank") <= LEADERS).select("point", *[F.col(x).alias(y) for x, y in _AS_LEADER.items()])
+
+
 def similar_groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(doc_id, key, root) per document; root is the smallest key reachable over :func:`similar_links`."""
     key = content_key(text_of(docs))

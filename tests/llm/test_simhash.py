@@ -157,3 +157,59 @@ def test_every_accepted_link_between_members_of_a_point_is_found(spark):
     for r in simhash.similar_groups(frame, 5, 0.8).collect():
         got.setdefault(bytes(r.root), set()).add(docs[r.doc_id])
     assert n_links > 50 and sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
+def group_of_edits(n, seed=5):
+    rnd = random.Random(seed)
+    base = [f"b{rnd.randrange(3000)}" for _ in range(150)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rnd.randrange(9)):
+            words[rnd.randrange(150)] = f"w{rnd.randrange(3000)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_a_large_group_of_near_copies_forms_few_pairs(spark, monkeypatch):
+    """Most of the group are a little less similar than asked; hardly more pairs than memberships of points, and the groups of all pairs."""
+    texts = group_of_edits(400)
+    pairs, write = [], simhash.checkpointed
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpointed", counted)
+    roots = [bytes(r.root) for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), 5, 0.8).orderBy("doc_id").collect()]
+    sets = [five_word_sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len({*zip(roots, root, strict=True)}) == len(set(roots)) and len(set(roots)) < 1.02 * len(set(root))
+    assert sum(pairs[1:]) < 0.5 * pairs[0]
+
+
+def test_bounds_hold_for_similar_sets(spark):
+    """No two sets with the similarity are kept apart by size and room, nodes of several texts and empty sets included."""
+    rnd = random.Random(4)
+    base = [rnd.sample(range(400), rnd.randrange(5, 60)) for _ in range(8)]
+    sets = [(i % 115, sorted({x for x in rnd.choice(base) if rnd.random() > 0.08} | {rnd.randrange(400, 3000) for _ in range(rnd.randrange(4))})) for i in range(120)]
+    sets += [(200, []), (201, [])]
+    got = {r.node: r for r in simhash._bounds(spark.createDataFrame(sets, "node long, hashes array<long>"), 0.8).collect()}
+    n_links, n_apart = 0, 0
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            fit = got[a].size <= got[b].room and got[b].size <= got[a].room
+            both = len({*x} & {*y})
+            if both >= 0.8 * (len(x) + len(y) - both) - 1e-9:
+                n_links += 1
+                assert fit or a == b
+            n_apart += not fit
+    assert n_links > 100 and n_apart > 3000
