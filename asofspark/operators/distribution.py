@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +172,55 @@ def score_distribution(
     return queries.join(mixed, ids, "left")
 
 
+class HeldResiduals:
+    """:func:`fit_distribution` and :func:`score_distribution` of one set whose rows a task holds, as arrays without missing values.
+
+    Edges, strata and key masses depend on actuals and lines alone: they are taken once, and
+    any number of projections of the same rows are asked. Terms are added as the scan adds them.
+    """
+
+    def __init__(
+        self, actual: np.ndarray, line: np.ndarray, asked: np.ndarray, keyed: bool,
+        key_numbers: tuple[int, ...] = KEY_NUMBERS, shrinkage: float = SHRINKAGE,
+    ):
+        held, wanted = (np.abs(line), np.abs(asked)) if keyed else (line, asked)
+        edges, ordered = [], np.sort(held)
+        for p in (1.0 / 3.0, 2.0 / 3.0):
+            at = (len(held) - 1) * p
+            low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+            edges.append(low + (high - low) * (at - np.floor(at)))
+        stratum, self.asked = ((v > edges[0]).astype(int) + (v > edges[1]) for v in (held, wanted))
+        signed = [float(k) for k in signed_keys(key_numbers)]
+        on_key = np.isin(actual, signed) & keyed
+        self.tolerance = 1e-8 + 1e-5 * np.abs(asked)
+        self.shrinkage, self.parts = shrinkage, {}
+        for s in (GLOBAL, *range(len(edges) + 1)):
+            own = np.full(len(held), True) if s == GLOBAL else stratum == s
+            n = int(own.sum())
+            if n < MIN_STRATUM_ROWS:
+                continue
+            points = np.flatnonzero(own & ~on_key)
+            mass = [float((np.abs(actual[own] - k) <= 1e-8 + 1e-5 * abs(k)).sum()) / n if keyed and len(points) else 0.0 for k in signed]
+            who = np.arange(len(asked)) if s == GLOBAL else np.flatnonzero(self.asked == s)
+            above, equal, below = (sum((np.where(test(k, asked[who]), m, 0.0) for k, m in zip(signed, mass, strict=True)), np.zeros(len(who)))
+                                   for test in (np.greater, np.equal, np.less))
+            plain = max(0.0, 1.0 - sum(mass, 0.0))
+            self.parts[s] = (points if len(points) else np.flatnonzero(own), who, n, plain, above, equal, below)
+
+    def probabilities(self, residuals: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(win, push, loss) of the asked rows; not a number where there are too few residuals."""
+        out = np.full((3, len(thresholds)), np.nan)
+        for s, (points, who, rows, plain, above, equal, below) in self.parts.items():  # the global one comes first
+            value, t, tol = np.sort(residuals[points]), thresholds[who], self.tolerance[who]
+            n, over = len(value), len(value) - np.searchsorted(value, t, "right")
+            near = np.searchsorted(value, t + tol, "right") - np.searchsorted(value, t - tol, "left")
+            win, push, loss = plain * over / n + above, plain * near / n + equal, plain * np.searchsorted(value, t, "left") / n + below
+            mixed = np.stack([win, push, loss]) / (win + push + loss)
+            share = rows / (rows + self.shrinkage)
+            out[:, who] = mixed if s == GLOBAL else share * mixed + (1 - share) * out[:, who]
+        return tuple(out)
+
+
 def non_push(win: str | Column = "p_win", loss: str | Column = "p_loss") -> Column:
     w = F.col(win) if isinstance(win, str) else win
     lo = F.col(loss) if isinstance(loss, str) else loss

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from asofspark.fixed_values import RIDGE_GRID
+from asofspark.fixed_values import PROBABILITY_CLIP, RIDGE_GRID
 from asofspark.operators import distribution as ds
 from asofspark.operators import evaluate as ev
 from asofspark.operators import regression as rg
@@ -17,6 +20,8 @@ from asofspark.session import checkpointed
 
 KEYS = ["market", *CONFIG, "season"]
 CANDIDATE = ["market", *CONFIG, "feature_set", "alpha"]
+ROWS_A_TASK = 500_000
+"""Rows of a (market, configuration) that one task scores under all candidates."""
 FAMILY_ORDER = {"market_only": -1, "ridge": 0, "tree": 1, "blend_25": 2, "blend_50": 3, "blend_75": 4}
 
 
@@ -70,6 +75,63 @@ def candidate_scores(oof: DataFrame) -> DataFrame:
     return ev.probability_bundle(oof, [*CANDIDATE, "n_features"], "probability", "outcome", "target", "final", "line")
 
 
+def grid_scores(rows: DataFrame, features: list[str], coefs: DataFrame, rows_a_task: int = ROWS_A_TASK, minimum: int = 30) -> DataFrame:
+    """:func:`candidate_scores` of the whole grid; ``rows`` have no missing values.
+
+    A task holds the rows of one (market, configuration) and scores them under all
+    its candidates and folds, so rows are shuffled once, whatever the number of
+    candidates, and one row of sums a candidate comes out. Where a (market,
+    configuration) has more than ``rows_a_task`` rows, all go through the
+    distributed scan of :func:`candidate_probabilities`. Sums are taken in the order
+    of season and game, so candidates that say the same tie exactly.
+    """
+    keys = ["market", *CONFIG]
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    if largest is not None and largest > rows_a_task:
+        return candidate_scores(candidate_probabilities(rows, features, coefs))
+    made = T.StructType.fromDDL(
+        "feature_set string, alpha double, n_features int, rows bigint, non_push_rows bigint, log_loss double, brier double, rmse double"
+    )
+    schema = T.StructType([*(rows.schema[k] for k in keys), *made.fields])
+
+    def score(held: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        if held.empty or fits.empty:
+            return pd.DataFrame(columns=schema.names)
+        held = held.sort_values(["season", "game_id"], ignore_index=True)
+        season, target, line = held["season"].to_numpy(), held["target"].to_numpy(float), held["line"].to_numpy(float)
+        x = [held[f].to_numpy(float) for f in features]
+        sums: dict[tuple, np.ndarray] = {}
+        for fold, models in fits.groupby("season"):
+            start, end = np.searchsorted(season, fold, "left"), np.searchsorted(season, fold, "right")
+            actual, asked = target[start:end], line[start:end]
+            live, outcome = np.abs(actual - asked) > 1e-9, (actual > asked).astype(float)
+            past = ds.HeldResiduals(target[:start], line[:start], asked, held["market"].iloc[0] == "spreads")
+            for m in models.itertuples(index=False):
+                raw = np.full(end, m.intercept)
+                for c, v in zip(m.coef, x, strict=True):
+                    raw = raw + c * v[:end]
+                final = line[:end] + m.train_weight * (raw - line[:end])
+                win, _, loss = past.probabilities(target[:start] - final[:start], asked - final[start:])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    p = np.clip(win / (win + loss), PROBABILITY_CLIP, 1.0 - PROBABILITY_CLIP)
+                told = live & ~np.isnan(p)
+                q, y, e = p[told], outcome[told], actual - final[start:]
+                missed = -(y * np.log(q) + (1.0 - y) * np.log(1.0 - q))
+                new = np.array([end - start, live.sum(), told.sum(), missed.sum(), ((q - y) ** 2).sum(), (e * e).sum()])
+                name = (m.feature_set, m.alpha, m.n_features)
+                sums[name] = sums[name] + new if name in sums else new
+        out = []
+        for name, (n, lively, known, missed, squared, error) in sums.items():
+            enough = lively >= minimum and known > 0
+            scores = (missed / known, squared / known) if enough else (None, None)
+            out.append((*(held[k].iloc[0] for k in keys), *name, int(n), int(lively), *scores, (error / n) ** 0.5))
+        return pd.DataFrame(out, columns=schema.names)
+
+    kept = rows.select(*keys, "season", "game_id", *[F.col(c).cast("double").alias(c) for c in ("target", "line", *features)])
+    fits = coefs.select(*CANDIDATE, "season", "n_features", "intercept", "coef", "train_weight")
+    return kept.groupBy(*keys).cogroup(fits.groupBy(*keys)).applyInPandas(score, schema)
+
+
 def best_candidates(scores: DataFrame) -> DataFrame:
     """Per market: log-loss, then Brier, RMSE, fewer features, configuration, name, penalty."""
     order = F.struct("log_loss", "brier", "rmse", "n_features", *CONFIG, "feature_set", "alpha")

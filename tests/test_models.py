@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from asofspark.catalog import ledgers
+from asofspark.catalog import models as md
 from asofspark.operators import bootstrap as bs
 from asofspark.operators import calibrate as cal
 from asofspark.operators import distribution as ds
@@ -9,6 +11,7 @@ from asofspark.operators import evaluate as ev
 from asofspark.operators import rank as rk
 from asofspark.operators import regression as rg
 from asofspark.operators import scan
+from asofspark.operators import temporal as tmp
 from asofspark.operators import trees as tr
 from asofspark.plans import selection as sel
 from asofspark.plans import training as trn
@@ -250,6 +253,54 @@ def test_joint_selection_prefers_the_useful_feature(rows):
     assert set(best) == {"spreads", "totals"} and best["spreads"]["rows"] == 300
 
 
+def test_grid_scores_in_a_task_equal_the_distributed_scan(rows):
+    wide = rows.unionByName(rows.withColumn("half_life", F.lit(4.0)).withColumn("x1", F.col("x1") * F.col("x2")).filter("season > 2020 OR x2 > 5.5"))
+    wide = wide.withColumn("target", F.when(F.col("x2") > 7, F.lit(3.0)).otherwise(F.col("target")))  # some on a key number
+    coefs = sel.candidate_folds(wide, FEATURES, {"first": ["x1"], "both": FEATURES}, (0.1, 100.0)).cache()
+    key = lambda r: tuple(r[c] for c in sel.CANDIDATE)
+    held = {key(r): r for r in sel.grid_scores(wide, FEATURES, coefs).collect()}
+    spread = {key(r): r for r in sel.grid_scores(wide, FEATURES, coefs, rows_a_task=10).collect()}
+    assert len(held) == 2 * 2 * 2 * 2 and set(held) == set(spread)
+    for k, a in held.items():
+        b = spread[k]
+        assert (a["rows"], a["non_push_rows"], a["n_features"]) == (b["rows"], b["non_push_rows"], b["n_features"])
+        assert [a[c] for c in ("log_loss", "brier", "rmse")] == pytest.approx([b[c] for c in ("log_loss", "brier", "rmse")], abs=1e-12)
+
+
+def test_folds_with_few_rows_have_the_same_scores_both_ways(rows):
+    few = rows.filter("CAST(substr(game_id, 2) AS INT) % 100 < 20")  # 20 rows a season: the first fold has no distribution
+    coefs = sel.candidate_folds(few, FEATURES, {"both": FEATURES}, (1.0,), min_train=10).cache()
+    cols = ["market", "rows", "non_push_rows", "log_loss", "brier", "rmse"]
+    held, spread = (
+        [tuple(r) for r in sel.grid_scores(few, FEATURES, coefs, rows_a_task=n).select(*cols).orderBy("market").collect()] for n in (1000, 10)
+    )
+    assert len(held) == 2 and [a[:3] for a in held] == [b[:3] for b in spread]
+    assert [x for a in held for x in a[3:]] == pytest.approx([x for b in spread for x in b[3:]], abs=1e-12)
+
+
+def test_joint_selection_tries_every_configuration(spark, monkeypatch):
+    names = list(md.base_features())
+    rng = np.random.default_rng(3)
+    season = np.repeat([2020, 2021, 2022], 80)
+    x = rng.normal(0.0, 1.0, size=(len(season), len(names)))
+    target = np.round(6.0 * x[:, 0] + rng.normal(0, 1, len(season))) + 0.5
+    asked = []
+
+    def matrix(spark, sf_dir, half_lives=tmp.HALF_LIFE_GRID, strengths=tmp.PRIOR_STRENGTH_GRID):
+        data = []
+        for h in half_lives:
+            for s in strengths:
+                asked.append((h, s))
+                told = x if (h, s) == (4.0, 0.25) else rng.normal(0.0, 1.0, x.shape)  # one configuration alone knows
+                data += [(i, int(season[i]), h, s, *map(float, told[i]), float(target[i]), float(target[i]), 0.0, 0.0, 0.5, 0.5) for i in range(len(season))]
+        cols = ["half_life", "prior_strength", *names, "target_margin", "target_total", "spread_line", "total_line", "market_spread_probability", "market_total_probability"]
+        return spark.createDataFrame(data, "game_id int, season int, " + ", ".join(f"{c} double" for c in cols))
+
+    monkeypatch.setattr(md, "matrix", matrix)
+    got = {r["market"]: (r["half_life"], r["prior_strength"]) for r in ledgers.joint_selection(spark, "").collect()}
+    assert len(asked) == 12 and got == {"spreads": (4.0, 0.25), "totals": (4.0, 0.25)}
+
+
 def test_training_produces_complete_tables(rows):
     t = trn.train(rows, FEATURES, residual_target=True)
     assert t.coefs.count() == 2 and t.calibration.count() == 2
